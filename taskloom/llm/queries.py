@@ -9,6 +9,7 @@ _WHERE = {
     "op1_mixing": ("mixing", "OP1_SQL"),
     "op2_sharding": ("sharding", None),
     "op7_exact_dedup": ("exact_dedup", "OP7_SQL"),
+    "op8_suffix_array_dedup": ("repeats", None),
     "op9_quality_rules": ("quality", "OP9_SQL"),
     "op10_warc": ("warc", "OP10_SQL"),
 }

@@ -8,6 +8,7 @@ import importlib
 _WHERE = {
     "op1_mixing": ("mixing", "OP1_SQL"),
     "op2_sharding": ("sharding", None),
+    "op3_ngram_jaccard_join": ("jaccard_join", "OP3_SQL"),
     "op7_exact_dedup": ("exact_dedup", "OP7_SQL"),
     "op8_suffix_array_dedup": ("repeats", None),
     "op9_quality_rules": ("quality", "OP9_SQL"),

@@ -22,3 +22,36 @@ def remove_repeats(rows: list[tuple[int | None, str | None]], length: int = 50)
         spans = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
         out.append((None if i == big else i, len(t), len(t) - len(rest), spans, hashlib.sha256(rest).hexdigest()))
     return out
+
+
+def shingles(text: str | None, words: int = 5) -> set:
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w = [x.decode() for x in (text or "").translate(lower).encode().split()]
+    if len(w) < words:
+        return {tuple(w)} if w else set()
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)}
+
+
+def jaccard_components(rows: list[tuple[int | None, str | None]], percent: int = 75) -> list[tuple]:
+    """(doc_id, n_shingles, component_id) by comparing every pair."""
+    big = (1 << 63) - 1
+    sets = [(big if i is None else i, shingles(t)) for i, t in rows]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            s, t = sets[a][1], sets[b][1]
+            if s and t and min(len(s), len(t)) * 100 >= percent * max(len(s), len(t)):
+                common = len(s & t)
+                if 100 * common >= percent * (len(s) + len(t) - common):
+                    root[find(a)] = find(b)
+    least: dict[int, int] = {}
+    for a, (i, s) in enumerate(sets):
+        least[find(a)] = min(least.get(find(a), big), i)
+    real = lambda x: None if x == big else x
+    return [(real(i), len(s), real(least[find(a)])) for a, (i, s) in enumerate(sets)]

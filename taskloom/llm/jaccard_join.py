@@ -20,7 +20,6 @@ Two documents link when 100 * |intersection| >= 75 * |union| of their sets of 5-
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

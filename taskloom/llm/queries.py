@@ -9,6 +9,7 @@ _WHERE = {
     "op1_mixing": ("mixing", "OP1_SQL"),
     "op2_sharding": ("sharding", None),
     "op3_ngram_jaccard_join": ("jaccard_join", "OP3_SQL"),
+    "op4_language_id": ("langid", None),
     "op6_byte_bpe": ("bpe", None),
     "op7_exact_dedup": ("exact_dedup", "OP7_SQL"),
     "op8_suffix_array_dedup": ("repeats", None),

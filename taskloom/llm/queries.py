@@ -10,6 +10,7 @@ _WHERE = {
     "op2_sharding": ("sharding", None),
     "op3_ngram_jaccard_join": ("jaccard_join", "OP3_SQL"),
     "op4_language_id": ("langid", None),
+    "op5_chat_formatting": ("chat", None),
     "op6_byte_bpe": ("bpe", None),
     "op7_exact_dedup": ("exact_dedup", "OP7_SQL"),
     "op8_suffix_array_dedup": ("repeats", None),

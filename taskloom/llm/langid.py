@@ -122,17 +122,17 @@ def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, id_col: st
     A null text, one without letters, or a model without languages gives ``und`` with score 0 and no mixture. Equal
     shares go to the first language by name. Ids and labels are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast((languages, logs))
-    keep = keep or []
-    names = [f"__k{i}" for i in range(len(keep))]
-    rows = docs.select(F.col(id_col).alias("__id"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__text"), *[F.col(k).alias(n) for k, n in zip(keep, names)])
-    carried = [f for f in rows.schema if f.name != "__text"]
+    names = {f"__k{i}": k for i, k in enumerate(keep or [])}
+    carried = [F.col(k).alias(n) for n, k in names.items() if k != text_col]
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"), *carried)
+    kinds = {f.name: f.dataType for f in rows.schema} | {n: StringType() for n, k in names.items() if k == text_col}
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, logs = shared.value
         for batch in batches:
             langs, scores, mixtures = [], [], []
-            for text in batch["__text"].cast(pa.binary()):
-                shares = infer(trigram_counts(text.as_py(), logs.shape[1]), logs) if text.is_valid and languages else None
+            for text, letters in zip(batch["__text"].cast(pa.binary()), batch["__letters"].to_pylist()):
+                shares = infer(trigram_counts(text.as_py(), logs.shape[1]), logs) if letters and languages else None
                 if shares is None or not shares.any():
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -142,11 +142,23 @@ def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, id_col: st
                 langs.append(languages[best])
                 scores.append(min(1.0, float(shares[best])))
                 mixtures.append(" ".join(f"{languages[i]}:{shares[i]:.2f}" for i in np.argsort(-shares, kind="stable") if shares[i] > 0))
-            fixed = [batch[f.name] for f in carried]
-            yield pa.RecordBatch.from_arrays([*fixed, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(mixtures, pa.string())], [*(f.name for f in carried), "lang_pred", "score", "mixture"])
-
-    schema = StructType([*carried, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("mixture", StringType())])
-    return rows.mapInArrow(predict, schema).withColumnsRenamed({"__id": id_col} | dict(zip(names, keep)))
+            fixed = [batch["__text" if k == text_col else n] for n, k in names.items()]
+            yield pa.RecordBatch.from_arrays([batch["__id"], *fixed, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(mixtures, pa.string())], ["__id", *names, "lang_pred", "score", "mixture"])
+
+    schema = StructType([StructField("__id", kinds["__id"]), *(StructField(n, kinds[n]) for n in names), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("mixture", StringType())])
+    found = rows.mapInArrow(predict, schema)
+    return found.select(F.col("__id").alias(id_col), *[F.col(n).alias(k) for n, k in names.items()], "lang_pred", "score", "mixture")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` with the predicted language in ``lang_col``, without the documents whose language is unknown (no text or
+    no letters). Where no document has a label there is no model: labels stay, texts without letters go."""
+    languages, logs = fit_languages(training_rows(docs, id_col, text_col, lang_col))
+    if not languages:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
+    others = [c for c in docs.columns if c not in (id_col, lang_col)]
+    found = identify(docs, languages, logs, id_col, text_col, others).filter(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col("lang_pred").alias(c) if c == lang_col else F.col(c) for c in docs.columns])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

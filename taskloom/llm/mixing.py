@@ -5,9 +5,8 @@ input. A document's number of copies is Poisson with that mean, drawn by inverti
 at a uniform number that is a hash of seed and document. So the draw needs no state, gives the same counts
 on every run, and any task can redo it. The copies are exploded and dealt out in a global random order.
 
-Sums per source are the only thing aggregated (with partial sums before the shuffle). Their join back is
-left to Spark: it broadcasts the rates while they are below its threshold, and otherwise sorts and merges
-and splits a hot source.
+Sums per source are the only thing aggregated (with partial sums before the shuffle). The rates are broadcast
+while there are at most ``MOST_BROADCAST`` sources; for more, Spark sorts and merges and splits a hot source.
 """
 
 from __future__ import annotations
@@ -15,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import stored, table
 
 #: The largest mean that one inversion handles; a larger one is a sum of independent draws, which is exact.
 MEAN_PER_DRAW = 32.0
+#: Sources whose rates are broadcast (a name and a number each).
+MOST_BROADCAST = 100_000
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -67,7 +68,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
     Counts depend on seed and id alone; rows that repeat an id repeat its count, null ids share one draw. Columns
     and types of ``docs`` stay; an empty table gives no rows; a rate of 0 gives none either."""
-    rates = repetition_rates(docs, weights, temperature, total, source_col).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    rates = stored(repetition_rates(docs, weights, temperature, total, source_col).select(F.col("source").alias("__source"), F.col("rate").alias("__rate")), "mixing-rates")
+    if rates.count() <= MOST_BROADCAST:  # beyond that, a sort-merge join, whose hot sources Spark splits
+        rates = F.broadcast(rates)
     drawn = docs.join(rates, docs[source_col].eqNullSafe(rates["__source"]), "inner").drop("__source")
     drawn = drawn.withColumn("__copies", poisson(F.col("__rate"), seed, F.col(id_col)))
     copies = drawn.filter(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))

@@ -16,6 +16,7 @@ state machine over the UTF-8 byte classes finds; the rest waits for the next ids
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -24,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import bounded_batches, table
 
 #: States, and encoded pieces, that a worker keeps.
-STATES, PIECES = 1 << 16, 1 << 17
+STATES, PIECES = 1 << 18, 1 << 18
 #: Tokens that the decoder takes at a time.
 DECODE_TOKENS = 1 << 14
 
@@ -38,21 +39,23 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class _State:
-    __slots__ = ("last", "rest", "back", "next")
+    """``live``: (bytes since, tokens up to) all positions where a later token may begin; the last one is the end."""
 
-    def __init__(self, last: bytes, rest: bytes, back: tuple):
-        #: back[i]: the length of the last token of the first i bytes of ``rest``, None where no path goes on.
-        self.last, self.rest, self.back, self.next = last, rest, back, {}
+    __slots__ = ("last", "live", "next")
+
+    def __init__(self, last: bytes, live: list):
+        self.last, self.live, self.next = last, live, None
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.limit = ranks, states
-        self.longest = max(map(len, ranks))
-        self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.begins = {t[:i] for t in ranks for i in range(len(t))}
+        self.byte = [bytes((i,)) for i in range(256)]
         self.fits_memo: dict[tuple[bytes, bytes], bool] = {}
-        self.start = _State(b"", b"", (0,))
-        self.states: dict[tuple[bytes, bytes], _State] = {}
+        self.edges: dict[tuple[bytes, bool], list] = {}
+        self.start = _State(b"", [(b"", ())])
+        self.states: dict[tuple, _State] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The encoding of a few bytes, by the definition: always the neighbours of least rank, leftmost first."""
@@ -64,98 +67,111 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def edge(self, token: bytes, right: bool) -> list[tuple[bytes, int, int]]:
+        """(part, its rank, rank of the merge that takes it up) of the parts that stand at one edge while ``token`` is merged."""
+        if (known := self.edges.get((token, right))) is None:
+            known = [(token, self.ranks[token], 1 << 60)]
+            if len(token) > 1:
+                parts = [token[i : i + 1] for i in range(len(token))]
+                seen = [(parts[-1 if right else 0], self.ranks[parts[-1 if right else 0]])]
+                taken = []
+                while len(parts) > 1:
+                    rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                    if rank == 1 << 60:
+                        return []  # merging never arrives at this token
+                    parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                    if (x := parts[-1 if right else 0]) != seen[-1][0]:
+                        taken.append(rank)
+                        seen.append((x, rank))
+                known = [(x, r, n) for (x, r), n in zip(seen, [*taken, 1 << 60])]
+            self.edges[token, right] = known
+        return known
+
     def fits(self, a: bytes, b: bytes) -> bool:
-        """``a`` and ``b`` side by side are the encoding of their bytes (``a`` may be nothing)."""
+        """``a`` and ``b`` side by side are the encoding of their bytes (``a`` may be nothing).
+
+        They are unless, while both are merged, what stands at the right edge of ``a`` and at the left edge of ``b`` at the same
+        time merges sooner than either is taken up by its own side; of equal ranks the left one comes first."""
         key = (a, b)
         if (known := self.fits_memo.get(key)) is None:
             if len(self.fits_memo) > 4 * self.limit:
                 self.fits_memo.clear()
-            known = self.fits_memo[key] = self.merged(a + b) == ([a, b] if a else [b])
+            left, right = self.edge(a, True) if a else [], self.edge(b, False)
+            known = bool(right) and (bool(left) or not a)
+            for x, from_x, to_x in left:
+                for y, from_y, to_y in right:
+                    if from_x < to_y and from_y < to_x and (r := self.ranks.get(x + y)) is not None and r < to_x and r <= to_y:
+                        known = False
+            self.fits_memo[key] = known
         return known
 
     def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        rest = state.rest + bytes((byte,))
-        m, back = len(rest), state.back
-        for n in range(min(m, self.longest), 0, -1):
-            token = rest[m - n :]
-            if token not in self.ranks or back[m - n] is None:
-                continue
-            if m > n:
-                before = rest[m - n - back[m - n] : m - n]
-            else:
-                before = state.last
-            if self.fits(before, token):
-                break
-        else:
+        ranks, begins, memo, one = self.ranks, self.begins, self.fits_memo, self.byte[byte]
+        live, ended = [], None
+        for since, path in state.live:
+            since += one
+            if ended is None and since in ranks:
+                before = path[-1] if path else state.last
+                if (fit := memo.get((before, since))) is None:
+                    fit = self.fits(before, since)
+                if fit:
+                    ended = (*path, since)
+            if since in begins:
+                live.append((since, path))
+        if ended is None:
             raise ValueError("these ranks lack a byte")
-        back = (*back, n)
-        live = [j for j in range(max(0, m - self.longest + 1), m) if back[j] is not None and rest[j:] in self.begins]
-        # the last position that all live paths run through
-        common = m
-        for j in live:
-            a = j
-            while a != common:
-                if a > common:
-                    a -= back[a]
-                else:
-                    common -= back[common]
-            if not common:
-                break
-        emitted: list[int] = []
-        last = state.last
-        if common:
-            at, tokens = common, []
-            while at:
-                tokens.append(rest[at - back[at] : at])
-                at -= back[at]
-            last = tokens[0]
-            emitted = [self.ranks[t] for t in reversed(tokens)]
-        alive = {*live, m}
-        kept = tuple(0 if j == common else back[j] if j in alive or self._used(j, live, m, back, common) else None for j in range(common, m + 1))
-        rest = rest[common:]
-        key = (last, rest)
+        live.append((b"", ended))
+        last, emitted = state.last, ()
+        first = live[0][1]
+        if first:  # tokens that all live paths begin with are certain
+            sure = len(first)
+            for _, path in live:
+                while first[:sure] != path[:sure]:
+                    sure -= 1
+            if sure:
+                last, emitted = first[sure - 1], tuple([ranks[t] for t in first[:sure]])
+                live = [(since, path[sure:]) for since, path in live]
+        # without a live path from here on, the last token plays no part any more
+        key = (last if not live[0][1] else b"", *[x for s in live for x in s])
         if (after := self.states.get(key)) is None:
             if len(self.states) >= self.limit:
-                self.states.clear()
-                self.start.next.clear()
-                state.next.clear()
-            after = self.states[key] = _State(last, rest, kept)
-        state.next[byte] = after, tuple(emitted)
-        return state.next[byte]
-
-    @staticmethod
-    def _used(j: int, live: list[int], m: int, back: tuple, common: int) -> bool:
-        """Whether a live path runs through position ``j``."""
-        for a in (*live, m):
-            while a > j:
-                a -= back[a]
-            if a == j:
-                return True
-        return False
-
-    def encode(self, piece: bytes) -> Iterator[int]:
-        state = self.start
+                self.forget()
+            after = self.states[key] = _State(last, live)
+        if state.next is None:
+            state.next = {}
+        state.next[byte] = found = (after, emitted)
+        return found
+
+    def forget(self) -> None:
+        """Drop all states; their links are cut, so that no cycles are left."""
+        for s in self.states.values():
+            s.next = None
+        self.states.clear()
+        self.start.next = None
+
+    def encode(self, piece: bytes) -> list[int]:
+        state, out, step = self.start, [], self.step
         for byte in piece:
-            found = state.next.get(byte)
-            state, emitted = found if found is not None else self.step(state, byte)
-            yield from emitted
-        at, tail = len(state.rest), []
-        while at:
-            tail.append(self.ranks[state.rest[at - state.back[at] : at]])
-            at -= state.back[at]
-        yield from reversed(tail)
+            found = state.next.get(byte) if state.next else None
+            state, emitted = found if found is not None else step(state, byte)
+            if emitted:
+                out += emitted
+        out += [self.ranks[t] for t in state.live[-1][1]]
+        return out
 
 
 class PieceEncoder(dict):
-    """Piece of text -> its ids in decimal, joined by spaces; pieces are forgotten when there are too many."""
+    """Piece of text -> its ids in decimal, joined by spaces. When there are too many, those not used lately are forgotten."""
 
     def __init__(self, transducer: Transducer, limit: int = PIECES):
         super().__init__()
-        self.transducer, self.limit = transducer, limit
+        self.transducer, self.limit, self.before = transducer, limit, {}
 
     def __missing__(self, piece: str) -> str:
-        ids = " ".join(map(str, self.transducer.encode(piece.encode())))
+        if (ids := self.before.get(piece)) is None:
+            ids = " ".join(map(str, self.transducer.encode(piece.encode())))
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = ids
@@ -227,11 +243,14 @@ def tokenize(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id"
 
     ``ranks`` is the content of a rank file, of fixed size whatever the data; it is broadcast. Null texts are
     empty and have no tokens; null ids and repeated rows pass through; other columns are not read."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tokens, split = _encoder(shared.value, pattern)
+        # the collector would walk all states and pieces again and again, and they leave no cycles behind
+        gc.disable()
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(a, 256), []

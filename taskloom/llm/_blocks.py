@@ -17,26 +17,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, shuffle_partitions, stored
+from ._common import NO_ID, bounded_batches, shuffle_partitions, stored
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Keys that one bucket holds, roughly.
 BUCKET_KEYS = 1 << 21
 
-_BLOCK = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
-_BLOCK_SQL = "block long, n_bytes long, ids binary, lens binary, data binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("digests", pa.binary()), ("data", pa.binary())])
+_BLOCK_SQL = "block long, n_bytes long, ids binary, lens binary, digests binary, data binary"
 _KEYS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _KEYS_SQL = "bucket int, block long, keys binary, counts binary"
 
 
 def block_table(docs: DataFrame, id_col: str, text_col: str, tag: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, n_bytes, ids, lens, data: the texts (null: empty) of all rows, as stored blocks. Null ids become NO_ID."""
+    """block, n_bytes, ids, lens, digests (16 bytes per text), data: the texts (null: empty) of all rows, as stored blocks. Null ids become NO_ID."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n = TaskContext.get().partitionId() << 32, 0
@@ -44,7 +45,7 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, tag: str, block_byt
 
         def block(ids: list, texts: list) -> pa.RecordBatch:
             lens = np.array([len(t) for t in texts], np.int64)
-            row = [[first + n], [int(lens.sum())], [np.array(ids, np.int64).tobytes()], [lens.tobytes()], [press.compress(b"".join(texts))]]
+            row = [[first + n], [int(lens.sum())], [np.array(ids, np.int64).tobytes()], [lens.tobytes()], [b"".join(map(xxhash.xxh3_128_digest, texts))], [press.compress(b"".join(texts))]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, _BLOCK.types)], schema=_BLOCK)
 
         ids, texts, size = [], [], 0
@@ -60,6 +61,7 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, tag: str, block_byt
         if texts:
             yield block(ids, texts)
 
+    bounded_batches(docs)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return stored(rows.mapInArrow(pack, _BLOCK_SQL), tag, compression="uncompressed")
 
@@ -81,6 +83,21 @@ class Block:
             yield self.data[a:b]
 
 
+def later_copies(blocks: DataFrame) -> DataFrame:
+    """block, row: the rows whose text a smaller id has, too."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, ids, digests in zip(*(batch[c].to_pylist() for c in ("block", "ids", "digests"))):
+                n = len(ids) // 8
+                columns = [pa.array([block] * n), pa.array(range(n), pa.int32()), pa.array(np.frombuffer(ids, np.int64)), pa.array([digests[16 * i : 16 * i + 16] for i in range(n)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "row", "doc", "digest"])
+
+    each = blocks.select("block", "ids", "digests").mapInArrow(rows, "block long, row int, doc long, digest binary")
+    least = each.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return each.join(least, "digest").filter("doc > least").select("block", "row")
+
+
 def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -133,7 +150,7 @@ def shared_keys(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], n_buc
         columns = [[group["bucket"][0].as_py()] * len(out), *([x[i] for x in out] for i in range(3))]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _KEYS.types)], schema=_KEYS)
 
-    return blocks.select("block", "n_bytes", "ids", "lens", "data").mapInArrow(deal, _KEYS_SQL).groupBy("bucket").applyInArrow(meet, _KEYS_SQL)
+    return blocks.drop("digests").mapInArrow(deal, _KEYS_SQL).groupBy("bucket").applyInArrow(meet, _KEYS_SQL)
 
 
 def unpack_shared(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:

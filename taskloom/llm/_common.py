@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,8 +48,19 @@ def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, tag)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    # Spark deletes a finished job's shuffle files when the driver's garbage collector finds the job unused, which
+    # takes two turns: the plan goes in the first one, what it held in the second
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, size: str = "8m") -> None:
+    """Rows go to Python in batches of this many bytes, so that a worker's memory does not depend on how long texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,8 +8,8 @@ they can matter:
    equal places, so windows only have to be compared with those of the same anchor. An anchor's context in
    a document is the bytes of all windows that pick it there.
 2. Anchors that only one document has are dropped (``shared_keys``).
-3. Equal contexts need no sorting: all but the least id's are covered. Within a block that is settled at
-   once, so that a passage that a third of all documents share leaves one context per block.
+3. Equal texts and equal contexts need no sorting: all but the least id's are covered. Within a block that is
+   settled at once, so that a passage that a third of all documents share leaves one context per block.
 4. Where the contexts of an anchor differ, their suffixes are sorted by linear grouping (``suffixes``); windows
    next to each other in the array that agree in ``length`` bytes are equal, and the least id owns them.
    Anchors with more contexts than ``heavy`` (the edges of a hot passage) are split by window first: their
@@ -20,25 +20,32 @@ they can matter:
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._blocks import Block, block_table, bucket_count, each_block, look_up, packed, shared_keys, unpack_shared
+from ._blocks import Block, block_table, bucket_count, later_copies, look_up, packed, shared_keys, unpack_shared
 from ._common import NO_ID, stored, table
 from .suffixes import least_owners
 
 LENGTH, ANCHOR = 50, 24
 #: Contexts of one anchor that are sorted in one piece.
 HEAVY = 256
+#: Contexts of one anchor that are looked at pair by pair before any sorting.
+FEW = 4
 #: Bytes of contexts that one suffix array takes, whole anchors.
 SORT_BYTES = 16 << 10
 #: Window starts whose hashes are in memory at once.
 CHUNK = 1 << 20
+#: In place of a bucket: the rows of a block that are copies of whole texts.
+COPIES = -1
 
 _U = np.uint64
 
@@ -104,6 +111,17 @@ def anchors(block: Block, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.nda
     return hashes[~cut], places[~cut], firsts[~cut], lasts[~cut]
 
 
+def _agreeing(x: bytes, at_x: int, y: bytes, at_y: int, k: int) -> int:
+    """Bytes around a common string of k bytes, at these places, in which x and y agree without a break."""
+    right, n = 0, min(len(x) - at_x, len(y) - at_y) - k
+    while right < n and x[at_x + k + right] == y[at_y + k + right]:
+        right += 1
+    left, n = 0, min(at_x, at_y)
+    while left < n and x[at_x - 1 - left] == y[at_y - 1 - left]:
+        left += 1
+    return left + k + right
+
+
 def _anchor_keys(length: int, k: int):
     def keys(block: Block) -> np.ndarray:
         h, at, _, _ = anchors(block, length, k)
@@ -116,10 +134,10 @@ def _anchor_keys(length: int, k: int):
     return keys
 
 
-_CONTEXT = pa.schema([("block", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("covers", pa.binary())])
-_CONTEXT_SQL = "block long, h long, c long, doc long, start int, n int, covers binary"
-_PIECE = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("contexts", pa.int64()), ("piece", pa.binary())])
-_PIECE_SQL = "h long, c long, doc long, n int, contexts long, piece binary"
+_CONTEXT = pa.schema([("block", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("covers", pa.binary())])
+_CONTEXT_SQL = "block long, h long, c long, doc long, start int, n int, at int, covers binary"
+_PIECE = pa.schema([("block", pa.int64()), ("start", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("contexts", pa.int64()), ("piece", pa.binary())])
+_PIECE_SQL = "block long, start int, h long, c long, doc long, n int, at int, contexts long, piece binary"
 _OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 _OUT_SQL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -131,82 +149,110 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_co
     an id never cover each other. Repeats within one document stay. An empty table gives no rows."""
     blocks = block_table(docs, id_col, text_col, "repeats-blocks")
     n_buckets = bucket_count(blocks, (length - k + 2) // 2)
-    shared = shared_keys(blocks, _anchor_keys(length, k), n_buckets)
+    # stored, so that the exchange of all keys is gone before contexts are made
+    shared = stored(shared_keys(blocks, _anchor_keys(length, k), n_buckets), "repeats-shared")
 
     def contexts(text: pa.Table, keys: pa.Table) -> pa.Table:
         if not text.num_rows or not keys.num_rows:
             return _CONTEXT.empty_table()
         b = Block(text.to_pylist()[0])
+        copy = np.zeros(len(b.ids), bool)
+        for row in keys.filter(pc.equal(keys["bucket"], COPIES))["keys"]:
+            copy[int(row.as_py())] = True
         h, at, first, last = anchors(b, length, k)
-        m = look_up(*unpack_shared(keys), packed(h, n_buckets)) > 1
+        m = look_up(*unpack_shared(keys.filter(pc.not_equal(keys["bucket"], COPIES))), packed(h, n_buckets)) > 1
+        m &= ~copy[np.searchsorted(b.ends, first, side="right")]
         h, at, first, last = h[m], at[m], first[m], last[m]
         c = np.fromiter((xxhash.xxh3_64_intdigest(b.data[i : j + length], p - i) for p, i, j in zip(at.tolist(), first.tolist(), last.tolist())), np.uint64, len(at))
         doc = b.ids[np.searchsorted(b.ends, first, side="right")]
         order = np.lexsort((first, doc, c, h))
-        h, c, doc, first, last = h[order], c[order], doc[order], first[order], last[order]
-        if not len(h):
-            return _CONTEXT.empty_table()
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+        h, c, doc, at, first, last = h[order], c[order], doc[order], (at - first)[order], first[order], last[order]
+        new = np.concatenate([[True] * min(1, len(h)), (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         open_, sure = doc == least, np.flatnonzero(doc > least)
-        covers = np.stack([first[sure], last[sure] + length]).astype(np.int32).tobytes()
+        whole = np.flatnonzero(copy & (b.lens >= length))
+        covers = np.stack([np.append(first[sure], b.starts[whole]), np.append(last[sure] + length, b.ends[whole])]).astype(np.int32).tobytes()
         n = int(open_.sum())
         # the covers that this block has settled travel as a row with keys of its own
         columns = [
             np.full(n + 1, b.block), np.append(h[open_].view(np.int64), b.block), np.append(c[open_].view(np.int64), -1), np.append(doc[open_], 0),
-            np.append(first[open_], 0), np.append(last[open_] - first[open_] + 1, 0), [None] * n + [covers],
+            np.append(first[open_], 0), np.append(last[open_] - first[open_] + 1, 0), np.append(at[open_], 0), [None] * n + [covers],
         ]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _CONTEXT.types)], schema=_CONTEXT)
 
-    found = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(contexts, _CONTEXT_SQL)
+    copies = later_copies(blocks).select(F.lit(COPIES).alias("bucket"), "block", F.encode(F.col("row").cast("string"), "utf-8").alias("keys"), F.lit(None).cast("binary").alias("counts"))
+    found = blocks.drop("digests").groupBy("block").cogroup(shared.unionByName(copies).groupBy("block")).applyInArrow(contexts, _CONTEXT_SQL)
     # after the blocks' own settling, a context has a row per block and repeat within a document
     same = Window.partitionBy("h", "c")
-    found = stored(found.withColumn("owner", F.min("doc").over(same)).withColumn("rank", F.row_number().over(same.orderBy("doc", "block", "start"))), "repeats-contexts")
+    found = found.withColumn("owner", F.min("doc").over(same)).withColumn("rank", F.row_number().over(same.orderBy("doc", "block", "start")))
+    # a context that a smaller id has, too, is settled: its keys are not needed any more
+    open_ = F.col("doc") == F.col("owner")
+    found = stored(found.select("block", "start", "n", "at", "covers", *[F.when(open_, F.col(x)).alias(x) for x in ("h", "c", "doc")], (F.col("rank") == 1).alias("first")), "repeats-contexts")
 
-    one_each = found.filter(F.col("covers").isNull() & (F.col("rank") == 1))
+    one_each = found.filter(F.col("covers").isNull() & F.col("first"))
     differing = one_each.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
-    wanted = one_each.select("block", "h", "c", "doc", "start", "n").join(differing, "h")
+    wanted = one_each.select("block", "h", "c", "doc", "start", "n", "at").join(differing, "h")
 
     def pieces(text: pa.Table, places: pa.Table) -> pa.Table:
         if not text.num_rows or not places.num_rows:
             return _PIECE.empty_table()
         data = Block(text.to_pylist()[0]).data
         cut = [data[s : s + n + length - 1] for s, n in zip(places["start"].to_pylist(), places["n"].to_pylist())]
-        return pa.Table.from_arrays([*(places[x].combine_chunks().cast(t) for x, t in zip(("h", "c", "doc", "n", "contexts"), _PIECE.types)), pa.array(cut, pa.binary())], schema=_PIECE)
+        return pa.Table.from_arrays([*(places[x].combine_chunks().cast(t) for x, t in zip(("block", "start", "h", "c", "doc", "n", "at", "contexts"), _PIECE.types)), pa.array(cut, pa.binary())], schema=_PIECE)
 
-    cut = stored(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(pieces, _PIECE_SQL), "repeats-pieces")
+    cut = stored(blocks.drop("digests").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(pieces, _PIECE_SQL), "repeats-pieces")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        group: list[tuple] = []
+
+        def alike() -> list[tuple]:
+            """Of one anchor's contexts those that can have a window in common with another one: in a few contexts those that
+            agree in enough bytes around it; in more those that agree in half of them on one side."""
+            if len(group) <= FEW:
+                keep = set()
+                for a, b in combinations(range(len(group)), 2):
+                    if _agreeing(group[a][3], group[a][4], group[b][3], group[b][4], k) >= length:
+                        keep |= {a, b}
+                return [group[i] for i in sorted(keep)]
+            half, sides = (length - k + 1) // 2, Counter()
+            near = [(x[3][x[4] - half : x[4]] if x[4] >= half else None, x[3][x[4] + k : x[4] + k + half] if len(x[3]) >= x[4] + k + half else None) for x in group]
+            for left, right in near:
+                sides.update([(0, left)] * (left is not None) + [(1, right)] * (right is not None))
+            return [x for x, (left, right) in zip(group, near) if sides[0, left] > 1 or sides[1, right] > 1]
 
         def flush() -> pa.RecordBatch:
             runs = least_owners([x[3] for x in held], [x[2] for x in held], length)
-            rows = [(x[0], x[1], i, j) for x, r in zip(held, runs) for i, j in r]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "c", "from_", "to_"])
+            rows = [(*x[5:], x[0], x[1], i, j) for x, r in zip(held, runs) for i, j in r]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["block", "start", "h", "c", "from_", "to_"])
 
         for batch in batches:
-            for x in zip(*(batch[y].to_pylist() for y in ("h", "c", "doc", "piece"))):
-                if size > SORT_BYTES and held[-1][0] != x[0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(x)
-                size += len(x[3])
+            for x in zip(*(batch[y].to_pylist() for y in ("h", "c", "doc", "piece", "at", "block", "start"))):
+                if group and group[-1][0] != x[0]:
+                    held += alike()
+                    group = []
+                    if len(held) * length > SORT_BYTES:
+                        yield flush()
+                        held = []
+                group.append(x)
+        held += alike()
         if held:
             yield flush()
 
-    light = cut.filter(F.col("contexts") <= heavy).select("h", "c", "doc", "piece").repartition("h").sortWithinPartitions("h", "c").mapInArrow(sort, "h long, c long, from_ int, to_ int")
-    windows = cut.filter(F.col("contexts") > heavy).select("h", "c", "doc", "piece", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("from_"))
-    windows = windows.select("h", "c", "doc", "from_", F.substring("piece", F.col("from_") + 1, F.lit(length)).alias("window"))
+    light = cut.filter(F.col("contexts") <= heavy).select("h", "c", "doc", "piece", "at", "block", "start").repartition("h").sortWithinPartitions("h", "c").mapInArrow(sort, "block long, start int, h long, c long, from_ int, to_ int")
+    windows = cut.filter(F.col("contexts") > heavy).select("block", "start", "h", "c", "doc", "piece", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("from_"))
+    windows = windows.select("block", "start", "h", "c", "doc", "from_", F.substring("piece", F.col("from_") + 1, F.lit(length)).alias("window"))
     least = windows.groupBy("h", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    split = windows.join(least, ["h", "window"]).filter("doc > least").select("h", "c", "from_", (F.col("from_") + 1).alias("to_"))
+    split = windows.join(least, ["h", "window"]).filter("doc > least").select("block", "start", "h", "c", "from_", (F.col("from_") + 1).alias("to_"))
 
     # the least id of a context loses the windows that another context's id owns; all others lose all of it
-    owned = found.filter(F.col("covers").isNull() & (F.col("doc") == F.col("owner"))).select("block", "h", "c", "start").join(light.unionByName(split), ["h", "c"])
+    lost = stored(light.unionByName(split), "repeats-lost")
+    again = found.filter(F.col("covers").isNull() & F.col("h").isNotNull() & ~F.col("first")).select("block", "h", "c", "start")
+    owned = lost.drop("h", "c").unionByName(again.join(lost.drop("block", "start"), ["h", "c"]).drop("h", "c"))
     nothing = F.lit(None).cast("binary").alias("covers")
     covers = (
         owned.select("block", (F.col("start") + F.col("from_")).alias("a"), (F.col("start") + F.col("to_") + (length - 1)).alias("b"), nothing)
-        .unionByName(found.filter(F.col("covers").isNull() & (F.col("doc") > F.col("owner"))).select("block", F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).alias("b"), nothing))
+        .unionByName(found.filter(F.col("covers").isNull() & F.col("h").isNull()).select("block", F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).alias("b"), nothing))
         .unionByName(found.filter(F.col("covers").isNotNull()).select("block", F.lit(0).alias("a"), F.lit(0).alias("b"), "covers"))
     )
 
@@ -232,7 +278,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_co
             rows.append((None if i == NO_ID else i, e - s, e - s - len(rest), spans, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_OUT.types)], schema=_OUT)
 
-    out = blocks.groupBy("block").cogroup(covers.groupBy("block")).applyInArrow(cut_out, _OUT_SQL)
+    out = blocks.drop("digests").groupBy("block").cogroup(covers.groupBy("block")).applyInArrow(cut_out, _OUT_SQL)
     return out.withColumnRenamed("id", id_col)
 
 

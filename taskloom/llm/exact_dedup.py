@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, lower_ascii, table
+from ._common import LOWER, UPPER, bounded_batches, lower_ascii, table
 
 #: A trie's budget of text bytes; the tries of a worker never hold more than this and one text.
 TRIE_BYTES = 32 << 20
@@ -138,6 +138,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``normalise`` lower-cases A-Z. A null text counts as empty, a null id owns a text only if all ids are
     null; ``keep`` is "largest" or "smallest"; an empty table gives no rows."""
+    bounded_batches(docs)
     merge = _merger(keep == "largest")
 
     def combine(batches):

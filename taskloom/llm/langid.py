@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._common import table
+from ._common import bounded_batches, table
 
 #: Hash buckets of trigrams, a power of two.
 BUCKETS = 1 << 15
@@ -90,6 +90,7 @@ def fit_languages(rows: DataFrame, per_language: int = PER_LANGUAGE, buckets: in
 
     Counts per language decide a share of rows to take, by a hash of id and text; the trigrams of those are
     counted in the tasks and summed per language. The driver gets one table of ``buckets`` numbers per language."""
+    bounded_batches(rows)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     if not sizes:
         return [], np.zeros((0, buckets), np.float32)
@@ -121,6 +122,7 @@ def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, id_col: st
 
     A null text, one without letters, or a model without languages gives ``und`` with score 0 and no mixture. Equal
     shares go to the first language by name. Ids and labels are not looked at."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((languages, logs))
     names = {f"__k{i}": k for i, k in enumerate(keep or [])}
     carried = [F.col(k).alias(n) for n, k in names.items() if k != text_col]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shuffle_partitions, stored, table, work_dir
+from ._common import bounded_batches, shuffle_partitions, stored, table, work_dir
 
 #: An archive file is closed when it has this many bytes.
 FILE_BYTES = 64 << 20
@@ -97,6 +97,8 @@ def mark_revisits(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "p
 def write_warc(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write page_id, url, payload, record_type, refers_to below ``folder``; returns the index, itself stored."""
 
+    bounded_batches(records)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         store, path = fs.FileSystem.from_uri(folder)

@@ -8,24 +8,28 @@ Two documents link when 100 * |intersection| >= 75 * |union| of their sets of 5-
    the first n - ceil(0.75 n) + 2. A set with only shingles of its own there has no links at all.
    * Light sets (few shingles) enumerate the subsets of two of the latter; only sets with an equal subset are compared.
    * Heavy sets scan the inverted lists of the former; light sets near enough in size are in these lists, too.
+   Lists and subsets are kept apart by the sizes of both sides, in bands: from the place of the (last) shared shingle in a
+   set's order follows how large a linked set can be at most, and a set only enters the lists of bands below that. Within
+   a list, sets go that no other member can link to by these bounds.
    The boundary between the two is the size at which the measured costs, subsets made against list entries read,
    have the least sum.
 3. A list or subset of many sets is not multiplied out. It is compared with one pivot; that gives exact links, and exact
    distances to the pivot. Jaccard distance is a metric, so links only join members whose distances differ by 0.25
    at most: the list falls into rings of that width, and only neighbouring rings stay together. A list whose members are
    in one component is done. So a group of near copies costs about as many comparisons as it has members,
-   and no link between components is ever skipped. Lists still left after ``rounds`` pivots are compared
-   pair by pair, which is exact and ends.
+   and no link between components is ever skipped. In lists still left after ``rounds`` pivots, members outside the
+   largest component are compared with those of other components that the bounds on sizes allow, which settles the rest.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import Block, block_table, bucket_count, look_up, packed, shared_keys, unpack_shared
@@ -37,7 +41,11 @@ WORDS = 5
 #: Similarity as a share of 100.
 PERCENT = 75
 #: Pivots per list before what is left of it is compared pair by pair.
-ROUNDS = 24
+ROUNDS = 3
+#: Pairs up to which their nodes (16 bytes each) are broadcast.
+MOST_BROADCAST = 200_000
+#: The largest size of a band is this times its least, roughly.
+BAND = 1.1
 #: Sizes above this are never light: their subsets are too many at any cost of lists.
 MOST_LIGHT = 64
 
@@ -49,7 +57,7 @@ class _WordHashes(dict):
     """Word -> 64-bit hash, forgotten now and then."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
+        if len(self) > 1 << 16:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -88,8 +96,8 @@ def _least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-_SETS = pa.schema([("block", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("node", pa.binary()), ("items", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("n_basic", pa.int32())])
-_SETS_SQL = "block long, doc long, n int, node binary, items array<long>, prefix array<long>, counts array<long>, n_basic int"
+_SETS = pa.schema([("block", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("node", pa.binary()), ("items", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("n_basic", pa.int32())])
+_SETS_SQL = "block long, doc long, n int, node binary, items array<long>, prefix array<long>, places array<int>, counts array<long>, n_basic int"
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -117,7 +125,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
         for doc, s in zip(b.ids.tolist(), sets):
             n = len(s)
             node = xxhash.xxh3_128_digest(s.tobytes()) if n else None
-            rows.append((b.block, doc, n, node, None, None, None, None))
+            rows.append((b.block, doc, n, node, None, None, None, None, None))
             if not n or node in seen:
                 continue
             seen.add(node)
@@ -129,16 +137,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
             keep = df[order] > 1
             if keep.any():
                 signed = s.view(np.int64)
-                rows.append((b.block, None, n, node, signed, signed[order[keep]], df[order[keep]].astype(np.int64), int(keep[:basic].sum())))
+                rows.append((b.block, None, n, node, signed, signed[order[keep]], np.flatnonzero(keep).astype(np.int32), df[order[keep]].astype(np.int64), int(keep[:basic].sum())))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_SETS.types)], schema=_SETS)
 
     found = stored(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(describe, _SETS_SQL), "jaccard-sets")
     members = found.filter(F.col("doc").isNotNull()).select("doc", "n", "node")
     some = found.filter(F.col("doc").isNull())
     first = some.groupBy("node").agg(F.min("block").alias("block"))
-    sets = stored(some.join(first, ["node", "block"]).select("node", "n", "items", "prefix", "counts", "n_basic"), "jaccard-nodes")
+    sets = stored(some.join(first, ["node", "block"]).select("node", "n", "items", "prefix", "places", "counts", "n_basic"), "jaccard-nodes")
 
-    roots = _linked(sets, _probes(sets, _boundary(sets)), percent, rounds)
+    roots = _linked(sets, _probes(sets, _boundary(sets), percent), percent, rounds)
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
@@ -160,36 +168,56 @@ def _boundary(sets: DataFrame) -> int:
     return min(range(2, MOST_LIGHT + 1), key=lambda b: (cost(b), b))
 
 
-def _probes(sets: DataFrame, boundary: int) -> DataFrame:
-    """(key, node): the subsets of two of light sets, and the list entries of heavy sets and their light neighbours."""
-    light, heavy = F.col("n") <= boundary, 100 * F.col("n") > PERCENT * boundary
-    pairs = F.flatten(F.transform("prefix", lambda x, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda y: F.xxhash64(x, y))))
-    lists = F.transform(F.slice("prefix", 1, F.col("n_basic")), lambda x: F.xxhash64(x, F.lit("list")))
-    keys = F.concat(F.when(light, pairs).otherwise(F.array().cast("array<long>")), F.when(heavy, lists).otherwise(F.array().cast("array<long>")))
-    return sets.select(F.explode(keys).alias("key"), "node")
+def _probes(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """(key, node, n, most): the subsets of two of light sets, and the list entries of heavy sets and their light neighbours, by band.
+
+    If the last of ``shared`` common shingles stands at ``place`` (from 0) in a set of n, and no other common one before it,
+    the sets have n - place - 1 + shared in common at most. A linked set of m has percent / (100 + percent) * (n + m)
+    of them at least, which bounds m: ``most``."""
+    n, slack, reach = F.col("n").cast("double"), 1e-6, math.ceil(math.log(100 / percent) / math.log(BAND)) + 1
+    band = F.floor(F.log(n) / math.log(BAND)).cast("int")
+
+    def keys(hashed: Column, place: Column, shared: int) -> Column:
+        most = (n - place - 1 + shared) * (100 + percent) / percent - n + slack
+        low = lambda c: F.pow(F.lit(BAND), c)
+        fits = lambda c: (low(c) <= most) & (low(c) <= n * 100 / percent + slack) & (low(c + 1) >= n * percent / 100 - slack)
+        return F.transform(F.filter(F.sequence(band - reach, band + reach), fits), lambda c: F.struct(F.xxhash64(hashed, F.least(band, c), F.greatest(band, c)).alias("key"), F.floor(most).cast("int").alias("most")))
+
+    light, heavy = F.col("n") <= boundary, 100 * F.col("n") > percent * boundary
+    none = F.array().cast("array<array<struct<key:long,most:int>>>")
+    entries = F.arrays_zip("prefix", "places")
+    pairs = F.flatten(F.transform(entries, lambda x, i: F.transform(F.slice(entries, i + 2, F.size("prefix")), lambda y: keys(F.xxhash64(x["prefix"], y["prefix"]), y["places"], 2))))
+    lists = F.transform(F.slice(entries, 1, F.col("n_basic")), lambda x: keys(F.xxhash64(x["prefix"], F.lit("list")), x["places"], 1))
+    both = F.concat(F.when(light, pairs).otherwise(none), F.when(heavy, lists).otherwise(none))
+    return sets.select("node", "n", F.explode(F.flatten(both)).alias("k")).select("k.key", "node", "n", "k.most")
 
 
 def _linked(sets: DataFrame, probes: DataFrame, percent: int, rounds: int) -> DataFrame:
     """(node, root) of all nodes that link to another one."""
     items = sets.select("node", "n", "items")
-    # far: the distance to the last pivot in thousandths; the farthest member is the next pivot
+    # far: the distance to the last pivot in thousandths. The next pivot is one that it does not link to, if there is any, and of
+    # these one with few shingles of its own: the text that the others are copies of links to most of them
     lists, comp = probes.withColumn("far", F.lit(0)), None
     for turn in range(rounds + 1):
         if comp is None:
             placed = lists.withColumn("comp", F.col("node"))
         else:
             placed = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        tops = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("far", "node"))["node"].alias("pivot")).filter("lo < hi").select("key", "pivot")
-        live = stored(placed.join(tops, "key"), "jaccard-lists")
+        tops = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(F.col("far") >= 10 * (100 - percent), "most", "node"))["node"].alias("pivot"), F.min("n").alias("least"), F.max("most").alias("most_")).filter("lo < hi").drop("lo", "hi")
+        live = placed.join(tops, "key").filter("most >= least AND n <= most_").drop("least", "most_")
+        live = stored(live, "jaccard-lists")
         if live.isEmpty():
             break
         if turn < rounds:
             pairs = live.filter("node != pivot").select("node", "pivot").distinct()
         else:
-            other = live.select("key", F.col("node").alias("pivot"), F.col("comp").alias("comp2"))
-            pairs = live.select("key", "node", "comp").join(other, "key").filter("node < pivot and comp != comp2").select("node", "pivot").distinct()
-        # the smaller side of each pair travels first; every pair meets both of its sets once
-        both = pairs.join(items, "node").join(items.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("items").alias("items2")), "pivot")
+            pairs = _across(live)
+        pairs = stored(pairs, "jaccard-candidates")
+        left, right = items, items.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("items").alias("items2"))
+        if pairs.count() <= MOST_BROADCAST:  # few pairs: only their sets are shuffled
+            left = left.join(F.broadcast(pairs.select("node").distinct()), "node", "left_semi")
+            right = right.join(F.broadcast(pairs.select("pivot").distinct()), "pivot", "left_semi")
+        both = pairs.join(left, "node").join(right, "pivot")
         both = both.select("node", "pivot", "n", "n2", F.size(F.array_intersect("items", "items2")).alias("common")).withColumn("all", F.col("n") + F.col("n2") - F.col("common"))
         apart = F.col("all") - F.col("common")
         width = 100 - percent
@@ -197,18 +225,30 @@ def _linked(sets: DataFrame, probes: DataFrame, percent: int, rounds: int) -> Da
         comp = _merged(comp, seen.filter("link").select("node", "pivot"))
         if turn == rounds:
             break
-        ringed = live.filter("node != pivot").select("key", "node", "pivot").join(seen, ["node", "pivot"]).select("key", "node", "ring", "far")
+        ringed = live.filter("node != pivot").drop("comp", "far").join(seen, ["node", "pivot"]).select("key", "node", "n", "most", "ring", "far")
         mask = ringed.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, ring)")).alias("rings"))
         has = lambda r: F.getbit("rings", F.greatest(r, F.lit(0))).cast("boolean") & (r >= 0)
         here = F.col("ring")
         # group r holds the rings r and r + 1; a ring without neighbours is a group of its own
         groups = F.array(F.when(has(here + 1) | ~has(here - 1), here), F.when(has(here - 1), here - 1))
-        lists = ringed.join(mask, "key").select(F.explode(F.filter(groups, lambda g: g.isNotNull())).alias("g"), "key", "node", "far").select(F.xxhash64("key", "g").alias("key"), "node", "far")
+        lists = ringed.join(mask, "key").select(F.explode(F.filter(groups, lambda g: g.isNotNull())).alias("g"), "key", "node", "n", "most", "far").select(F.xxhash64("key", "g").alias("key"), "node", "n", "most", "far")
     if comp is None:
         return sets.select("node", F.col("node").alias("root")).limit(0)
     return comp
 
 
+def _across(live: DataFrame) -> DataFrame:
+    """(node, pivot): the pairs of a list from different components that the bounds on sizes leave.
+
+    One of such a pair lies outside the list's largest component. Those few look up, size by size, who may link to them."""
+    largest = live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members")).groupBy("key").agg(F.max(F.struct("members", "comp"))["comp"].alias("main"))
+    sizes = live.groupBy("key", F.col("n").alias("n2")).agg(F.max("most").alias("reach"))
+    outside = live.drop("pivot", "far").join(largest, "key").filter("comp != main").join(sizes, "key").filter("n2 <= most AND n <= reach")
+    other = live.select("key", F.col("n").alias("n2"), F.col("node").alias("pivot"), F.col("comp").alias("comp2"), F.col("most").alias("most2"))
+    pairs = outside.join(other, ["key", "n2"]).filter("comp != comp2 AND n <= most2")
+    return pairs.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct()
+
+
 def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after ``links`` join in; only components are walked over, never their members."""
     if comp is None:

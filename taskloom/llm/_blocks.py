@@ -28,7 +28,7 @@ from ._common import NO_ID, bounded_batches, shuffle_partitions, stored
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Keys that one bucket holds, roughly.
-BUCKET_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 20
 
 _BLOCK = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("digests", pa.binary()), ("data", pa.binary())])
 _BLOCK_SQL = "block long, n_bytes long, ids binary, lens binary, digests binary, data binary"
@@ -137,6 +137,7 @@ def shared_keys(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], n_buc
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KEYS.types)], schema=_KEYS)
 
     def meet(group: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         keys = [np.frombuffer(k.as_py(), np.uint32) for k in group["keys"]]
         counts = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in group["counts"]])
         names, at = np.unique(np.concatenate(keys), return_inverse=True)

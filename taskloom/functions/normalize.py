@@ -19,8 +19,7 @@ def name_of(name: Column, task_id: Column, suffix: str = M.ID_SUFFIX) -> Column:
     """The name, or what the id says: the part before "___", else all but the last two parts between "_".
 
     An id of one such part is its own name."""
-    short = F.when(F.endswith(task_id, F.lit(suffix)), F.expr("''").cast("string")).otherwise(task_id)
-    short = F.when(F.endswith(task_id, F.lit(suffix)), F.left(task_id, F.length(task_id) - len(suffix))).otherwise(short)
+    short = F.when(F.endswith(task_id, F.lit(suffix)), F.left(task_id, F.length(task_id) - len(suffix))).otherwise(task_id)
     parts = F.split(short, "_")
     from_parts = F.when(F.size(parts) < 2, task_id).otherwise(F.array_join(F.slice(parts, 1, F.size(parts) - 2), "_"))
     return F.coalesce(name, F.when(F.contains(short, F.lit(M.ID_DELIMITER)), F.split_part(short, F.lit(M.ID_DELIMITER), F.lit(1))).otherwise(from_parts))

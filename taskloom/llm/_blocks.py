@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, bounded_batches, shuffle_partitions, stored
+from ._common import NO_ID, bounded_batches, claim_worker, shuffle_partitions, stored
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -40,6 +40,7 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, tag: str, block_byt
     """block, n_bytes, ids, lens, digests (16 bytes per text), data: the texts (null: empty) of all rows, as stored blocks. Null ids become NO_ID."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker()
         first, n = TaskContext.get().partitionId() << 32, 0
         press = zstandard.ZstdCompressor(level=1)
 
@@ -125,6 +126,7 @@ def shared_keys(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], n_buc
     ``keys_of`` gives the 64-bit keys of a block's documents, each once per document."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("words")
         for b in each_block(batches):
             names, counts = np.unique(packed(keys_of(b), n_buckets), return_counts=True)
             if not len(names):
@@ -137,6 +139,7 @@ def shared_keys(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], n_buc
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KEYS.types)], schema=_KEYS)
 
     def meet(group: pa.Table) -> pa.Table:
+        claim_worker("words")
         pa.default_memory_pool().release_unused()
         keys = [np.frombuffer(k.as_py(), np.uint32) for k in group["keys"]]
         counts = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in group["counts"]])

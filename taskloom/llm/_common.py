@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -62,5 +63,22 @@ def bounded_batches(df: DataFrame, size: str = "8m") -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: Tables that modules keep in a Python worker from task to task, by name.
+WORKER_TABLES: dict[str, dict] = {}
+
+
+def claim_worker(own: str = "") -> None:
+    """At the start of a task in Python: drop what other operators' tasks have kept in this worker, which Spark uses again."""
+    others = [t for name, t in WORKER_TABLES.items() if name != own and t]
+    for t in others:
+        t.clear()
+    if others:
+        gc.enable()
+        gc.collect()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, table
+from ._common import WORKER_TABLES, bounded_batches, claim_worker, table
 
 #: States, and encoded pieces, that a worker keeps.
 STATES, PIECES = 1 << 18, 1 << 18
@@ -228,6 +228,7 @@ def decode_stream(ids: Iterable[str], tokens: dict[str, bytes], size: int = DECO
 
 #: One encoder per worker and rank file.
 _encoders: dict[tuple, tuple] = {}
+WORKER_TABLES["bpe"] = _encoders
 
 
 def _encoder(data: bytes, pattern: str) -> tuple:
@@ -248,6 +249,7 @@ def tokenize(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id"
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("bpe")
         encoder, tokens, split = _encoder(shared.value, pattern)
         # the collector would walk all states and pieces again and again, and they leave no cycles behind
         gc.disable()

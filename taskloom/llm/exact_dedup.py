@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, bounded_batches, lower_ascii, table
+from ._common import LOWER, UPPER, bounded_batches, claim_worker, lower_ascii, table
 
 #: A trie's budget of text bytes; the tries of a worker never hold more than this and one text.
 TRIE_BYTES = 32 << 20
@@ -142,6 +142,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     merge = _merger(keep == "largest")
 
     def combine(batches):
+        claim_worker()
         trie = OwnerTrie(merge)
 
         def entries():
@@ -155,6 +156,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield from _batches(((len(t), h, t, owner, rows) for t, (owner, rows, h) in entries()), _PARTIAL)
 
     def own(batches):
+        claim_worker()
         trie = OwnerTrie(merge)
 
         def entries():

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import Block, block_table, bucket_count, look_up, packed, shared_keys, unpack_shared
-from ._common import LOWER, NO_ID, UPPER, stored, table
+from ._common import LOWER, NO_ID, UPPER, WORKER_TABLES, claim_worker, stored, table
 from ._graph import components
 from .repeats import _scrambled
 
@@ -64,6 +64,7 @@ class _WordHashes(dict):
 
 
 _word_hash = _WordHashes()
+WORKER_TABLES["words"] = _word_hash
 
 
 def shingle_sets(texts: Iterator[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -119,6 +120,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
         if not text.num_rows:
             return _SETS.empty_table()
         b = Block(text.to_pylist()[0])
+        claim_worker("words")
         names, counts = unpack_shared(keys)
         sets = shingle_sets(b.texts(), words)
         rows, seen = [], set()

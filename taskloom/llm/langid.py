@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._common import bounded_batches, table
+from ._common import bounded_batches, claim_worker, table
 
 #: Hash buckets of trigrams, a power of two.
 BUCKETS = 1 << 15
@@ -99,6 +99,7 @@ def fit_languages(rows: DataFrame, per_language: int = PER_LANGUAGE, buckets: in
     schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary())):
@@ -130,6 +131,7 @@ def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, id_col: st
     kinds = {f.name: f.dataType for f in rows.schema} | {n: StringType() for n, k in names.items() if k == text_col}
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker()
         languages, logs = shared.value
         for batch in batches:
             langs, scores, mixtures = [], [], []

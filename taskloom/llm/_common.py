@@ -67,17 +67,27 @@ def bounded_batches(df: DataFrame, size: str = "8m") -> None:
 WORKER_TABLES: dict[str, dict] = {}
 
 
+_owner = ""
+
+
 def claim_worker(own: str = "") -> None:
-    """At the start of a task in Python: drop what other operators' tasks have kept in this worker, which Spark uses again."""
-    others = [t for name, t in WORKER_TABLES.items() if name != own and t]
-    for t in others:
-        t.clear()
-    if others:
-        gc.enable()
-        gc.collect()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+    """At the start of a task in Python: when the last task in this worker was another operator's, drop the tables that it
+    has kept and give freed memory back. Spark uses workers again, and freed memory else stays with them."""
+    global _owner
+    if own == _owner:
+        return
+    _owner = own
+    import pyarrow  # here, as native operators import this module
+
+    for name, t in WORKER_TABLES.items():
+        if name != own:
+            t.clear()
+    gc.enable()
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def shuffle_partitions(df: DataFrame) -> int:

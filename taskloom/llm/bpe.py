@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import WORKER_TABLES, bounded_batches, claim_worker, table
 
 #: States, and encoded pieces, that a worker keeps.
-STATES, PIECES = 1 << 18, 1 << 18
+STATES, PIECES = 1 << 18, 1 << 17
 #: Tokens that the decoder takes at a time.
 DECODE_TOKENS = 1 << 14
 
@@ -39,22 +39,24 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class _State:
-    """``live``: (bytes since, tokens up to) all positions where a later token may begin; the last one is the end."""
+    """``key``: the last emitted token, then, for all positions where a later token may begin, the bytes since and the
+    tokens up to it; the last position is the end. It is flat and its bytes are those of the tables, so that many fit in memory."""
 
-    __slots__ = ("last", "live", "next")
+    __slots__ = ("key", "next")
 
-    def __init__(self, last: bytes, live: list):
-        self.last, self.live, self.next = last, live, None
+    def __init__(self, key: tuple):
+        self.key, self.next = key, None
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.limit = ranks, states
-        self.begins = {t[:i] for t in ranks for i in range(len(t))}
+        self.begins = {b: b for b in {t[:i] for t in ranks for i in range(len(t))}}
+        self.tokens = {t: t for t in ranks}
         self.byte = [bytes((i,)) for i in range(256)]
         self.fits_memo: dict[tuple[bytes, bytes], bool] = {}
         self.edges: dict[tuple[bytes, bool], list] = {}
-        self.start = _State(b"", [(b"", ())])
+        self.start = _State((b"", b"", ()))
         self.states: dict[tuple, _State] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -106,37 +108,37 @@ class Transducer:
         return known
 
     def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        ranks, begins, memo, one = self.ranks, self.begins, self.fits_memo, self.byte[byte]
-        live, ended = [], None
-        for since, path in state.live:
+        ranks, begins, tokens, memo, one = self.ranks, self.begins, self.tokens, self.fits_memo, self.byte[byte]
+        last, *places = state.key
+        live, ended, walk = [], None, iter(places)
+        for since, path in zip(walk, walk):
             since += one
-            if ended is None and since in ranks:
-                before = path[-1] if path else state.last
-                if (fit := memo.get((before, since))) is None:
-                    fit = self.fits(before, since)
+            if ended is None and (token := tokens.get(since)) is not None:
+                before = path[-1] if path else last
+                if (fit := memo.get((before, token))) is None:
+                    fit = self.fits(before, token)
                 if fit:
-                    ended = (*path, since)
-            if since in begins:
-                live.append((since, path))
+                    ended = (*path, token)
+            if (known := begins.get(since)) is not None:
+                live += known, path
         if ended is None:
             raise ValueError("these ranks lack a byte")
-        live.append((b"", ended))
-        last, emitted = state.last, ()
-        first = live[0][1]
+        live += b"", ended
+        first, emitted = live[1], ()
         if first:  # tokens that all live paths begin with are certain
             sure = len(first)
-            for _, path in live:
+            for path in live[3::2]:
                 while first[:sure] != path[:sure]:
                     sure -= 1
             if sure:
                 last, emitted = first[sure - 1], tuple([ranks[t] for t in first[:sure]])
-                live = [(since, path[sure:]) for since, path in live]
+                live[1::2] = [path[sure:] for path in live[1::2]]
         # without a live path from here on, the last token plays no part any more
-        key = (last if not live[0][1] else b"", *[x for s in live for x in s])
+        key = (b"" if live[1] else last, *live)
         if (after := self.states.get(key)) is None:
             if len(self.states) >= self.limit:
                 self.forget()
-            after = self.states[key] = _State(last, live)
+            after = self.states[key] = _State(key)
         if state.next is None:
             state.next = {}
         state.next[byte] = found = (after, emitted)
@@ -156,7 +158,7 @@ class Transducer:
             state, emitted = found if found is not None else step(state, byte)
             if emitted:
                 out += emitted
-        out += [self.ranks[t] for t in state.live[-1][1]]
+        out += [self.ranks[t] for t in state.key[-1]]
         return out
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import WORKER_TABLES, bounded_batches, claim_worker, table
 
 #: States, and encoded pieces, that a worker keeps.
-STATES, PIECES = 1 << 18, 1 << 17
+STATES, PIECES = 1 << 17, 1 << 17
 #: Tokens that the decoder takes at a time.
 DECODE_TOKENS = 1 << 14
 

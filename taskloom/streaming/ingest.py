@@ -77,29 +77,66 @@ def ingest_batch(store: TaskStore, events: DataFrame, settings: Settings | None
     return store.upsert(files.stored(enriched(store, tasks, before), "batch-enriched"), version, settings.monotone, batch)
 
 
-def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str, settings: Settings | None = None, dead: str | None = None, once: bool = True, files_per_batch: int = 100):
+def _earlier(spark: SparkSession, path: str, batch: DataFrame, number: int, seconds: int) -> DataFrame:
+    """id, received of envelopes let in by micro-batches before ``number``; only the hours that ``batch`` reaches are read."""
+    hour = lambda by: F.floor((F.unix_micros("received") / 1_000_000 + by) / 3600).cast("long")
+    # a batch has as many times as files, so this follows the number of files
+    hours = {h for r in batch.select(hour(-seconds), hour(seconds)).distinct().collect() for h in range(r[0], r[1] + 1)}
+    exists = lambda p: (h := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(h)
+    found = [p for h in sorted(hours) if exists(p := f"{path}/hour={h}")]
+    schema = "id string, received timestamp, hour long, batch long"
+    if not found:
+        return spark.createDataFrame([], schema).select("id", "received")
+    return spark.read.schema(schema).option("basePath", path).parquet(*found).filter(F.col("batch") < number).select("id", "received")
+
+
+def let_in(good: DataFrame, earlier: DataFrame, seconds: int = 10) -> DataFrame:
+    """Envelopes (id, received, place) without the duplicates; those without an id all pass.
+
+    In order of time, an envelope is a duplicate if one with its id was let in less than ``seconds`` before, and also if
+    a micro-batch before this one (``earlier``) let one in less than ``seconds`` after. An id has as many times as the
+    batch has files, however often it comes, so its walk is short."""
+    span = seconds * 1_000_000
+    times = good.filter("id IS NOT NULL").groupBy("id", F.unix_micros("received").alias("at")).agg(F.min("place").alias("place"))
+    had = earlier.join(times.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set(F.unix_micros("received")).alias("had"))
+    each = times.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "place"))).alias("times")).join(had, "id", "left")
+    new = F.filter("times", lambda x: ~F.exists(F.coalesce("had", F.array().cast("array<bigint>")), lambda a: F.abs(a - x["at"]) < span))
+    kept = F.aggregate(
+        "new", F.array().cast("array<struct<at:bigint,place:bigint>>"),
+        lambda acc, x: F.when((F.size(acc) > 0) & (x["at"] - F.get(acc, F.size(acc) - 1)["at"] < span), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    places = each.withColumn("new", new).select(F.explode(F.transform(kept, lambda x: x["place"])).alias("place"))
+    return good.filter("id IS NULL").unionByName(good.filter("id IS NOT NULL").join(places, "place", "left_semi").select(*good.columns))
+
+
+def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str, settings: Settings | None = None, dead: str | None = None, once: bool = True, files_per_batch: int = 100, max_age: str = "36500d"):
     """A query that reads envelope files below ``source`` and merges each micro-batch into ``store``.
 
-    Envelopes with an id let in within ten seconds before are dropped; malformed lines go to ``dead``. The store
-    knows which micro-batch it merged last, so one that is replayed after a failure is merged once."""
-    lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(source)
-    rows = lines.select("value", F.col("_metadata.file_modification_time").alias("received"), F.col("_metadata.file_path").alias("file"), F.xxhash64("value").alias("line"))
+    Envelopes with an id let in within ten seconds of file time are dropped, also when the files come out of order; all
+    others get through, however late their file is seen. The ids let in are a table in ``checkpoint``. Malformed lines all
+    go to ``dead``. The store knows which micro-batch it merged last, so one that is replayed after a failure is merged once.
+    Spark itself passes over files that are older than the newest one by more than ``max_age``."""
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", max_age).load(source)
+    rows = lines.select("value", F.col("_metadata.file_modification_time").alias("received"), F.col("_metadata.file_path").alias("file"))
     envelopes = files.envelopes_from_text(rows)
-    # those without an id are told apart by their content and file, and so are never taken for each other
-    keyed = envelopes.withColumn("dedup_key", F.coalesce("id", F.concat_ws("|", "file", F.col("line").cast("string"))))
-    unique = keyed.withWatermark("received", "10 seconds").dropDuplicatesWithinWatermark(["dedup_key"])
+    admitted = f"{checkpoint.rstrip('/')}/admitted"
 
     def one(batch: DataFrame, number: int) -> None:
         if number <= store.last_batch():
             return
-        batch = files.stored(batch, "micro-batch")
+        session = batch.sparkSession
+        batch = files.stored(batch.withColumn("place", F.monotonically_increasing_id()), "micro-batch")
         if dead is not None:
             batch.filter("malformed IS NOT NULL").select("malformed", "file").write.mode("overwrite").json(f"{dead}/batch={number}")
         good = batch.filter("malformed IS NULL")
+        good = files.stored(let_in(good, _earlier(session, admitted, good, number, 10)), "micro-batch-unique")
+        # before the merge, and again in the same place if the batch is replayed
+        ids = good.filter("id IS NOT NULL").select("id", "received", F.floor(F.unix_micros("received") / 3_600_000_000).cast("long").alias("hour"), F.lit(number).cast("long").alias("batch"))
+        ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(admitted)
         # the order of arrival: files by time and name, and events by their place
-        ordered = good.withColumn("seq_base", F.unix_micros("received") * 1000 + F.pmod(F.xxhash64("file", "dedup_key"), F.lit(1000)))
+        ordered = good.withColumn("seq_base", F.unix_micros("received") * 1000 + F.pmod(F.xxhash64("file", "place"), F.lit(1000)))
         events = files.events_of(ordered.withColumn("seq_base", F.col("seq_base") % 1_000_000_000_000))
         ingest_batch(store, events, settings, batch=number)
 
-    writer = unique.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    writer = envelopes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -90,6 +90,17 @@ def _earlier(spark: SparkSession, path: str, batch: DataFrame, number: int, seco
     return spark.read.schema(schema).option("basePath", path).parquet(*found).filter(F.col("batch") < number).select("id", "received")
 
 
+def numbered(batch: DataFrame) -> DataFrame:
+    """``place`` in the order of arrival, without gaps: files by time and name, and lines by their place in the file.
+
+    It is the count of lines in the splits before and the rank within the split; the window only sees one row per split."""
+    split = ["received", "file", "block"]
+    sizes = batch.groupBy(*split).agg(F.min("place").alias("first"), (F.max("place") - F.min("place") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*split, (before - F.col("first")).alias("shift"))
+    return batch.join(F.broadcast(starts), split).withColumn("place", F.col("place") + F.col("shift")).drop("shift")
+
+
 def let_in(good: DataFrame, earlier: DataFrame, seconds: int = 10) -> DataFrame:
     """Envelopes (id, received, place) without the duplicates; those without an id all pass.
 
@@ -117,7 +128,7 @@ def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str,
     go to ``dead``. The store knows which micro-batch it merged last, so one that is replayed after a failure is merged once.
     Spark itself passes over files that are older than the newest one by more than ``max_age``."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", max_age).load(source)
-    rows = lines.select("value", F.col("_metadata.file_modification_time").alias("received"), F.col("_metadata.file_path").alias("file"))
+    rows = lines.select("value", F.col("_metadata.file_modification_time").alias("received"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     envelopes = files.envelopes_from_text(rows)
     admitted = f"{checkpoint.rstrip('/')}/admitted"
 
@@ -125,7 +136,8 @@ def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str,
         if number <= store.last_batch():
             return
         session = batch.sparkSession
-        batch = files.stored(batch.withColumn("place", F.monotonically_increasing_id()), "micro-batch")
+        # a split is read in order by one task, so this grows by one from line to line within it
+        batch = numbered(files.stored(batch.withColumn("place", F.monotonically_increasing_id()), "micro-batch"))
         if dead is not None:
             batch.filter("malformed IS NOT NULL").select("malformed", "file").write.mode("overwrite").json(f"{dead}/batch={number}")
         good = batch.filter("malformed IS NULL")
@@ -133,9 +145,7 @@ def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str,
         # before the merge, and again in the same place if the batch is replayed
         ids = good.filter("id IS NOT NULL").select("id", "received", F.floor(F.unix_micros("received") / 3_600_000_000).cast("long").alias("hour"), F.lit(number).cast("long").alias("batch"))
         ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(admitted)
-        # the order of arrival: files by time and name, and events by their place
-        ordered = good.withColumn("seq_base", F.unix_micros("received") * 1000 + F.pmod(F.xxhash64("file", "place"), F.lit(1000)))
-        events = files.events_of(ordered.withColumn("seq_base", F.col("seq_base") % 1_000_000_000_000))
+        events = files.events_of(good.withColumnRenamed("place", "seq_base"))
         ingest_batch(store, events, settings, batch=number)
 
     writer = envelopes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)

@@ -50,3 +50,23 @@ def test_duplicates_go_by_the_last_one_let_in(spark):
     good = spark.createDataFrame(rows, "id string, s long, place long").selectExpr("id", "timestamp_seconds(s) AS received", "place")
     earlier = spark.createDataFrame([("v", 10), ("u", 5)], "id string, s long").selectExpr("id", "timestamp_seconds(s) AS received")
     assert sorted(r["place"] for r in ingest.let_in(good, earlier).collect()) == [0, 1, 3, 5, 6]
+
+
+def test_files_far_apart_come_in_order(spark, tmp_path):
+    store = TaskStore(spark, f"file://{tmp_path}/store", buckets=2)
+    start = T0 - T0 % 1000 + 900
+    # the later file has the lesser time within its 1000 seconds, and the lesser name
+    put(tmp_path / "in", "b", start, wrapped("w1", "a___1", name="first", strings={"k": "1"}))
+    put(tmp_path / "in", "a", start + 1100, wrapped("w2", "a___1", M.INFO, strings={"k": "2"}))
+    task = run(spark, tmp_path, store)["a___1"]
+    assert task["string"] == {"k": "2"} and task["name"] == "first"
+
+
+def test_many_envelopes_of_a_file_keep_their_order(spark, tmp_path):
+    store = TaskStore(spark, f"file://{tmp_path}/store", buckets=2)
+    put(tmp_path / "in", "a", T0, wrapped("w", "a___1", name="a"), *[wrapped(f"w{i}", f"a___{i % 50}", M.INFO, strings={"k": str(i)}) for i in range(5000)], wrapped("v", "a___1", name="b"))
+    put(tmp_path / "in", "b", T0, wrapped("u", "a___2", M.INFO, strings={"k": "last"}))
+    out = run(spark, tmp_path, store)
+    wanted = {f"a___{i}": str(4950 + i) for i in range(50)} | {"a___2": "last"}
+    assert {t: r["string"]["k"] for t, r in out.items()} == wanted
+    assert out["a___1"]["status"] == M.CORRUPTED and out["a___1"]["name"] == "a"

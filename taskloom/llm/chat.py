@@ -6,7 +6,8 @@ roles as states combines them; Viterbi's best path recovers the roles, also of l
 an unknown one. Lines are then put together into turns and rendered in one canonical form.
 
 Probabilities are counts over labelled conversations (plain aggregations). Viterbi runs on segments of
-``SEGMENT`` turns, so that one conversation never has to fit in one task: each segment gives the best scores
+``SEGMENT`` lines, so that one conversation never has to fit in one task, whatever its turn numbers: lines are sorted
+by ranges and cut by their rank in the range. Each segment gives the best scores
 from every role before it to every role at its end (max-plus matrices), these small matrices are chained per
 conversation, and each segment is decoded between the roles that the chain fixed. That equals one long run.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACES, table
+from ._common import SPACES, stored, table
 
 ROLES = ("system", "user", "assistant")
 #: Names that speakers are given, by role. Fixed values.
@@ -125,43 +126,70 @@ def _best(model: Model, new, emit: np.ndarray, start: np.ndarray) -> tuple[np.nd
     return score, back
 
 
+def _through(model: Model, new, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Roles before x roles at the end: the best scores, and each way's rank among those to the same end, by which ties are
+    broken as in one long run: the way back from the end that first meets a lesser role."""
+    n, k = emit.shape
+    score, back = np.where(np.eye(k) > 0, 0.0, -np.inf), np.zeros((n, k, k), np.int8)
+    for t in range(n):
+        way = score[:, :, None] + model.move[new[t]]
+        back[t] = way.argmax(axis=1)
+        score = way.max(axis=1) + emit[t]
+    path, rows = np.empty((n, k, k), np.int8), np.arange(k)[:, None]
+    path[-1] = np.arange(k)
+    for t in range(n - 1, 0, -1):
+        path[t - 1] = back[t, rows, path[t]]
+    ranks = np.empty((k, k))
+    for j in range(k):
+        ranks[sorted(range(k), key=lambda i: path[::-1, i, j].tobytes()), j] = np.arange(k)
+    return score, ranks
+
+
+def segmented(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Lines, repeats once, with ``place``, which grows along each conversation, and ``segment``: at most so many lines in a row.
+
+    A range of the sort is a task's, and a conversation may lie across any number of ranges. Places hold as they are stored."""
+    order = ["conv", "turn", "copy", "line"]
+    placed = lines.dropDuplicates(order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    return stored(placed.drop("given"), "chat-lines").withColumn("segment", F.floor(F.col("place") / segment).cast("long"))
+
+
 def parse(turns: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """Canonical turns: conv_col, turn_col, part (from 0 within a given turn), role, n_lines, rendered.
 
     A turn splits where the recovered role changes. Null texts are empty turns, null or unknown roles are missing markers,
     turns without a number come first; rows that repeat a conversation's turn are ordered by a hash of their content,
     and exact repeats are one turn. A null conversation is one conversation. Ties go to the first of ``ROLES``."""
-    shared = turns.sparkSession.sparkContext.broadcast(model)
-    lines = lines_of(turns, conv_col, turn_col, role_col, text_col).dropDuplicates(["conv", "turn", "copy", "line"])
-    lines = lines.withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 62))).cast("long"))
-    features = lines.select("conv", "segment", "turn", "copy", "line", "new", "marker", "size", "asks")
+    # multiples of 2^-20 are added without rounding, so that sums and ties do not depend on where segments are cut
+    exact = Model(*[np.round(x * (1 << 20)) / (1 << 20) for x in (model.first, model.move, model.mark, model.size, model.asks)])
+    shared = turns.sparkSession.sparkContext.broadcast(exact)
+    lines = segmented(lines_of(turns, conv_col, turn_col, role_col, text_col), segment)
+    features = lines.select("conv", "segment", "place", "new", "marker", "size", "asks")
     conv = features.schema["conv"].dataType.simpleString()
 
     def ordered(group: pa.Table) -> tuple:
-        t = group.select(["turn", "copy", "line", "new", "marker", "size", "asks"]).to_pandas()
-        t = t.sort_values(["turn", "copy", "line"], na_position="first", kind="stable")
+        t = group.select(["place", "new", "marker", "size", "asks"]).to_pandas().sort_values("place")
         new = t["new"].to_numpy()
         return t.index.to_numpy(), new, shared.value.emissions(new, t["marker"].to_numpy(), t["size"].to_numpy(), t["asks"].to_numpy())
 
     def measure(group: pa.Table) -> pa.Table:
         _, new, emit = ordered(group)
-        k = len(ROLES)
-        matrix = [_best(shared.value, new, emit, np.where(np.arange(k) == i, 0.0, -np.inf))[0] for i in range(k)]
+        scores, ranks = _through(shared.value, new, emit)
         alone = _best(shared.value, new, emit, None)[0]
-        return pa.table({"conv": group["conv"].slice(0, 1), "segment": group["segment"].slice(0, 1), "scores": pa.array([np.concatenate([*matrix, alone]).tolist()], pa.list_(pa.float64()))})
+        return pa.table({"conv": group["conv"].slice(0, 1), "segment": group["segment"].slice(0, 1), "scores": pa.array([np.concatenate([scores.ravel(), alone, ranks.ravel()]).tolist()], pa.list_(pa.float64()))})
 
     def chain(group: pa.Table) -> pa.Table:
         g = group.select(["segment", "scores"]).to_pandas().sort_values("segment")
         k, score, backs = len(ROLES), None, []
         for s in g["scores"]:
-            s = np.asarray(s).reshape(k + 1, k)
+            s = np.asarray(s).reshape(2 * k + 1, k)
             if score is None:
                 score = s[k]
                 backs.append(np.full(k, -1))
             else:
                 way = score[:, None] + s[:k]
-                backs.append(way.argmax(axis=0))
                 score = way.max(axis=0)
+                backs.append(np.where(way == score, s[k + 1 :], k).argmin(axis=0))
         ends = [int(score.argmax())]
         for b in reversed(backs):
             ends.append(int(b[ends[-1]]))
@@ -182,7 +210,7 @@ def parse(turns: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: s
 
     scores = features.groupBy("conv", "segment").applyInArrow(measure, f"conv {conv}, segment long, scores array<double>")
     ends = scores.groupBy("conv").applyInArrow(chain, f"conv {conv}, segment long, enter int, leave int")
-    bodies = lines.select("conv", "segment", "turn", "copy", "line", "body", "new", "marker", "size", "asks")
+    bodies = lines.select("conv", "segment", "place", "turn", "copy", "line", "body", "new", "marker", "size", "asks")
     placed = bodies.groupBy("conv", "segment").cogroup(ends.groupBy("conv", "segment")).applyInArrow(decode, f"conv {conv}, turn long, copy long, line int, body string, role int")
     # a given turn is put together again, cut where the role changes; a turn's lines are one row's text
     each = placed.groupBy("conv", "turn", "copy").agg(F.array_sort(F.collect_list(F.struct("line", "role", "body"))).alias("lines"))

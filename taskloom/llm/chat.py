@@ -63,22 +63,24 @@ def speaker(name: Column) -> Column:
 
 
 def lines_of(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv, turn, copy, line, body, new, marker, size, asks: one row per line, and one for a turn without text.
+    """conv, turn, copy, rep, line, body, new, marker, size, asks: one row per line, and one for a turn without text.
 
     A marker that opens a line beats the role column, which only marks a turn's first line; it is cut off."""
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # rows that repeat a conversation's turn keep apart by their content
-    rows = rows.withColumn("copy", F.xxhash64(F.coalesce("given", F.lit("")), "text"))
-    lines = rows.select("conv", "turn", "copy", "given", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(text_col).isNull().alias("empty"))
+    # rows that repeat a conversation's turn keep apart by their content; without a number, equal rows are turns of their own
+    # and keep apart by a number that may be any, as they are equal
+    rows = rows.withColumns({"copy": F.xxhash64(F.col("given").isNull(), F.coalesce("given", F.lit("")), "empty", "text"), "rep": F.when(F.col("turn").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))})
+    lines = rows.select("conv", "turn", "copy", "rep", "given", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     # a marker is a few words; longer lines without one are not lower-cased as a whole
-    found = F.regexp_extract(F.lower(F.substring("raw", 1, 64)), MARKER, 0)
-    lines = lines.withColumns({"cut": F.length(found), "inline": speaker(F.regexp_extract(found, f"({_NAMES})", 1))})
+    bare = F.ltrim("raw", F.lit(SPACES))
+    found = F.regexp_extract(F.lower(F.substring(bare, 1, 64)), MARKER, 0)
+    lines = lines.withColumns({"cut": F.when(F.length(found) > 0, F.length("raw") - F.length(bare) + F.length(found)).otherwise(F.lit(0)), "inline": speaker(F.regexp_extract(found, f"({_NAMES})", 1))})
     body = F.expr("substring(raw, cut + 1)")
     new = (F.col("line") == 0) | (F.col("inline") > 0)
     marker = F.when(F.col("inline") > 0, F.col("inline")).when(F.col("line") == 0, speaker(F.col("given"))).otherwise(F.lit(0))
     n = F.length(F.col("raw"))
     size = F.when(n == 0, 0).when(n < 40, 1).when(n < 120, 2).when(n < 400, 3).otherwise(4)
-    return lines.select("conv", "turn", "copy", "line", "given", body.alias("body"), new.cast("int").alias("new"), marker.cast("int").alias("marker"), size.cast("int").alias("size"), F.col("raw").contains("?").cast("int").alias("asks"))
+    return lines.select("conv", "turn", "copy", "rep", "line", "given", body.alias("body"), new.cast("int").alias("new"), marker.cast("int").alias("marker"), size.cast("int").alias("size"), F.col("raw").contains("?").cast("int").alias("asks"))
 
 
 def train(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", unmarked: float = 0.25) -> Model:
@@ -149,7 +151,7 @@ def segmented(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Lines, repeats once, with ``place``, which grows along each conversation, and ``segment``: at most so many lines in a row.
 
     A range of the sort is a task's, and a conversation may lie across any number of ranges. Places hold as they are stored."""
-    order = ["conv", "turn", "copy", "line"]
+    order = ["conv", "turn", "copy", "rep", "line"]
     placed = lines.dropDuplicates(order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
     return stored(placed.drop("given"), "chat-lines").withColumn("segment", F.floor(F.col("place") / segment).cast("long"))
 
@@ -159,7 +161,7 @@ def parse(turns: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: s
 
     A turn splits where the recovered role changes. Null texts are empty turns, null or unknown roles are missing markers,
     turns without a number come first; rows that repeat a conversation's turn are ordered by a hash of their content,
-    and exact repeats are one turn. A null conversation is one conversation. Ties go to the first of ``ROLES``."""
+    and exact repeats of a numbered turn are one turn; without a number each row is a turn. A null conversation is one conversation. Ties go to the first of ``ROLES``."""
     # multiples of 2^-20 are added without rounding, so that sums and ties do not depend on where segments are cut
     exact = Model(*[np.round(x * (1 << 20)) / (1 << 20) for x in (model.first, model.move, model.mark, model.size, model.asks)])
     shared = turns.sparkSession.sparkContext.broadcast(exact)
@@ -206,14 +208,14 @@ def parse(turns: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: s
             path[t - 1] = back[t, path[t]]
         roles = np.empty(len(emit), np.int64)
         roles[where] = path
-        return pa.table({x: group[x] for x in ("conv", "turn", "copy", "line", "body")} | {"role": pa.array(roles, pa.int32())})
+        return pa.table({x: group[x] for x in ("conv", "turn", "copy", "rep", "line", "body")} | {"role": pa.array(roles, pa.int32())})
 
     scores = features.groupBy("conv", "segment").applyInArrow(measure, f"conv {conv}, segment long, scores array<double>")
     ends = scores.groupBy("conv").applyInArrow(chain, f"conv {conv}, segment long, enter int, leave int")
-    bodies = lines.select("conv", "segment", "place", "turn", "copy", "line", "body", "new", "marker", "size", "asks")
-    placed = bodies.groupBy("conv", "segment").cogroup(ends.groupBy("conv", "segment")).applyInArrow(decode, f"conv {conv}, turn long, copy long, line int, body string, role int")
+    bodies = lines.select("conv", "segment", "place", "turn", "copy", "rep", "line", "body", "new", "marker", "size", "asks")
+    placed = bodies.groupBy("conv", "segment").cogroup(ends.groupBy("conv", "segment")).applyInArrow(decode, f"conv {conv}, turn long, copy long, rep long, line int, body string, role int")
     # a given turn is put together again, cut where the role changes; a turn's lines are one row's text
-    each = placed.groupBy("conv", "turn", "copy").agg(F.array_sort(F.collect_list(F.struct("line", "role", "body"))).alias("lines"))
+    each = placed.groupBy("conv", "turn", "copy", "rep").agg(F.array_sort(F.collect_list(F.struct("line", "role", "body"))).alias("lines"))
     roles = F.array(*map(F.lit, ROLES))
     starts = F.filter(F.transform("lines", lambda x, i: F.when((i == 0) | (x["role"] != F.get("lines", i - 1)["role"]), i)), lambda x: x.isNotNull())
     parts = each.withColumn("starts", starts).select("conv", "turn", "lines", F.posexplode(F.transform("starts", lambda s, i: F.slice("lines", s + 1, F.coalesce(F.get("starts", i + 1), F.size("lines")) - s))).alias("part", "run"))

@@ -79,10 +79,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per emitted copy of a document. Only ids and sources are shuffled: a training job joins texts by
-    doc_id or runs ``mix`` on whole rows, as the pipeline does."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs).select("doc_id", "source", F.col("__copy").alias("copy"), F.col("__copies").alias("copies"), F.round("__rate", 9).alias("rate"), F.col("__order").alias("order_key"))
+    """One row per emitted copy of a document. Whole rows are dealt, shuffled and written in their order to a table in the
+    shared folder, the mixture itself; the query returns its ids, in the same order."""
+    mixed = stored(mix(table(spark, sf_dir, "documents")), "mixing-rows")
+    ids = mixed.select("doc_id", "source", F.col("__copy").alias("copy"), F.col("__copies").alias("copies"), F.round("__rate", 9).alias("rate"), F.col("__order").alias("order_key"))
+    # Spark reads a table's files in any order
+    return ids.repartitionByRange("order_key").sortWithinPartitions("order_key", "doc_id", "copy")
 
 
 OP1_SQL = """

@@ -33,24 +33,27 @@ def rate_limited(events: DataFrame, limit: int, period: str = "1 minute", time:
 def once_per_window(envelopes: DataFrame, id_col: str = "id", time: str = "received", seconds: int = 10, order: str | None = None) -> DataFrame:
     """Envelopes whose id was not let in within ``seconds`` before; those without an id all pass.
 
-    An id's first arrival opens a window; the next one let in is the first at or after its end. A fixed grid from
-    the first arrival gives the same as long as arrivals of one id do not straddle windows; each id's rows are
-    looked at in order by a window function, so an id must not be hot (ids are unique per envelope)."""
-    w = Window.partitionBy(id_col).orderBy(time, *([order] if order else []))
-    first = F.min(time).over(Window.partitionBy(id_col))
-    slot = F.floor((F.unix_micros(F.col(time)) - F.unix_micros(first)) / F.lit(seconds * 1_000_000))
-    e = envelopes.withColumn("_slot", slot)
-    e = e.withColumn("_before", F.lag("_slot").over(w))
-    keep = F.col(id_col).isNull() | F.col("_before").isNull() | (F.col("_before") != F.col("_slot"))
-    return e.filter(keep).drop("_slot", "_before")
-
-
-def by_size(events: DataFrame, max_size: int, size: Column, bucket: str | None = None) -> DataFrame:
+    An id's first arrival opens a window; the next one let in is the first at or after its end, and opens the next.
+    Arrivals with gaps below ``seconds`` are a run, whose first is always let in; only a run's times are walked in order.
+    Each id's rows are looked at in order by a window function, so an id must not be hot (ids are unique per envelope)."""
+    span = seconds * 1_000_000
+    w = Window.partitionBy(id_col).orderBy("_at", *([order] if order else []))
+    e = envelopes.filter(F.col(id_col).isNotNull()).withColumn("_at", F.unix_micros(F.col(time)))
+    e = e.withColumn("_gap", F.col("_at") - F.lag("_at").over(w))
+    e = e.filter("_gap IS NULL OR _gap > 0")  # of one time only the first
+    runs = e.withColumn("_run", F.sum(F.when(F.col("_gap") < span, 0).otherwise(1)).over(Window.partitionBy(id_col).orderBy("_at")))
+    times = runs.groupBy(F.col(id_col).alias("_id"), "_run").agg(F.array_sort(F.collect_list("_at")).alias("_times"))
+    walk = lambda acc, x: F.when((F.size(acc) > 0) & (x - F.get(acc, F.size(acc) - 1) < span), acc).otherwise(F.concat(acc, F.array(x)))
+    kept = times.select("_id", F.explode(F.aggregate("_times", F.array().cast("array<bigint>"), walk)).alias("_kept"))
+    one = e.join(kept, (F.col(id_col) == F.col("_id")) & (F.col("_at") == F.col("_kept")), "left_semi").select(*envelopes.columns)
+    return envelopes.filter(F.col(id_col).isNull()).unionByName(one)
+
+
+def by_size(events: DataFrame, max_size: int, size: Column, bucket: str) -> DataFrame:
     """Events with ``batch``: a running total of sizes in order, cut at multiples of ``max_size``.
 
     ``bucket`` names independent queues (clients); within one the total is a window sum, as a queue is one client's."""
-    keys = [bucket] if bucket else ["env"]
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(bucket).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_size").over(w), F.lit(0))
     return events.withColumn("_size", size.cast("long")).withColumn("batch", F.floor(before / max_size).cast("long")).drop("_size")
 

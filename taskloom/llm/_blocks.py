@@ -30,14 +30,15 @@ BLOCK_BYTES = 4 << 20
 #: Keys that one bucket holds, roughly.
 BUCKET_KEYS = 1 << 20
 
-_BLOCK = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("digests", pa.binary()), ("data", pa.binary())])
-_BLOCK_SQL = "block long, n_bytes long, ids binary, lens binary, digests binary, data binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("missing", pa.binary()), ("lens", pa.binary()), ("digests", pa.binary()), ("data", pa.binary())])
+_BLOCK_SQL = "block long, n_bytes long, ids binary, missing binary, lens binary, digests binary, data binary"
 _KEYS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _KEYS_SQL = "bucket int, block long, keys binary, counts binary"
 
 
 def block_table(docs: DataFrame, id_col: str, text_col: str, tag: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, n_bytes, ids, lens, digests (16 bytes per text), data: the texts (null: empty) of all rows, as stored blocks. Null ids become NO_ID."""
+    """block, n_bytes, ids, missing, lens, digests (16 bytes per text), data: the texts (null: empty) of all rows, as stored blocks.
+    Where the byte in ``missing`` is 1, an id is null; its place in ``ids`` has NO_ID."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_worker()
@@ -46,7 +47,7 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, tag: str, block_byt
 
         def block(ids: list, texts: list) -> pa.RecordBatch:
             lens = np.array([len(t) for t in texts], np.int64)
-            row = [[first + n], [int(lens.sum())], [np.array(ids, np.int64).tobytes()], [lens.tobytes()], [b"".join(map(xxhash.xxh3_128_digest, texts))], [press.compress(b"".join(texts))]]
+            row = [[first + n], [int(lens.sum())], [np.array([NO_ID if i is None else i for i in ids], np.int64).tobytes()], [bytes(i is None for i in ids)], [lens.tobytes()], [b"".join(map(xxhash.xxh3_128_digest, texts))], [press.compress(b"".join(texts))]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, _BLOCK.types)], schema=_BLOCK)
 
         ids, texts, size = [], [], 0
@@ -63,22 +64,27 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, tag: str, block_byt
             yield block(ids, texts)
 
     bounded_batches(docs)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return stored(rows.mapInArrow(pack, _BLOCK_SQL), tag, compression="uncompressed")
 
 
 class Block:
     """A row of the block table, unpacked."""
 
-    __slots__ = ("block", "ids", "lens", "ends", "starts", "data")
+    __slots__ = ("block", "ids", "missing", "lens", "ends", "starts", "data")
 
     def __init__(self, row: dict):
         self.block = row["block"]
         self.ids, self.lens = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lens"], np.int64)
+        self.missing = row["missing"]
         self.ends = np.cumsum(self.lens)
         self.starts = self.ends - self.lens
         self.data = zstandard.ZstdDecompressor().decompress(row["data"]) if row["n_bytes"] else b""
 
+    def real_ids(self) -> list[int | None]:
+        """The ids as they were given; where they are compared, a missing one stands as NO_ID, the largest."""
+        return [None if m else i for i, m in zip(self.ids.tolist(), self.missing)]
+
     def texts(self) -> Iterator[bytes]:
         for a, b in zip(self.starts.tolist(), self.ends.tolist()):
             yield self.data[a:b]

@@ -5,47 +5,50 @@ smaller id. Sorting all suffixes of the corpus in one place does not scale, so s
 they can matter:
 
 1. Each window picks an anchor: the 24-byte string in it with the least hash. Equal windows pick equal anchors at
-   equal places, so windows only have to be compared with those of the same anchor. An anchor's context in
-   a document is the bytes of all windows that pick it there.
-2. Anchors that only one document has are dropped (``shared_keys``).
-3. Equal texts and equal contexts need no sorting: all but the least id's are covered. Within a block that is
-   settled at once, so that a passage that a third of all documents share leaves one context per block.
-4. Where the contexts of an anchor differ, their suffixes are sorted by linear grouping (``suffixes``); windows
-   next to each other in the array that agree in ``length`` bytes are equal, and the least id owns them.
-   Anchors with more contexts than ``heavy`` (the edges of a hot passage) are split by window first: their
-   windows are grouped by Spark, with partial aggregation, in place of one large sort.
-5. What is covered goes back to the blocks, which cut it out of their texts.
+   equal places, and agree in 13 bytes next to it on one side at least. So a window plays a part only if other
+   documents (``shared_keys``) have its anchor together with the bytes on one of its sides.
+2. Windows in a row that play a part are a piece of text. Pieces are cut at one in ``COARSE`` anchors and
+   dealt out by the anchor at which they begin, so that passages and near copies meet in long pieces.
+3. The suffixes of pieces that meet are sorted by linear grouping (``suffixes``). Suffixes next to each other that agree in
+   ``length`` bytes are equal windows; the least id owns them, and all others lose theirs.
+4. What is left after that is dealt out once more by each window's own anchor, which equal windows always share, and
+   sorted in the same way; so nothing is missed at the edges of long pieces.
+5. What was lost goes back to the blocks, which cut it out of their texts.
+
+Pieces are dealt out by ranges of key and id, and a hot key's pieces lie in any number of tasks. An array takes
+``heavy`` of them at most, and what it leaves meets again in the next round. Pieces of one anchor that after the rounds still
+have not all met (each adds windows of its own to a hot passage's edge) are split by window: these are grouped by
+Spark, with partial aggregation. Whole texts that are equal are told by a digest of 128 bits and take no part in 2 to 4.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import Block, block_table, bucket_count, later_copies, look_up, packed, shared_keys, unpack_shared
-from ._common import NO_ID, stored, table
+from ._common import claim_worker, shuffle_partitions, stored, table
 from .suffixes import least_owners
 
 LENGTH, ANCHOR = 50, 24
-#: Contexts of one anchor that are sorted in one piece.
+#: Pieces that one suffix array takes.
 HEAVY = 256
-#: Contexts of one anchor that are looked at pair by pair before any sorting.
-FEW = 4
-#: Bytes of contexts that one suffix array takes, whole anchors.
-SORT_BYTES = 16 << 10
+#: Rounds in which the pieces of a hot key meet.
+ROUNDS = 3
+#: One in so many anchors, by hash, begins a piece.
+COARSE = 16
+#: Bytes of pieces that one suffix array takes, and the most windows of a piece.
+SORT_BYTES, MOST_WINDOWS = 16 << 10, 16 << 10
+#: Pieces that a task sorts, roughly.
+TASK_PIECES = 20_000
 #: Window starts whose hashes are in memory at once.
 CHUNK = 1 << 20
-#: In place of a bucket: the rows of a block that are copies of whole texts.
-COPIES = -1
 
 _U = np.uint64
 
@@ -76,13 +79,22 @@ def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
         power *= 2
 
 
-def anchors(block: Block, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first window, last window) of each anchor of the block's documents, by position."""
-    data, span = np.frombuffer(block.data, np.uint8), length - k + 1
-    hashes, places, firsts, lasts = [], [], [], []
+def _side(length: int, k: int) -> int:
+    """Bytes in which equal windows agree on one side of their anchor at least."""
+    return (length - k + 1) // 2
+
+
+def anchors(block, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(hash, position, first window, last window, left key, right key) of each anchor of the block's documents, by position.
+
+    The keys stand for the anchor with the bytes on its left or right that equal windows may have in common."""
+    data, span, side = np.frombuffer(block.data, np.uint8), length - k + 1, _side(length, k)
+    out: list[list[np.ndarray]] = [[] for _ in range(6)]
     doc = np.repeat(np.arange(len(block.lens), dtype=np.int32), block.lens)
     for c in range(0, max(0, len(data) - length + 1), CHUNK):
-        h = _gram_hashes(data[c : c + CHUNK + length - 1], k)
+        before = min(c, side)
+        every = _gram_hashes(data[c - before : c + CHUNK + length - 1 + side], k)
+        h = every[before : before + min(CHUNK, len(data) - length + 1 - c) + length - k]
         least = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         width = 1
         while width * 2 <= span:
@@ -98,34 +110,31 @@ def anchors(block: Block, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.nda
             continue
         new = np.concatenate([[True], at[1:] != at[:-1]])
         ends = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])
-        hashes.append(h[at[new]])
-        places.append(at[new] + c)
-        firsts.append(window[new])
-        lasts.append(window[ends])
-    if not hashes:
+        at = at[new]
+        left, right = np.maximum(at + before - side, 0), np.minimum(at + before + side, len(every) - 1)
+        for x, y in zip(out, (h[at], at + c, window[new], window[ends], _scrambled(h[at] + every[left] * _U(3)), _scrambled(h[at] + every[right] * _U(5)))):
+            x.append(y)
+    if not out[0]:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    hashes, places, firsts, lasts = map(np.concatenate, (hashes, places, firsts, lasts))
-    cut = np.concatenate([[False], places[1:] == places[:-1]])  # one anchor, met in two chunks
-    lasts[np.flatnonzero(cut) - 1] = lasts[cut]
-    return hashes[~cut], places[~cut], firsts[~cut], lasts[~cut]
+        return none.view(_U), none, none, none, none.view(_U), none.view(_U)
+    h, at, first, last, left, right = map(np.concatenate, out)
+    cut = np.concatenate([[False], at[1:] == at[:-1]])  # one anchor, met in two chunks
+    last[np.flatnonzero(cut) - 1] = last[cut]
+    return tuple(x[~cut] for x in (h, at, first, last, left, right))
 
 
-def _agreeing(x: bytes, at_x: int, y: bytes, at_y: int, k: int) -> int:
-    """Bytes around a common string of k bytes, at these places, in which x and y agree without a break."""
-    right, n = 0, min(len(x) - at_x, len(y) - at_y) - k
-    while right < n and x[at_x + k + right] == y[at_y + k + right]:
-        right += 1
-    left, n = 0, min(at_x, at_y)
-    while left < n and x[at_x - 1 - left] == y[at_y - 1 - left]:
-        left += 1
-    return left + k + right
+def _sides(at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an anchor has a window that reaches far enough to its left, and to its right."""
+    side = _side(length, k)
+    return first <= at - side, last + length >= at + k + side
 
 
 def _anchor_keys(length: int, k: int):
     def keys(block: Block) -> np.ndarray:
-        h, at, _, _ = anchors(block, length, k)
-        doc = np.searchsorted(block.ends, at, side="right")
+        _, at, first, last, left, right = anchors(block, length, k)
+        has_left, has_right = _sides(at, first, last, length, k)
+        doc = np.searchsorted(block.ends, first, side="right")
+        h, doc = np.concatenate([left[has_left], right[has_right]]), np.concatenate([doc[has_left], doc[has_right]])
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         # rows that repeat an id are one document's: they have no smaller id than each other
@@ -134,151 +143,208 @@ def _anchor_keys(length: int, k: int):
     return keys
 
 
-_CONTEXT = pa.schema([("block", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("covers", pa.binary())])
-_CONTEXT_SQL = "block long, h long, c long, doc long, start int, n int, at int, covers binary"
-_PIECE = pa.schema([("block", pa.int64()), ("start", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("contexts", pa.int64()), ("piece", pa.binary())])
-_PIECE_SQL = "block long, start int, h long, c long, doc long, n int, at int, contexts long, piece binary"
+_PIECE = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("block", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("piece", pa.binary())])
+_PIECE_SQL = "key long, doc long, block long, start int, n int, piece binary"
+#: What became of a piece: lost to a smaller id; left, and all of its key have met; left, and not all have.
+LOST, MET, OPEN = 0, 1, 2
+_STATE = _PIECE.append(pa.field("state", pa.int32()))
+_STATE_SQL = f"{_PIECE_SQL}, state int"
 _OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 _OUT_SQL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, with_text: bool = True) -> DataFrame:
+def _cut(key: np.ndarray, doc: np.ndarray, block, start: np.ndarray, n: np.ndarray, data: bytes, at: np.ndarray, length: int) -> pa.Table:
+    """Pieces as rows; one of too many windows is cut. ``start`` is within the block, ``at`` within ``data``."""
+    times = (n + MOST_WINDOWS - 1) // MOST_WINDOWS
+    part = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    key, doc, start, at, n, block = (np.repeat(x, times) for x in (key, doc, start, at, n, block))
+    start, at, n = start + part * MOST_WINDOWS, at + part * MOST_WINDOWS, np.minimum(n - part * MOST_WINDOWS, MOST_WINDOWS)
+    texts = [data[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist())]
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip((key.view(np.int64), doc, block, start, n, texts), _PIECE.types)], schema=_PIECE)
+
+
+def _runs_left(n: int, lost: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out, at = [], 0
+    for a, b in lost:
+        if a > at:
+            out.append((at, a))
+        at = b
+    return out + [(at, n)] * (at < n)
+
+
+def _settle(length: int, heavy: int):
+    """Rows of pieces, sorted by key, with suffix arrays over those that meet -> the same with states, cut where they differ."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker()
+        held: list[tuple] = []  # whole groups, or parts of one, that share the next array
+        held_bytes = 0
+        group: list[tuple] = []
+        group_bytes, apart = 0, True  # the first key of a task may have begun in another one
+        out: list[tuple] = []
+
+        def array() -> None:
+            nonlocal held, held_bytes
+            lost = least_owners([r[5] for r, _ in held], [r[1] for r, _ in held], length)
+            for (r, state), runs in zip(held, lost):
+                key, doc, block, start, n, piece = r
+                if not runs:
+                    out.append((*r, state))
+                    continue
+                out.extend((key, doc, block, start + a, b - a, None, LOST) for a, b in runs)
+                out.extend((key, doc, block, start + a, b - a, piece[a : b + length - 1], state) for a, b in _runs_left(n, runs))
+            held, held_bytes = [], 0
+
+        def close(state: int) -> None:
+            nonlocal held_bytes, group, group_bytes
+            if any(r[1] != group[0][1] for r in group):
+                held.extend((r, state) for r in group)
+                held_bytes += group_bytes
+                if held_bytes >= SORT_BYTES:
+                    array()
+            else:  # no other document
+                out.extend((*r, state) for r in group)
+            group, group_bytes = [], 0
+
+        def rows() -> pa.RecordBatch:
+            nonlocal out
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _STATE.types)], schema=_STATE)
+            out = []
+            return batch
+
+        for batch in batches:
+            for r in zip(*(batch[x].to_pylist() for x in _PIECE.names)):
+                if group and group[0][0] != r[0]:
+                    close(OPEN if apart else MET)
+                    apart = False
+                elif group and (len(group) >= heavy or group_bytes >= SORT_BYTES):
+                    apart = True
+                    close(OPEN)
+                group.append(r)
+                group_bytes += len(r[5])
+            if len(out) >= 4096:
+                yield rows()
+        if group:
+            close(OPEN)
+        if held:
+            array()
+        if out:
+            yield rows()
+
+    return settle
+
+
+def _met(pieces: DataFrame, length: int, heavy: int, rounds: int, tag: str) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """(tables with lost windows, pieces left of keys that have all met, pieces left of keys that have not)."""
+    tables, met, now = [], [], pieces
+    for _ in range(rounds):
+        parts = max(1, min(now.count() // TASK_PIECES + 1, 100 * shuffle_partitions(now)))
+        dealt = now.select(*_PIECE.names).repartitionByRange(parts, "key", "doc", "block", "start").sortWithinPartitions("key", "doc")
+        done = stored(dealt.mapInArrow(_settle(length, heavy), _STATE_SQL), tag)
+        tables.append(done.filter(F.col("state") == LOST).select("block", "start", "n"))
+        met.append(done.filter(F.col("state") == MET).drop("state"))
+        now = done.filter(F.col("state") == OPEN).drop("state")
+        if now.groupBy("key").count().filter(F.col("count") > 1).isEmpty():
+            break
+    left = met[0]
+    for x in met[1:]:
+        left = left.unionByName(x)
+    return tables, left, now
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, with_text: bool = True, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: id_col, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes).
 
     Null texts are empty. A null id counts as larger than all ids and equal to other null ids; rows that repeat
-    an id never cover each other. Repeats within one document stay. An empty table gives no rows."""
+    an id never cover each other. Repeats within one document stay. An empty table gives no rows; other columns are not read."""
     blocks = block_table(docs, id_col, text_col, "repeats-blocks")
-    n_buckets = bucket_count(blocks, (length - k + 2) // 2)
-    # stored, so that the exchange of all keys is gone before contexts are made
+    n_buckets = bucket_count(blocks, max(1, (length - k + 2) // 4))
+    # stored, so that the exchange of all keys is gone before pieces are made
     shared = stored(shared_keys(blocks, _anchor_keys(length, k), n_buckets), "repeats-shared")
+    copies = stored(later_copies(blocks), "repeats-copies")
 
-    def contexts(text: pa.Table, keys: pa.Table) -> pa.Table:
+    def first_pieces(text: pa.Table, keys: pa.Table) -> pa.Table:
         if not text.num_rows or not keys.num_rows:
-            return _CONTEXT.empty_table()
+            return _PIECE.empty_table()
         b = Block(text.to_pylist()[0])
         copy = np.zeros(len(b.ids), bool)
-        for row in keys.filter(pc.equal(keys["bucket"], COPIES))["keys"]:
-            copy[int(row.as_py())] = True
-        h, at, first, last = anchors(b, length, k)
-        m = look_up(*unpack_shared(keys.filter(pc.not_equal(keys["bucket"], COPIES))), packed(h, n_buckets)) > 1
-        m &= ~copy[np.searchsorted(b.ends, first, side="right")]
-        h, at, first, last = h[m], at[m], first[m], last[m]
-        c = np.fromiter((xxhash.xxh3_64_intdigest(b.data[i : j + length], p - i) for p, i, j in zip(at.tolist(), first.tolist(), last.tolist())), np.uint64, len(at))
-        doc = b.ids[np.searchsorted(b.ends, first, side="right")]
-        order = np.lexsort((first, doc, c, h))
-        h, c, doc, at, first, last = h[order], c[order], doc[order], (at - first)[order], first[order], last[order]
-        new = np.concatenate([[True] * min(1, len(h)), (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        open_, sure = doc == least, np.flatnonzero(doc > least)
-        whole = np.flatnonzero(copy & (b.lens >= length))
-        covers = np.stack([np.append(first[sure], b.starts[whole]), np.append(last[sure] + length, b.ends[whole])]).astype(np.int32).tobytes()
-        n = int(open_.sum())
-        # the covers that this block has settled travel as a row with keys of its own
-        columns = [
-            np.full(n + 1, b.block), np.append(h[open_].view(np.int64), b.block), np.append(c[open_].view(np.int64), -1), np.append(doc[open_], 0),
-            np.append(first[open_], 0), np.append(last[open_] - first[open_] + 1, 0), np.append(at[open_], 0), [None] * n + [covers],
-        ]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _CONTEXT.types)], schema=_CONTEXT)
-
-    copies = later_copies(blocks).select(F.lit(COPIES).alias("bucket"), "block", F.encode(F.col("row").cast("string"), "utf-8").alias("keys"), F.lit(None).cast("binary").alias("counts"))
-    found = blocks.drop("digests").groupBy("block").cogroup(shared.unionByName(copies).groupBy("block")).applyInArrow(contexts, _CONTEXT_SQL)
-    # after the blocks' own settling, a context has a row per block and repeat within a document
-    same = Window.partitionBy("h", "c")
-    found = found.withColumn("owner", F.min("doc").over(same)).withColumn("rank", F.row_number().over(same.orderBy("doc", "block", "start")))
-    # a context that a smaller id has, too, is settled: its keys are not needed any more
-    open_ = F.col("doc") == F.col("owner")
-    found = stored(found.select("block", "start", "n", "at", "covers", *[F.when(open_, F.col(x)).alias(x) for x in ("h", "c", "doc")], (F.col("rank") == 1).alias("first")), "repeats-contexts")
-
-    one_each = found.filter(F.col("covers").isNull() & F.col("first"))
-    differing = one_each.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
-    wanted = one_each.select("block", "h", "c", "doc", "start", "n", "at").join(differing, "h")
-
-    def pieces(text: pa.Table, places: pa.Table) -> pa.Table:
-        if not text.num_rows or not places.num_rows:
+        whole = keys["row"].is_valid()
+        copy[keys.filter(whole)["row"].to_numpy()] = True
+        h, at, first, last, left, right = anchors(b, length, k)
+        names, counts = unpack_shared(keys.filter(pa.compute.invert(whole)))
+        has_left, has_right = _sides(at, first, last, length, k)
+        m = has_left & (look_up(names, counts, packed(left, n_buckets)) > 1) | has_right & (look_up(names, counts, packed(right, n_buckets)) > 1)
+        row = np.searchsorted(b.ends, first, side="right")
+        m &= ~copy[row]
+        if not m.any():
             return _PIECE.empty_table()
-        data = Block(text.to_pylist()[0]).data
-        cut = [data[s : s + n + length - 1] for s, n in zip(places["start"].to_pylist(), places["n"].to_pylist())]
-        return pa.Table.from_arrays([*(places[x].combine_chunks().cast(t) for x, t in zip(("block", "start", "h", "c", "doc", "n", "at", "contexts"), _PIECE.types)), pa.array(cut, pa.binary())], schema=_PIECE)
-
-    cut = stored(blocks.drop("digests").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(pieces, _PIECE_SQL), "repeats-pieces")
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        group: list[tuple] = []
-
-        def alike() -> list[tuple]:
-            """Of one anchor's contexts those that can have a window in common with another one: in a few contexts those that
-            agree in enough bytes around it; in more those that agree in half of them on one side."""
-            if len(group) <= FEW:
-                keep = set()
-                for a, b in combinations(range(len(group)), 2):
-                    if _agreeing(group[a][3], group[a][4], group[b][3], group[b][4], k) >= length:
-                        keep |= {a, b}
-                return [group[i] for i in sorted(keep)]
-            half, sides = (length - k + 1) // 2, Counter()
-            near = [(x[3][x[4] - half : x[4]] if x[4] >= half else None, x[3][x[4] + k : x[4] + k + half] if len(x[3]) >= x[4] + k + half else None) for x in group]
-            for left, right in near:
-                sides.update([(0, left)] * (left is not None) + [(1, right)] * (right is not None))
-            return [x for x, (left, right) in zip(group, near) if sides[0, left] > 1 or sides[1, right] > 1]
-
-        def flush() -> pa.RecordBatch:
-            runs = least_owners([x[3] for x in held], [x[2] for x in held], length)
-            rows = [(*x[5:], x[0], x[1], i, j) for x, r in zip(held, runs) for i, j in r]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["block", "start", "h", "c", "from_", "to_"])
-
+        h, first, last, row = h[m], first[m], last[m], row[m]
+        run = np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] != last[:-1] + 1)])
+        coarse = (h >> _U(7)) % _U(COARSE) == 0
+        # texts that repeat one anchor over and over are not cut there
+        new = run | coarse & np.concatenate([[True], h[1:] != h[:-1]])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(h)) - 1
+        # before a run's first coarse anchor stands a piece that is known by that; a run without one is known by its least anchor
+        key, follows = h[starts].copy(), np.append(~run[starts[1:]], False)
+        head = ~coarse[starts]
+        after = np.append(key[1:], _U(0))
+        key[head] = np.where(follows[head], ~after[head], np.minimum.reduceat(h, starts)[head])
+        start, n = first[starts], last[ends] - first[starts] + 1
+        return _cut(key, b.ids[row[starts]], np.full(len(starts), b.block), start, n, b.data, start, length)
+
+    names = ["bucket", "block", "keys", "counts", "row"]
+    known = shared.withColumn("row", F.lit(None).cast("int")).unionByName(copies.select(F.lit(None).cast("int").alias("bucket"), "block", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "row")).select(*names)
+    pieces = stored(blocks.drop("digests").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(first_pieces, _PIECE_SQL), "repeats-pieces")
+    lost, met, open_ = _met(pieces, length, heavy, rounds, "repeats-long")
+
+    def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker()
         for batch in batches:
-            for x in zip(*(batch[y].to_pylist() for y in ("h", "c", "doc", "piece", "at", "block", "start"))):
-                if group and group[-1][0] != x[0]:
-                    held += alike()
-                    group = []
-                    if len(held) * length > SORT_BYTES:
-                        yield flush()
-                        held = []
-                group.append(x)
-        held += alike()
-        if held:
-            yield flush()
-
-    light = cut.filter(F.col("contexts") <= heavy).select("h", "c", "doc", "piece", "at", "block", "start").repartition("h").sortWithinPartitions("h", "c").mapInArrow(sort, "block long, start int, h long, c long, from_ int, to_ int")
-    windows = cut.filter(F.col("contexts") > heavy).select("block", "start", "h", "c", "doc", "piece", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("from_"))
-    windows = windows.select("block", "start", "h", "c", "doc", "from_", F.substring("piece", F.col("from_") + 1, F.lit(length)).alias("window"))
-    least = windows.groupBy("h", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    split = windows.join(least, ["h", "window"]).filter("doc > least").select("block", "start", "h", "c", "from_", (F.col("from_") + 1).alias("to_"))
-
-    # the least id of a context loses the windows that another context's id owns; all others lose all of it
-    lost = stored(light.unionByName(split), "repeats-lost")
-    again = found.filter(F.col("covers").isNull() & F.col("h").isNotNull() & ~F.col("first")).select("block", "h", "c", "start")
-    owned = lost.drop("h", "c").unionByName(again.join(lost.drop("block", "start"), ["h", "c"]).drop("h", "c"))
-    nothing = F.lit(None).cast("binary").alias("covers")
-    covers = (
-        owned.select("block", (F.col("start") + F.col("from_")).alias("a"), (F.col("start") + F.col("to_") + (length - 1)).alias("b"), nothing)
-        .unionByName(found.filter(F.col("covers").isNull() & F.col("h").isNull()).select("block", F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).alias("b"), nothing))
-        .unionByName(found.filter(F.col("covers").isNotNull()).select("block", F.lit(0).alias("a"), F.lit(0).alias("b"), "covers"))
-    )
+            texts = batch["piece"].to_pylist()
+            b = SimpleNamespace(data=b"".join(texts), lens=np.array([len(t) for t in texts], np.int64))
+            h, _, first, last, _, _ = anchors(b, length, k)
+            if not len(h):
+                continue
+            ends = np.cumsum(b.lens)
+            row = np.searchsorted(ends, first, side="right")
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]))
+            last, row, at = last[np.append(new[1:], len(h)) - 1], row[new], first[new]
+            start = batch["start"].to_numpy()[row] + at - (ends - b.lens)[row]
+            yield from _cut(h[new], batch["doc"].to_numpy()[row], batch["block"].to_numpy()[row], start, last - at + 1, b.data, at, length).to_batches()
+
+    near = stored(met.unionByName(open_).mapInArrow(by_anchor, _PIECE_SQL), "repeats-near")
+    lost_near, _, open_ = _met(near, length, heavy, rounds, "repeats-short")
+
+    windows = open_.select("key", "doc", "block", "start", "piece", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("from_"))
+    windows = windows.select("key", "doc", "block", (F.col("start") + F.col("from_")).alias("start"), F.substring("piece", F.col("from_") + 1, F.lit(length)).alias("window"))
+    least = windows.groupBy("key", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
+    split = windows.join(least, ["key", "window"]).filter("doc > least").select("block", "start", F.lit(1).alias("n"))
+
+    gone = copies.select("block", F.col("row").alias("a"), F.lit(-1).alias("b"))
+    for x in (*lost, *lost_near, split):
+        gone = gone.unionByName(x.select("block", F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).alias("b")))
 
     def cut_out(text: pa.Table, gone: pa.Table) -> pa.Table:
         if not text.num_rows:
             return _OUT.empty_table()
         b = Block(text.to_pylist()[0])
         step = np.zeros(len(b.data) + 1, np.int32)
-        if gone.num_rows:
-            np.add.at(step, gone["a"].to_numpy(), 1)
-            np.add.at(step, gone["b"].to_numpy(), -1)
-            for x in gone["covers"]:
-                if x.is_valid:
-                    a, z = np.frombuffer(x.as_py(), np.int32).reshape(2, -1)
-                    np.add.at(step, a, 1)
-                    np.add.at(step, z, -1)
+        a, z = gone["a"].to_numpy(), gone["b"].to_numpy()
+        whole = a[z < 0]
+        whole = whole[b.lens[whole] >= length]
+        np.add.at(step, np.append(a[z >= 0], b.starts[whole]), 1)
+        np.add.at(step, np.append(z[z >= 0], b.ends[whole]), -1)
         keep = np.cumsum(step[:-1]) == 0
         data, rows = np.frombuffer(b.data, np.uint8), []
-        for i, s, e in zip(b.ids.tolist(), b.starts.tolist(), b.ends.tolist()):
+        for i, s, e in zip(b.real_ids(), b.starts.tolist(), b.ends.tolist()):
             k_ = keep[s:e]
             rest = data[s:e][k_].tobytes()
             spans = int((~k_[:1]).sum() + (k_[:-1] & ~k_[1:]).sum())
-            rows.append((None if i == NO_ID else i, e - s, e - s - len(rest), spans, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
+            rows.append((i, e - s, e - s - len(rest), spans, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_OUT.types)], schema=_OUT)
 
-    out = blocks.drop("digests").groupBy("block").cogroup(covers.groupBy("block")).applyInArrow(cut_out, _OUT_SQL)
+    out = blocks.drop("digests").groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(cut_out, _OUT_SQL)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -7,9 +7,10 @@ an unknown one. Lines are then put together into turns and rendered in one canon
 
 Probabilities are counts over labelled conversations (plain aggregations). Viterbi runs on segments of
 ``SEGMENT`` lines, so that one conversation never has to fit in one task, whatever its turn numbers: lines are sorted
-by ranges and cut by their rank in the range. Each segment gives the best scores
-from every role before it to every role at its end (max-plus matrices), these small matrices are chained per
-conversation, and each segment is decoded between the roles that the chain fixed. That equals one long run.
+by ranges and cut by their rank in the range. Each segment gives the best scores and ways
+from every role before it to every role at its end (max-plus matrices). The small matrices are put together, ``SPAN`` at a
+time, and then per conversation; that fixes the roles at the ends of all segments, and with them one way through
+each. That equals one long run. All segments of a batch of rows take each step together.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ _NAMES = "|".join(sorted((w for s in SPEAKERS.values() for w in s.split()), key=
 MARKER = rf"^\s*(?:#+\s*(?:{_NAMES})\s*(?::|$)|[*_]{{1,2}}(?:{_NAMES}):?[*_]{{1,2}}\s*[:>-]?|\[(?:{_NAMES})\]\s*:?|<\|?(?:{_NAMES})\|?>|(?:{_NAMES})\s*:)\s*"
 
 SEGMENT = 256
+#: Segments of a conversation that are put together before the conversation's spans are chained.
+SPAN = 256
 LENGTHS = 5  # classes of line lengths
 
 
@@ -71,10 +75,8 @@ def lines_of(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     # and keep apart by a number that may be any, as they are equal
     rows = rows.withColumns({"copy": F.xxhash64(F.col("given").isNull(), F.coalesce("given", F.lit("")), "empty", "text"), "rep": F.when(F.col("turn").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))})
     lines = rows.select("conv", "turn", "copy", "rep", "given", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    # a marker is a few words; longer lines without one are not lower-cased as a whole
-    bare = F.ltrim("raw", F.lit(SPACES))
-    found = F.regexp_extract(F.lower(F.substring(bare, 1, 64)), MARKER, 0)
-    lines = lines.withColumns({"cut": F.when(F.length(found) > 0, F.length("raw") - F.length(bare) + F.length(found)).otherwise(F.lit(0)), "inline": speaker(F.regexp_extract(found, f"({_NAMES})", 1))})
+    found = F.regexp_extract("raw", f"(?i){MARKER}", 0)
+    lines = lines.withColumns({"cut": F.length(found), "inline": speaker(F.regexp_extract(found, f"(?i)({_NAMES})", 1))})
     body = F.expr("substring(raw, cut + 1)")
     new = (F.col("line") == 0) | (F.col("inline") > 0)
     marker = F.when(F.col("inline") > 0, F.col("inline")).when(F.col("line") == 0, speaker(F.col("given"))).otherwise(F.lit(0))
@@ -115,36 +117,77 @@ def train(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     return Model(log(first), log(move), log(mark), log(size), log(asks))
 
 
-def _best(model: Model, new, emit: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scores of the last line by role, back pointers) from scores by role before the first line (None: none)."""
-    score, back = None, np.zeros(emit.shape, np.int8)
-    for t in range(len(emit)):
-        if t == 0 and start is None:
-            score = model.first + emit[0]
-        else:
-            way = (start if t == 0 else score)[:, None] + model.move[new[t]]
-            back[t] = way.argmax(axis=0)
-            score = way.max(axis=0) + emit[t]
-    return score, back
-
-
-def _through(model: Model, new, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Roles before x roles at the end: the best scores, and each way's rank among those to the same end, by which ties are
-    broken as in one long run: the way back from the end that first meets a lesser role."""
-    n, k = emit.shape
-    score, back = np.where(np.eye(k) > 0, 0.0, -np.inf), np.zeros((n, k, k), np.int8)
-    for t in range(n):
-        way = score[:, :, None] + model.move[new[t]]
-        back[t] = way.argmax(axis=1)
-        score = way.max(axis=1) + emit[t]
-    path, rows = np.empty((n, k, k), np.int8), np.arange(k)[:, None]
-    path[-1] = np.arange(k)
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, rows, path[t]]
-    ranks = np.empty((k, k))
-    for j in range(k):
-        ranks[sorted(range(k), key=lambda i: path[::-1, i, j].tobytes()), j] = np.arange(k)
-    return score, ranks
+def _lesser_first(codes: np.ndarray) -> np.ndarray:
+    """Ranks along the second axis from the last but one."""
+    return codes.argsort(axis=-2, kind="stable").argsort(axis=-2, kind="stable")
+
+
+def _together(scores: np.ndarray, ranks: np.ndarray, then: np.ndarray, then_ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, ranks, role between) of ways that are put together, for many at once.
+
+    ``scores``: ... x before x middle, ``then``: ... x middle x end. ``ranks`` orders the ways to the same end as one long run does
+    that breaks ties by the lesser role, looking back from the end: so the later part decides first."""
+    way = scores[..., :, :, None] + then[..., None, :, :]
+    best = way.max(axis=-2)
+    # only the middle roles that tie take part, the least way onwards wins
+    between = np.where(way == best[..., None, :], then_ranks[..., None, :, :], 1 << 20).argmin(axis=-2)
+    onwards = np.take_along_axis(np.broadcast_to(then_ranks[..., None, :, :], way.shape), between[..., None, :], axis=-2)[..., 0, :]
+    here = np.take_along_axis(np.broadcast_to(ranks[..., :, :, None], way.shape), between[..., None, :], axis=-2)[..., 0, :]
+    return best, _lesser_first(onwards * scores.shape[-2] + here), between
+
+
+def _folded(lengths: np.ndarray, element) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sequences of these lengths put together step by step, all at once, the longest ones first in order.
+
+    ``element(t, n)`` gives scores (before x end; the last row: nothing before) and ranks of the first ``n`` sequences' element t.
+    Back come scores, ranks and the roles between, by step."""
+    scores, ranks = (x.copy() for x in element(0, len(lengths)))
+    between = []
+    for t in range(1, int(lengths.max(initial=0))):
+        n = int((lengths > t).sum())
+        then, then_ranks = element(t, n)
+        scores[:n], ranks[:n], m = _together(scores[:n], ranks[:n], then[:, :-1], then_ranks[:, :-1])
+        between.append(m.astype(np.int8))
+    return scores, ranks, between
+
+
+def _ways(lengths: np.ndarray, between: list[np.ndarray], before: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The role at each step of each sequence (steps x sequences x ...) for these roles before it and at its end."""
+    path = np.zeros((int(lengths.max()), *end.shape), np.int8)
+    path[:] = end
+    which = np.arange(len(lengths)).reshape(-1, *[1] * (end.ndim - 1))
+    for t in range(len(path) - 1, 0, -1):
+        n = int((lengths > t).sum())
+        path[t - 1, :n] = between[t - 1][which[:n], before[:n], path[t, :n]]
+    return path
+
+
+def _groups(batches, columns: list[str]):
+    """Whole groups of rows in a row that agree in ``columns``: (table, starts, lengths), some thousand rows at a time."""
+    held: pa.Table | None = None
+
+    def cut(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for c in columns:
+            x = t[c].combine_chunks()
+            a, b = x.slice(0, len(x) - 1), x.slice(1)
+            differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+            new[1:] |= differ
+        return np.flatnonzero(new)
+
+    def out(t: pa.Table, starts: np.ndarray):
+        return t, starts, np.diff(np.append(starts, t.num_rows))
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        starts = cut(held)
+        if len(starts) > 1:
+            yield out(held.slice(0, int(starts[-1])), starts[:-1])
+            held = held.slice(int(starts[-1]))
+    if held is not None and held.num_rows:
+        yield out(held, cut(held))
 
 
 def segmented(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
@@ -168,52 +211,84 @@ def parse(turns: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: s
     lines = segmented(lines_of(turns, conv_col, turn_col, role_col, text_col), segment)
     features = lines.select("conv", "segment", "place", "new", "marker", "size", "asks")
     conv = features.schema["conv"].dataType.simpleString()
-
-    def ordered(group: pa.Table) -> tuple:
-        t = group.select(["place", "new", "marker", "size", "asks"]).to_pandas().sort_values("place")
-        new = t["new"].to_numpy()
-        return t.index.to_numpy(), new, shared.value.emissions(new, t["marker"].to_numpy(), t["size"].to_numpy(), t["asks"].to_numpy())
-
-    def measure(group: pa.Table) -> pa.Table:
-        _, new, emit = ordered(group)
-        scores, ranks = _through(shared.value, new, emit)
-        alone = _best(shared.value, new, emit, None)[0]
-        return pa.table({"conv": group["conv"].slice(0, 1), "segment": group["segment"].slice(0, 1), "scores": pa.array([np.concatenate([scores.ravel(), alone, ranks.ravel()]).tolist()], pa.list_(pa.float64()))})
-
-    def chain(group: pa.Table) -> pa.Table:
-        g = group.select(["segment", "scores"]).to_pandas().sort_values("segment")
-        k, score, backs = len(ROLES), None, []
-        for s in g["scores"]:
-            s = np.asarray(s).reshape(2 * k + 1, k)
-            if score is None:
-                score = s[k]
-                backs.append(np.full(k, -1))
-            else:
-                way = score[:, None] + s[:k]
-                score = way.max(axis=0)
-                backs.append(np.where(way == score, s[k + 1 :], k).argmin(axis=0))
-        ends = [int(score.argmax())]
-        for b in reversed(backs):
-            ends.append(int(b[ends[-1]]))
-        ends = ends[::-1]  # ends[0] is -1: nothing before
-        return pa.table({"conv": pa.chunked_array([group["conv"].combine_chunks().take(pa.array([0] * len(g)))]), "segment": pa.array(g["segment"].tolist(), pa.int64()), "enter": pa.array(ends[:-1], pa.int32()), "leave": pa.array(ends[1:], pa.int32())})
-
-    def decode(group: pa.Table, ends: pa.Table) -> pa.Table:
-        where, new, emit = ordered(group)
-        enter, leave = ends["enter"][0].as_py(), ends["leave"][0].as_py()
-        _, back = _best(shared.value, new, emit, None if enter < 0 else np.where(np.arange(len(ROLES)) == enter, 0.0, -np.inf))
-        path = np.zeros(len(emit), np.int64)
-        path[-1] = leave
-        for t in range(len(emit) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        roles = np.empty(len(emit), np.int64)
-        roles[where] = path
-        return pa.table({x: group[x] for x in ("conv", "turn", "copy", "rep", "line", "body")} | {"role": pa.array(roles, pa.int32())})
-
-    scores = features.groupBy("conv", "segment").applyInArrow(measure, f"conv {conv}, segment long, scores array<double>")
-    ends = scores.groupBy("conv").applyInArrow(chain, f"conv {conv}, segment long, enter int, leave int")
-    bodies = lines.select("conv", "segment", "place", "turn", "copy", "rep", "line", "body", "new", "marker", "size", "asks")
-    placed = bodies.groupBy("conv", "segment").cogroup(ends.groupBy("conv", "segment")).applyInArrow(decode, f"conv {conv}, turn long, copy long, rep long, line int, body string, role int")
+    k = len(ROLES)
+    entries = k * (k + 1)  # roles before, or nothing, x roles at the end
+
+    def matrices(column: pa.ChunkedArray, n: int) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, k + 1, k)
+
+    def lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), kind), entries).cast(pa.list_(kind))
+
+    def measure(batches):
+        model = shared.value
+        for t, starts, lengths in _groups(batches, ["conv", "segment"]):
+            order = np.argsort(-lengths, kind="stable")
+            first, size = starts[order], lengths[order]
+            new, marker, sizes, asks = (t[c].to_numpy() for c in ("new", "marker", "size", "asks"))
+            emit = model.emissions(new, marker, sizes, asks)
+            same = np.broadcast_to(np.append(np.arange(k), 0)[:, None], (k + 1, k))
+
+            def element(i: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+                at = first[:n] + i
+                scores = np.concatenate([model.move[new[at]], np.broadcast_to(model.first, (n, 1, k))], axis=1) + emit[at][:, None, :]
+                return scores, np.broadcast_to(same, (n, k + 1, k)).copy()
+
+            scores, ranks, between = _folded(size, element)
+            every = np.broadcast_to(np.arange(k), (len(size), k + 1, k)), np.broadcast_to(np.arange(k + 1)[:, None], (len(size), k + 1, k))
+            path = _ways(size, between, every[1], every[0]) if len(size) else np.zeros((0, 0, k + 1, k), np.int8)
+            ways = [[path[:n, i, b, e].tobytes() for b in range(k + 1) for e in range(k)] for i, n in enumerate(size.tolist())]
+            picked = t.select(["conv", "segment", "place"]).take(pa.array(first))
+            columns = [*picked.columns, lists(scores, pa.float64()), lists(ranks.astype(np.int32), pa.int32()), pa.array(ways, pa.list_(pa.binary()))]
+            yield from pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["conv", "segment", "first", "scores", "ranks", "ways"]).to_batches()
+
+    def put_together(batches):
+        for t, starts, lengths in _groups(batches, ["conv", "span"]):
+            order = np.argsort(-lengths, kind="stable")
+            first, size = starts[order], lengths[order]
+            all_scores, all_ranks = matrices(t["scores"], t.num_rows), matrices(t["ranks"], t.num_rows)
+            scores, ranks, _ = _folded(size, lambda i, n: (all_scores[first[:n] + i], all_ranks[first[:n] + i]))
+            picked = t.select(["conv", "span"]).take(pa.array(first))
+            yield from pa.table([*(c.combine_chunks() for c in picked.columns), lists(scores, pa.float64()), lists(ranks.astype(np.int32), pa.int32())], names=["conv", "span", "scores", "ranks"]).to_batches()
+
+    def ends_of(columns: list[str], number: str):
+        """Roles before (k: nothing) and at the end of each part of a whole, from those of the whole, or from nothing."""
+
+        def fix(batches):
+            for t, starts, lengths in _groups(batches, columns):
+                order = np.argsort(-lengths, kind="stable")
+                first, size = starts[order], lengths[order]
+                all_scores, all_ranks = matrices(t["scores"], t.num_rows), matrices(t["ranks"], t.num_rows)
+                scores, _, between = _folded(size, lambda i, n: (all_scores[first[:n] + i], all_ranks[first[:n] + i]))
+                if "enter" in t.column_names:
+                    before, end = t["enter"].to_numpy()[first], t["leave"].to_numpy()[first]
+                else:
+                    before = np.full(len(size), k)
+                    end = scores[:, k].argmax(axis=1)
+                path = _ways(size, between, before, end.astype(np.int8))
+                enter, leave = np.zeros(t.num_rows, np.int32), np.zeros(t.num_rows, np.int32)
+                for i, (a, n) in enumerate(zip(first.tolist(), size.tolist())):
+                    leave[a : a + n] = path[:n, i]
+                    enter[a], enter[a + 1 : a + n] = before[i], path[: n - 1, i]
+                yield from pa.table([t["conv"].combine_chunks(), t[number].combine_chunks(), pa.array(enter), pa.array(leave)], names=["conv", number, "enter", "leave"]).to_batches()
+
+        return fix
+
+    kinds = f"conv {conv}, segment long, first long, scores array<double>, ranks array<int>, ways array<binary>"
+    measured = stored(features.repartition("conv", "segment").sortWithinPartitions("conv", "segment", "place").mapInArrow(measure, kinds), "chat-segments")
+    # a conversation's segments need not be numbered in a row, but a span has as many numbers as it may have segments
+    small = measured.select("conv", "segment", F.floor(F.col("segment") / SPAN).cast("long").alias("span"), "scores", "ranks")
+    spans = small.repartition("conv", "span").sortWithinPartitions("conv", "span", "segment").mapInArrow(put_together, f"conv {conv}, span long, scores array<double>, ranks array<int>")
+    fixed = spans.repartition("conv").sortWithinPartitions("conv", "span").mapInArrow(ends_of(["conv"], "span"), f"conv {conv}, span long, enter int, leave int")
+    fixed = fixed.withColumnsRenamed({"conv": "conv_", "span": "span_"})
+    inside = small.join(fixed, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("span") == F.col("span_"))).select("conv", "span", "segment", "scores", "ranks", "enter", "leave")
+    ends = inside.repartition("conv", "span").sortWithinPartitions("conv", "span", "segment").mapInArrow(ends_of(["conv", "span"], "segment"), f"conv {conv}, segment long, enter int, leave int")
+    ends = ends.withColumnsRenamed({"conv": "conv_", "segment": "segment_"})
+    way = measured.join(ends, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("segment") == F.col("segment_"))).select(F.col("conv").alias("conv_"), F.col("segment").alias("segment_"), "first", F.get("ways", F.col("enter") * k + F.col("leave")).alias("way"))
+    placed = lines.join(way, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("segment") == F.col("segment_")))
+    # a segment's lines have places in a row
+    role_at = F.ascii(F.substring("way", (F.col("place") - F.col("first") + 1).cast("int"), F.lit(1)).cast("string"))
+    placed = placed.select("conv", "turn", "copy", "rep", "line", "body", role_at.alias("role"))
     # a given turn is put together again, cut where the role changes; a turn's lines are one row's text
     each = placed.groupBy("conv", "turn", "copy", "rep").agg(F.array_sort(F.collect_list(F.struct("line", "role", "body"))).alias("lines"))
     roles = F.array(*map(F.lit, ROLES))

@@ -1,32 +1,43 @@
-"""The task tree: roots, paths, inherited context, orphans and their adoption."""
+"""The task tree: roots, paths, inherited context, orphans and their adoption.
+
+Ids may be of any type that can be joined: where ids of several environments come together, they are structs of
+environment and id (``scoped``), so that a tree never crosses environments."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import merge_maps
 from ..sources.files import stored
 
 
+def scoped(task_id: str, env: str = "env") -> Column:
+    """An id within its environment; null stays null."""
+    return F.when(F.col(task_id).isNotNull(), F.struct(F.col(env).alias("env"), F.col(task_id).alias("id")))
+
+
 def missing_parents(nodes: DataFrame) -> DataFrame:
     """parent_id of parents that are not among the nodes."""
-    return nodes.filter("parent_id IS NOT NULL").select("parent_id").distinct().join(nodes.select(F.col("task_id").alias("parent_id")), "parent_id", "left_anti")
+    return orphan_index(nodes).select("parent_id")
 
 
 def orphan_index(nodes: DataFrame) -> DataFrame:
-    """parent_id, waiting children and the least of them, for parents that have not come."""
-    return nodes.join(missing_parents(nodes), "parent_id").groupBy("parent_id").agg(F.count(F.lit(1)).alias("waiting"), F.min("task_id").alias("first_child"))
+    """parent_id, waiting children and the least of them, for parents that have not come.
+
+    Children are counted before the join, so a hot parent is one row of it."""
+    asked = nodes.filter("parent_id IS NOT NULL").groupBy("parent_id").agg(F.count(F.lit(1)).alias("waiting"), F.min("task_id").alias("first_child"))
+    return asked.join(nodes.select(F.col("task_id").alias("parent_id")), "parent_id", "left_anti")
 
 
 def _tops(nodes: DataFrame) -> DataFrame:
     """task_id, top, depth of nodes that reach a root, by doubling: after k joins a node knows 2^k ancestors.
 
-    Nodes below a missing parent or in a cycle never reach one. Only ids travel. A hot parent is one key of a plain
-    join, which Spark splits."""
-    known = nodes.select(F.col("task_id").alias("parent_id"), F.lit(True).alias("there")).distinct()
+    Nodes below a missing parent or in a cycle never reach one. Only ids travel. Ids are unique, so no join has an aggregation
+    between its exchange and its sort, and Spark splits the partition of a hot parent where it is large enough."""
+    known = nodes.select(F.col("task_id").alias("parent_id"), F.lit(True).alias("there"))
     now = nodes.select("task_id", "parent_id").join(known, "parent_id", "left").select("task_id", F.when(F.col("there"), F.col("parent_id")).alias("up"), (F.col("parent_id").isNotNull() & F.col("there").isNull()).alias("lost"), F.lit(0).alias("depth"))
     now = stored(now.withColumns({"depth": F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long"), "top": F.coalesce("up", "task_id")}), "tree")
     rounds = math.ceil(math.log2(max(2, now.count()))) + 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,37 +54,68 @@ def merged_status(old: Column, new: Column, old_begin: Column, new_begin: Column
     )
 
 
+def _united(name: str, o: Callable[[str], Column], n: Callable[[str], Column], s: Column) -> Column:
+    """Field ``name`` of a stored task (fields by ``o``) with a new part of it (fields by ``n``) merged in; ``s`` is merged_status.
+
+    Retention moves only while the stored task is a part; maps unite, the new value winning; other fields take the new
+    value unless it is null."""
+    if name == "status":
+        return s["status"]
+    if name in ("task_begin", "task_end"):
+        return s[name.partition("_")[2]]
+    if name == "duration":
+        return F.when(s["ended"], s["duration"]).otherwise(o(name))
+    if name == "date_to_delete":
+        return F.when(~o("status").isin(M.SUCCESS, M.UNTERMINATED, M.ERROR), F.coalesce(n(name), o(name))).otherwise(o(name))
+    if name in ("ctx", "text", "metric"):
+        return merge_maps(o(name), n(name))
+    if name == "string":
+        # the reason is noted before the incoming strings are put in, which may overwrite it
+        noted = F.when(s["reason"].isNotNull(), merge_maps(o(name), F.create_map(F.lit(M.REASON), s["reason"]))).otherwise(o(name))
+        return merge_maps(noted, n(name))
+    return F.coalesce(n(name), o(name))
+
+
+def _status(o: Callable[[str], Column], n: Callable[[str], Column], monotone: bool) -> Column:
+    return merged_status(o("status"), n("status"), o("task_begin"), n("task_begin"), o("task_end"), n("task_end"), monotone)
+
+
 def upserted(old: DataFrame, new: DataFrame, monotone: bool = False, key: list[str] | None = None) -> DataFrame:
     """Stored tasks with new ones merged in: one row per key, columns of ``old``.
 
-    Keys are unique on either side. A task only on one side stays as it is. Retention of a stored task moves only while it
-    is a part; maps unite, the new value winning; other fields take the new value unless it is null."""
+    Keys are unique on either side. A task only on one side stays as it is; others are merged (``_united``)."""
     key = key or KEY
     o, n = old.select(*[F.col(c).alias(c if c in key else f"o_{c}") for c in old.columns], F.lit(True).alias("o_")), new.select(*[F.col(c).alias(c if c in key else f"n_{c}") for c in new.columns], F.lit(True).alias("n_"))
     j = o.join(n, key, "full_outer")
-    c = F.col
-    s = merged_status(c("o_status"), c("n_status"), c("o_task_begin"), c("n_task_begin"), c("o_task_end"), c("n_task_end"), monotone)
-    j = j.withColumn("s", s)
-    only_new, only_old = c("o_").isNull(), c("n_").isNull()
-    pick = lambda name, both: F.when(only_new, c(f"n_{name}")).when(only_old, c(f"o_{name}")).otherwise(both).alias(name)
-    both = {
-        "status": c("s.status"), "task_begin": c("s.begin"), "task_end": c("s.end"), "duration": F.when(c("s.ended"), c("s.duration")).otherwise(c("o_duration")),
-        "date_to_delete": F.when(~c("o_status").isin(M.SUCCESS, M.UNTERMINATED, M.ERROR), F.coalesce("n_date_to_delete", "o_date_to_delete")).otherwise(c("o_date_to_delete")),
-    }
+    of, nf = lambda name: F.col(f"o_{name}"), lambda name: F.col(f"n_{name}")
+    j = j.withColumn("s", _status(of, nf, monotone))
     cols = []
     for name in old.columns:
         if name in key:
-            cols.append(c(name))
-        elif name in both:
-            cols.append(pick(name, both[name]))
-        elif name in ("ctx", "text", "metric"):
-            cols.append(pick(name, merge_maps(c(f"o_{name}"), c(f"n_{name}"))))
-        elif name == "string":
-            # the reason is noted before the incoming strings are put in, which may overwrite it
-            noted = F.when(c("s.reason").isNotNull(), merge_maps(c("o_string"), F.create_map(F.lit(M.REASON), c("s.reason")))).otherwise(c("o_string"))
-            cols.append(pick(name, merge_maps(noted, c("n_string"))))
+            cols.append(F.col(name))
         elif name in new.columns:
-            cols.append(pick(name, F.coalesce(f"n_{name}", f"o_{name}")))
+            cols.append(F.when(F.col("o_").isNull(), nf(name)).when(F.col("n_").isNull(), of(name)).otherwise(_united(name, of, nf, F.col("s"))).alias(name))
         else:
-            cols.append(c(f"o_{name}").alias(name))
+            cols.append(of(name).alias(name))
     return j.select(*cols)
+
+
+def merged_parts(parts: DataFrame, order: str, columns: list[str], monotone: bool = False) -> DataFrame:
+    """One row per task from its parts in the order of column ``order``, merged one after the other; ``columns`` besides the
+    key and those of the merge keep the value of the first part.
+
+    A task has a part per batch that it comes in, so its list is short between two compactions."""
+    fields = [c for c in columns if c not in KEY]
+    one = F.struct(order, *fields)
+    grouped = parts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.min_by(one, order).alias("_first"), F.collect_list(one).alias("_parts"))
+    kinds = {f.name: f.dataType for f in parts.schema}
+
+    def step(old: Column, new: Column) -> Column:
+        of, nf = lambda name: old[name], lambda name: new[name]
+        timed = F.transform(F.array(_status(of, nf, monotone)), lambda s: F.struct(*[(_united(c, of, nf, s) if c in M.TASK.names else old[c]).cast(kinds[c]).alias(c) for c in [order, *fields]]))
+        return F.get(timed, F.lit(0))
+
+    # maps cannot be ordered, so the parts are sorted by their place alone
+    later = F.array_sort(F.filter("_parts", lambda x: x[order] != F.col("_first")[order]), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0))
+    merged = F.when(F.col("_n") == 1, F.col("_first")).otherwise(F.aggregate(later, F.col("_first"), step))
+    return grouped.withColumn("_m", merged).select(*[F.col(c) if c in KEY else F.col("_m")[c].alias(c) for c in columns])

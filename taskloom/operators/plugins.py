@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import merge_maps, name_of
+from ..sources.files import stored
+
+#: A row of a plugin's report.
+REPORT = "name string, class string, status string, error string, duration_ms long"
 
 #: Kind -> builder from its JSON configuration.
 REGISTRY: dict[str, Callable[[dict], "Plugin"]] = {}
@@ -77,15 +81,18 @@ def from_json(config: str) -> list[Plugin]:
     return out
 
 
-def run_all(events: DataFrame, plugins: list) -> tuple[DataFrame, list[dict]]:
-    """Events after all plugins, and a report each; a plugin that fails is skipped and does not stop the batch."""
+def run_all(events: DataFrame, plugins: list, proven: bool = False) -> tuple[DataFrame, list[dict]]:
+    """Events after all plugins, and a report each; a plugin that fails is skipped and does not stop the batch.
+
+    A plan is only known to work once it has run: with ``proven`` each plugin's events are written before the next one
+    starts, so that a plugin that fails at a row is skipped, too."""
     reports = []
     for p in plugins:
         began, status, error = time.time(), "SUCCESS", None
         try:
             changed = p.apply(events)
             changed.schema  # a plan that does not resolve fails here
-            events = changed
+            events = stored(changed, "plugin") if proven else changed
         except Exception:
             status, error = "ERROR", traceback.format_exc()
         reports.append({"name": p.name, "class": type(p).__name__, "status": status, "error": error, "duration_ms": int((time.time() - began) * 1000)})

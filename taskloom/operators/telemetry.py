@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
+
 
 def heartbeat_windows(events: DataFrame, time: str = "time", value: str = "value", period: str = "1 minute", by: list[str] | None = None) -> DataFrame:
     """Per period: events, mean and largest value. Works on streams with a watermark."""
@@ -19,7 +23,7 @@ def batch_report(events: DataFrame, batch: str) -> DataFrame:
     )
 
 
-def dead_letters(attempts: DataFrame, most: int = 3, hopeless: tuple[str, ...] = ("null_pointer", "index is missing")) -> DataFrame:
+def dead_letters(attempts: DataFrame, hopeless: tuple[str, ...], most: int = 3) -> DataFrame:
     """What still failed on its last try and may be sent again: neither tried ``most`` times nor failed for a hopeless reason.
 
     ``attempts``: item, attempt, ok, message."""
@@ -29,3 +33,22 @@ def dead_letters(attempts: DataFrame, most: int = 3, hopeless: tuple[str, ...] =
         lost = lost | F.coalesce(F.contains("message", F.lit(text)), F.lit(False))
     state = F.when(F.col("ok"), "done").when(lost, "dropped").when(F.col("attempts") >= most, "persisted").otherwise("retry")
     return last.select("item", "attempts", state.alias("state"))
+
+
+def replayed(items: DataFrame, send: Callable[[DataFrame, int], DataFrame], most: int = 3) -> DataFrame:
+    """``items`` with attempts and ok after what failed was sent again, at most ``most`` times in all.
+
+    ``send(items, turn)`` adds ``ok``. As long as a turn has a success, the next one takes what is left; each turn's outcome is
+    stored, so that nothing is sent twice for it."""
+    left, turns = items, []
+    for turn in range(1, most + 1):
+        sent = stored(send(left, turn).withColumn("attempts", F.lit(turn)), "replayed")
+        lost = sent.filter("NOT coalesce(ok, false)")
+        turns.append((sent.filter("ok"), lost))
+        if turns[-1][0].isEmpty() or lost.isEmpty():
+            break
+        left = lost.select(*items.columns)
+    out = turns[-1][1]
+    for good, _ in turns:
+        out = out.unionByName(good)
+    return out

@@ -72,12 +72,3 @@ def to_envelopes(events: DataFrame, id_of: str | None = None) -> DataFrame:
     rows = events.select(F.col(id_of).cast("string").alias("id") if id_of else F.uuid().alias("id"), "seq", wire.alias("e"))
     batches = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "e")), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)).alias("es"))
     return batches.select(F.to_json(F.struct(F.lit("EventsWrapper").alias("@type"), "id", F.transform("es", lambda x: x["e"]).alias("events"))).alias("value"))
-
-
-def write_null(df: DataFrame) -> None:
-    """Run a plan and keep nothing."""
-    df.write.format("noop").mode("overwrite").save()
-
-
-def schema_of(name: str) -> T.StructType:
-    return {"event": M.EVENT, "task": M.TASK, "wire": WIRE_EVENT}[name]

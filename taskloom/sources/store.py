@@ -1,151 +1,158 @@
-"""The task store: Parquet, versioned by bucket, with a manifest.
+"""The task table: Parquet folders that only grow, merged when they are read.
 
-A task lives in the bucket that the hash of its id names, within an environment and a generation. A batch reads the
-buckets that it touches, merges, writes them anew under its own version and then writes a manifest, which
-says for every bucket which version counts. Readers go by the newest manifest, so a batch is visible as a
-whole or not at all, a batch that is run again replaces itself, and older versions can be read until they are dropped.
+A batch appends its tasks as parts below ``parts/version=<n>/generation=<g>``; nothing that is stored is read or written again
+for that but the generations of the batch's own tasks. A task is its parts in the order of their versions, merged
+(``merge.merged_parts``). ``compact`` writes a generation anew as ``base/generation=<g>/version=<n>``, which stands for all its
+parts up to then; only generations that need it are rewritten: those with expired tasks, or with many parts.
 
-The manifest has one row per (env, generation, bucket): its size follows the number of buckets, never the tasks. It
-also carries the number of the last micro-batch, so that one that is replayed after it was merged is passed over.
+A folder counts once Spark has committed it, so a batch is there as a whole or not at all, and one that is run again under
+its version replaces itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import model as M
 from ..operators import lifecycle, merge
+from .files import stored
 
-_PLACE = ["env", "generation", "bucket"]
+KEY = ["env", "task_id"]
+_PART = T.StructType([*M.TASK, T.StructField("generation", T.IntegerType()), T.StructField("version", T.IntegerType()), T.StructField("batch", T.LongType())])
 
 
 class TaskStore:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, monotone: bool = False):
+        """``buckets``: files of a compacted generation, roughly; ``monotone``: as for ``merge.merged_status``."""
+        self.spark, self.path, self.buckets, self.monotone = spark, path.rstrip("/"), buckets, monotone
 
     # the file system is the path's own, whichever it is
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
 
+    def _numbers(self, pattern: str) -> list[tuple[int, ...]]:
+        """The numbers in the names of committed folders like parts/version=3 or base/generation=1/version=3."""
+        fs, p = self._fs(f"{self.path}/{pattern}/_SUCCESS")
+        names = [s.getPath().getParent().toString() for s in fs.globStatus(p) or []]
+        return sorted(tuple(int(x.partition("=")[2]) for x in n.split("/")[-pattern.count("/") :] if "=" in x) for n in names)
+
     def _versions(self) -> list[int]:
-        fs, p = self._fs(f"{self.path}/manifest")
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [n for n in names if n.startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
-
-    def manifest(self, version: int | None = None) -> DataFrame | None:
-        """env, generation, bucket, version, tasks, first_begin, batch."""
-        versions = [v for v in self._versions() if version is None or v <= version]
-        return self.spark.read.parquet(f"{self.path}/manifest/v={versions[-1]}") if versions else None
-
-    def _with_place(self, tasks: DataFrame) -> DataFrame:
-        return tasks.withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(self.buckets)).cast("int"))
-
-    def _empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], T.StructType([*M.TASK, T.StructField("generation", T.IntegerType())]))
-
-    def tasks(self, version: int | None = None, touched: DataFrame | None = None) -> DataFrame:
-        """All tasks, or those of the buckets in ``touched`` (env, bucket); only the counting versions' folders are read."""
-        m = self.manifest(version)
-        if m is None:
-            return self._empty()
-        if touched is not None:
-            m = m.join(touched.select("env", "bucket").distinct(), ["env", "bucket"], "left_semi")
-        live = [r["version"] for r in m.filter("version > 0").select("version").distinct().collect()]  # at most one per bucket
-        if not live:
-            return self._empty()
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in M.TASK if f.name != "env")
-        rows = self.spark.read.schema(f"{columns}, env string, generation int, bucket int, version int").option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/version={v}" for v in live])
-        # the manifest is small and bounded by the number of buckets
-        rows = rows.join(F.broadcast(m.select(*_PLACE, "version")), [*_PLACE, "version"], "left_semi")
-        return rows.select(*M.TASK.names, "generation")
-
-    def generation(self, env: str | None = None) -> int:
-        m = self.manifest()
-        if m is None:
-            return 1
-        return (m if env is None else m.filter(F.col("env") == env)).agg(F.max("generation")).first()[0] or 1
+        return [v for (v,) in self._numbers("parts/version=*")]
+
+    def _bases(self, version: int | None = None) -> dict[int, int]:
+        """Generation -> version of its base."""
+        return {g: v for g, v in self._numbers("base/generation=*/version=*") if version is None or v <= version}
+
+    def _next(self) -> int:
+        return max([0, *self._versions(), *(v for _, v in self._numbers("base/generation=*/version=*"))]) + 1
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], _PART)
+        return self.spark.read.schema(_PART).option("basePath", self.path).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def rows(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(compacted tasks, parts since then) as of a version, columns of model.TASK, generation, version, batch."""
+        bases = self._bases(version)
+        parts = self._read([f"parts/version={v}" for v in self._versions() if version is None or v <= version]).filter("task_id IS NOT NULL")
+        for g, v in bases.items():  # a generation spans months
+            parts = parts.filter((F.col("generation") != g) | (F.col("version") > v))
+        return self._read([f"base/generation={g}/version={v}" for g, v in bases.items()]), parts
+
+    def tasks(self, version: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+        """All tasks, or those with one of ``ids`` (env, task_id), with their generation. Tasks without new parts are only read."""
+        base, parts = self.rows(version)
+        if ids is not None:
+            ids = ids.select(*KEY).distinct()
+            base, parts = base.join(ids, KEY, "left_semi"), parts.join(ids, KEY, "left_semi")
+        touched = parts.select(*KEY).distinct()
+        again = base.join(touched, KEY, "left_semi").unionByName(parts)
+        columns = [*M.TASK.names, "generation"]
+        return base.join(touched, KEY, "left_anti").select(*columns).unionByName(merge.merged_parts(again, "version", columns, self.monotone))
+
+    def orphans(self, version: int | None = None) -> DataFrame:
+        """Tasks that wait for a parent. Only ids that ever were orphans are merged."""
+        base, parts = self.rows(version)
+        ever = base.filter("orphan").select(*KEY).unionByName(parts.filter("orphan").select(*KEY))
+        return self.tasks(version, ever).filter("orphan")
+
+    def generation(self) -> int:
+        """The one that new tasks go to."""
+        fs, p = self._fs(f"{self.path}/parts/version=*/generation=*")
+        found = [int(s.getPath().getName().partition("=")[2]) for s in fs.globStatus(p) or []]
+        return max([1, *self._bases(), *found])
 
     def last_batch(self) -> int:
         """The number of the last micro-batch merged, -1 if none was."""
-        m = self.manifest()
-        last = m.agg(F.max("batch")).first()[0] if m is not None else None
+        last = self._read([f"parts/version={v}" for v in self._versions()]).agg(F.max("batch")).first()[0]
         return -1 if last is None else last
 
-    def _write(self, tasks: DataFrame, replaced: DataFrame | None, version: int, everything: bool = False, batch: int | None = None) -> None:
-        """Write ``tasks`` as this version. Its buckets, and those in ``replaced`` (env, bucket), count from now on."""
-        placed = self._with_place(tasks)
-        batch = self.last_batch() if batch is None else batch
-        fs, _ = self._fs(self.path)
-        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/version={version}"), True)
-        placed.repartition("env", "bucket").write.mode("overwrite").partitionBy(*_PLACE).parquet(f"{self.path}/data/version={version}")
-        old = self.manifest(version - 1)
-        schema = "task_id string, task_begin timestamp, env string, generation int, bucket int"
-        new = self.spark.read.schema(schema).parquet(f"{self.path}/data/version={version}").groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("tasks"), F.min("task_begin").alias("first_begin")).withColumn("version", F.lit(version))
-        if old is not None and not everything:
-            gone = replaced.select("env", "bucket").distinct() if replaced is not None else new.select("env", "bucket").distinct()
-            new = new.unionByName(old.drop("batch").join(F.broadcast(gone), ["env", "bucket"], "left_anti"))
-        new.select(*_PLACE, "version", "tasks", "first_begin", F.lit(batch).cast("long").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version}")
-
-    def upsert(self, tasks: DataFrame, version: int | None = None, monotone: bool = False, batch: int | None = None) -> int:
-        """Merge folded tasks in. A task that is stored stays in its generation; new ones go to the newest.
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        rows.write.mode("overwrite").partitionBy("generation").parquet(f"{self.path}/{folder}")
+
+    def append(self, tasks: DataFrame, version: int | None = None, batch: int | None = None) -> int:
+        """Add parts of tasks; returns the version. A task that is stored stays in its generation, new ones go to the newest.
 
         A given ``version``, the newest one, is written again in place of itself. ``batch`` is a micro-batch's number."""
-        version = version or (self._versions() or [0])[-1] + 1
-        touched = self._with_place(tasks).select("env", "bucket").distinct()
-        # a bucket's rows of all generations are read together, so that late parts find their task
-        old = self.tasks(version - 1, touched)
-        new = tasks.select(*M.TASK.names).withColumn("generation", F.lit(None).cast("int"))
-        merged = merge.upserted(old, new, monotone).withColumn("generation", F.coalesce("generation", F.lit(self.generation())))
-        self._write(merged, touched, version, batch=batch)
+        version = version or self._next()
+        tasks = tasks.select(*M.TASK.names)
+        base, parts = self.rows(version - 1)
+        had = base.select(*KEY, "generation", "version").unionByName(parts.select(*KEY, "generation", "version")).join(tasks.select(*KEY), KEY, "left_semi")
+        had = had.groupBy(*KEY).agg(F.min_by("generation", "version").alias("generation"))
+        rows = tasks.join(had, KEY, "left").withColumns({"generation": F.coalesce("generation", F.lit(self.generation())), "batch": F.lit(-1 if batch is None else batch).cast("long")})
+        self._write(rows, f"parts/version={version}")
         return version
 
-    def rewrite(self, change, version: int | None = None) -> int:
-        """Replace all tasks by ``change(tasks)``: expiry, compaction, merging of generations."""
-        version = version or (self._versions() or [0])[-1] + 1
-        self._write(change(self.tasks(version - 1)), None, version, everything=True)
+    def roll_over(self) -> int:
+        """The next generation; tasks that are new from now on go there. A row without an id keeps its number."""
+        top = self.generation() + 1
+        mark = self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in M.TASK], F.lit(top).alias("generation"), F.lit(-1).cast("long").alias("batch"))
+        self._write(mark, f"parts/version={self._next()}")
+        return top
+
+    def compact(self, generations: list[int] | None = None, change: Callable[[DataFrame], DataFrame] = lambda t: t) -> int:
+        """Write the given generations (all of them, without any) anew as ``change`` leaves them; returns the version."""
+        version = self._next()
+        now = self.tasks()
+        if generations is not None:
+            now = now.filter(F.col("generation").isin(generations))
+        changed = stored(change(now), "compacted")
+        for g in sorted(generations if generations is not None else {*self._bases(), *(r[0] for r in now.select("generation").distinct().collect())}):
+            out = changed.filter(F.col("generation") == g).drop("generation").withColumn("batch", F.lit(-1).cast("long"))
+            out.repartition(self.buckets, *KEY).write.mode("overwrite").parquet(f"{self.path}/base/generation={g}/version={version}")
         return version
 
-    def expire(self, now) -> int:
-        return self.rewrite(lambda t: lifecycle.delete_expired(t, now))
-
-    def roll_over(self) -> int:
-        """The next generation; tasks that are new from now on go there. An empty marker row keeps its number."""
-        version = (self._versions() or [0])[-1] + 1
-        m = self.manifest()
-        if m is None:
-            return 1
-        top = self.generation()
-        envs = m.select("env").distinct().select("env", F.lit(top + 1).cast("int").alias("generation"), F.lit(-1).cast("int").alias("bucket"), F.lit(0).alias("version"), F.lit(0).cast("long").alias("tasks"), F.lit(None).cast("timestamp").alias("first_begin"), F.lit(self.last_batch()).cast("long").alias("batch"))
-        m.unionByName(envs).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version}")
-        return top + 1
+    def expire(self, now: Column, top: int | None = None) -> int:
+        """Delete expired tasks. Only generations that have some are rewritten, the ``top`` ones with the most if given."""
+        found = lifecycle.expired_by_generation(self.tasks(), now, top or (1 << 20)).collect()  # a row per generation
+        return self.compact([r["generation"] for r in found], lambda t: lifecycle.delete_expired(t, now))
 
-    def merge_generations(self, now, monotone: bool = False) -> int:
+    def merge_generations(self, now: Column, monotone: bool = False) -> int:
         """Parts in the newest generation and the one before that belong together are brought together in the newest."""
         top = self.generation()
 
         def change(t: DataFrame) -> DataFrame:
-            rest = t.filter(F.col("generation") < top - 1)
             current, old = lifecycle.merge_generations(t.filter(F.col("generation") == top), t.filter(F.col("generation") == top - 1), now, monotone)
-            return rest.unionByName(current).unionByName(old)
-
-        return self.rewrite(change)
-
-    def vacuum(self, keep: int = 2) -> list[int]:
-        """Delete versions that the last ``keep`` manifests do not name; returns them."""
-        versions = self._versions()
-        named: set[int] = set()
-        for v in versions[-keep:]:
-            named |= {r["version"] for r in self.manifest(v).select("version").distinct().collect()}
-        fs, p = self._fs(f"{self.path}/data")
-        gone = sorted(n for n in (int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)) if n not in named and n <= versions[-1])
-        for v in gone:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/version={v}"), True)
-        for v in versions[:-keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/v={v}"), True)
-        return gone
+            return current.unionByName(old)
+
+        return self.compact([top - 1, top], change)
+
+    def vacuum(self, keep: int = 1) -> list[int]:
+        """Delete the folders that reading the last ``keep`` versions does not need, but never the newest parts; returns their versions."""
+        versions, bases = self._versions(), self._numbers("base/generation=*/version=*")
+        recent = sorted({*versions, *(v for _, v in bases)})[-keep:]
+        needed = {(g, v) for r in recent for g, v in self._bases(r).items()}
+        oldest = self._bases(recent[0]) if recent else {}
+        generations = {r[0] for r in self._read([f"parts/version={v}" for v in versions]).select("generation").distinct().collect()}
+        done = min((oldest.get(g, 0) for g in generations), default=0)
+        gone = [(f"base/generation={g}/version={v}", v) for g, v in bases if (g, v) not in needed and v < recent[-1]]
+        gone += [(f"parts/version={v}", v) for v in versions[:-1] if v <= done]
+        for folder, _ in gone:
+            fs, p = self._fs(f"{self.path}/{folder}")
+            fs.delete(p, True)
+        return sorted({v for _, v in gone})

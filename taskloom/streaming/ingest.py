@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions.normalize import normalize
-from ..operators import admission, fold, hierarchy, plugins
+from ..operators import admission, fold, hierarchy, plugins, telemetry
 from ..sources import files
 from ..sources.store import TaskStore
 
@@ -20,7 +22,6 @@ class Settings:
     limit: int | None = None
     period: str = "1 minute"
     days: int = 90
-    monotone: bool = False
     version: str | None = None
     suffix: str = M.ID_SUFFIX
     rules: list = field(default_factory=list)
@@ -34,47 +35,62 @@ def fold_batch(events: DataFrame, settings: Settings, now: Column) -> tuple[Data
         events = admission.keep_named(events, settings.keep_regex)
     if settings.limit is not None:
         events = admission.rate_limited(events, settings.limit, settings.period)
-    events, reports = plugins.run_all(events, settings.rules)
+    events, reports = plugins.run_all(events, settings.rules, proven=True)
     return fold.fold(events, now, settings.days, settings.version, settings.suffix), beats, reports
 
 
-def enriched(store: TaskStore, tasks: DataFrame, version: int | None = None) -> DataFrame:
+def enriched(tasks: DataFrame, waiting: DataFrame, lookup: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Tasks of a batch, and stored orphans that it adopts, with roots, paths, inherited context and the orphan flag.
 
-    Of the stored tasks only orphans and the ancestors that are asked for take part; a stored parent that is no orphan
-    brings its whole path, so the tree never has to be walked above it."""
-    stored = store.tasks(version)
+    ``waiting`` are the stored orphans; ``lookup`` gives the stored tasks with some ids (env, task_id).
+
+    Everything goes by environment and id: equal ids in two environments are two trees. Of the stored tasks only orphans and
+    the ancestors that are asked for take part; a stored parent that is no orphan brings its whole path, so the tree
+    never has to be walked above it."""
+    ids = {"node": hierarchy.scoped("task_id"), "up": hierarchy.scoped("parent_id")}
+    tasks = tasks.withColumns(ids)
     started = tasks.filter(F.col("status").isin(M.UNTERMINATED, M.SUCCESS, M.ERROR, M.CORRUPTED))
-    waiting = stored.filter(F.col("orphan") & F.col("status").isin(M.UNTERMINATED, M.SUCCESS, M.ERROR))
-    new = started.select("task_id", "parent_id", "name", "ctx", F.lit(None).cast("boolean").alias("was"))
-    old = waiting.join(started.select("task_id"), "task_id", "left_anti").select("task_id", "parent_id", "name", "ctx", F.col("orphan").alias("was"))
-    nodes = files.stored(new.unionByName(old), "batch-nodes")
+    waiting = files.stored(waiting.filter(F.col("status").isin(M.UNTERMINATED, M.SUCCESS, M.ERROR)).select(*M.TASK.names), "batch-waiting").withColumns(ids)
+    nodes = lambda df, was: df.select(F.col("node").alias("task_id"), F.col("up").alias("parent_id"), "name", "ctx", was.cast("boolean").alias("was"))
+    old = waiting.join(started.select("node"), "node", "left_anti")
+    nodes = files.stored(nodes(started, F.lit(None)).unionByName(nodes(old, F.col("orphan"))), "batch-nodes")
     # stored parents that have a root stand in as roots of their own and lend what they know
-    known = stored.filter("NOT coalesce(orphan, false)").join(nodes.select(F.col("parent_id").alias("task_id")).distinct(), "task_id", "left_semi").join(nodes.select("task_id"), "task_id", "left_anti")
-    lend = files.stored(known.select("task_id", "name", "ctx", "primary_id", "parents_path"), "batch-parents")
-    tree = hierarchy.resolve(nodes.drop("was").unionByName(lend.select("task_id", F.lit(None).cast("string").alias("parent_id"), "name", "ctx")))
+    asked = nodes.select(F.col("parent_id").alias("node")).distinct().join(nodes.select(F.col("task_id").alias("node")), "node", "left_anti")
+    known = lookup(asked.filter("node IS NOT NULL").select(F.col("node.env").alias("env"), F.col("node.id").alias("task_id"))).filter("NOT coalesce(orphan, false)")
+    lend = files.stored(known.withColumns(ids).select(F.col("node").alias("task_id"), "name", "ctx", "primary_id", "parents_path"), "batch-parents")
+    tree = hierarchy.resolve(nodes.drop("was").unionByName(lend.select("task_id", F.lit(None).cast(nodes.schema["parent_id"].dataType).alias("parent_id"), "name", "ctx")))
     top = lend.select(F.col("task_id").alias("primary_id"), F.col("primary_id").alias("root2"), F.col("parents_path").alias("path2"), F.lit(True).alias("lent"))
     tree = tree.join(nodes.select("task_id", "was"), "task_id").join(top, "primary_id", "left")
     path = F.when(F.col("lent"), F.concat(F.coalesce("path2", F.array().cast("array<string>")), "parents_path")).otherwise(F.col("parents_path"))
-    tree = tree.select("task_id", F.when(F.col("lent"), F.coalesce("root2", "primary_id")).otherwise(F.col("primary_id")).alias("t_primary"), path.alias("t_path"), F.col("ctx").alias("t_ctx"), F.when(F.col("orphan"), True).when(F.col("was"), False).alias("t_orphan"))
-    joined = tasks.join(tree, "task_id", "left")
+    tree = tree.select(
+        F.col("task_id").alias("node"), F.when(F.col("lent"), F.coalesce("root2", "primary_id.id")).otherwise(F.col("primary_id.id")).alias("t_primary"), path.alias("t_path"), F.col("ctx").alias("t_ctx"), F.when(F.col("orphan"), True).when(F.col("was"), False).alias("t_orphan")
+    )
+    joined = tasks.join(tree, "node", "left")
     out = joined.withColumns({"primary_id": F.coalesce("t_primary", "primary_id"), "parents_path": F.coalesce("t_path", "parents_path"), "ctx": F.coalesce("t_ctx", "ctx"), "orphan": F.coalesce("t_orphan", "orphan")}).select(*M.TASK.names)
-    adopted = waiting.join(tree.filter("NOT t_orphan"), "task_id").join(tasks.select("task_id"), "task_id", "left_anti")
+    adopted = waiting.join(tree.filter("NOT t_orphan"), "node").join(tasks.select("node"), "node", "left_anti")
     # an adopted task only brings what it inherits: as a part without news it leaves status, times and names alone
-    inherits = adopted.select(
-        "env", "task_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("status"), "parent_id", F.col("t_primary").alias("primary_id"), F.col("t_path").alias("parents_path"), F.lit(None).cast("timestamp").alias("task_begin"), F.lit(None).cast("timestamp").alias("task_end"),
-        F.lit(None).cast("long").alias("duration"), F.lit(None).cast("timestamp").alias("date_to_delete"), F.lit(False).alias("orphan"), F.col("t_ctx").alias("ctx"), *[F.lit(None).cast(M.TASK[c].dataType).alias(c) for c in ("string", "text", "metric")],
-    )
+    brings = {"env": F.col("env"), "task_id": F.col("task_id"), "parent_id": F.col("parent_id"), "primary_id": F.col("t_primary"), "parents_path": F.col("t_path"), "orphan": F.lit(False), "ctx": F.col("t_ctx")}
+    inherits = adopted.select(*[brings.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in M.TASK])
     return out.unionByName(inherits)
 
 
-def ingest_batch(store: TaskStore, events: DataFrame, settings: Settings | None = None, now: Column | None = None, version: int | None = None, batch: int | None = None) -> int:
-    """Fold, enrich and merge one batch; returns the store's version. The newest version given again replaces that batch."""
+def ingest_batch(store: TaskStore, events: DataFrame, settings: Settings | None = None, now: Column | None = None, version: int | None = None, batch: int | None = None, reports: str | None = None) -> int:
+    """Fold, enrich and append one batch; returns the store's version. The newest version given again replaces that batch.
+
+    With ``reports``, its heartbeats, the plugins' reports and a row about the batch are written below that folder, by version."""
     settings = settings or Settings()
-    tasks, _, _ = fold_batch(events, settings, F.current_timestamp() if now is None else now)
+    began = time.time()
+    tasks, beats, notes = fold_batch(events, settings, F.current_timestamp() if now is None else now)
     tasks = files.stored(tasks, "batch-tasks")
     before = None if version is None else version - 1
-    return store.upsert(files.stored(enriched(store, tasks, before), "batch-enriched"), version, settings.monotone, batch)
+    version = store.append(files.stored(enriched(tasks, store.orphans(before), lambda ids: store.tasks(before, ids)), "batch-enriched"), version, batch)
+    if reports is not None:
+        beats.write.mode("overwrite").json(f"{reports}/heartbeats/version={version}")
+        if notes:
+            events.sparkSession.createDataFrame(notes, plugins.REPORT).coalesce(1).write.mode("overwrite").json(f"{reports}/plugins/version={version}")
+        about = telemetry.batch_report(events.withColumn("version", F.lit(version)), "version").drop("version").withColumn("took_ms", F.lit(int((time.time() - began) * 1000)))
+        about.write.mode("overwrite").json(f"{reports}/batches/version={version}")
+    return version
 
 
 def _earlier(spark: SparkSession, path: str, batch: DataFrame, number: int, seconds: int) -> DataFrame:
@@ -120,7 +136,7 @@ def let_in(good: DataFrame, earlier: DataFrame, seconds: int = 10) -> DataFrame:
     return good.filter("id IS NULL").unionByName(good.filter("id IS NOT NULL").join(places, "place", "left_semi").select(*good.columns))
 
 
-def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str, settings: Settings | None = None, dead: str | None = None, once: bool = True, files_per_batch: int = 100, max_age: str = "36500d"):
+def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str, settings: Settings | None = None, dead: str | None = None, once: bool = True, files_per_batch: int = 100, max_age: str = "36500d", reports: str | None = None):
     """A query that reads envelope files below ``source`` and merges each micro-batch into ``store``.
 
     Envelopes with an id let in within ten seconds of file time are dropped, also when the files come out of order; all
@@ -146,7 +162,7 @@ def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str,
         ids = good.filter("id IS NOT NULL").select("id", "received", F.floor(F.unix_micros("received") / 3_600_000_000).cast("long").alias("hour"), F.lit(number).cast("long").alias("batch"))
         ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(admitted)
         events = files.events_of(good.withColumnRenamed("place", "seq_base"))
-        ingest_batch(store, events, settings, batch=number)
+        ingest_batch(store, events, settings, batch=number, reports=reports)
 
     writer = envelopes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -157,3 +157,33 @@ def test_client_stack():
     kinds = [e["@type"] for e in sink.events]
     assert kinds == [M.START, M.START, M.SUCCESS_EVENT, M.START, M.SUCCESS_EVENT, M.SUCCESS_EVENT, M.SPOT]
     assert sink.events[1]["parentId"] == a == sink.events[3]["parentId"] and sink.events[3]["strings"] == {"arg0": "1"}
+
+
+def test_equal_ids_in_two_environments(spark, tmp_path):
+    store = TaskStore(spark, f"file://{tmp_path}/store", buckets=2)
+    rows = [event("x___1", 1, M.START, 0, "x") | {"env": e} for e in ("a", "b")] + [event("y___1", 2, M.START, 1, "y", "x___1") | {"env": e} for e in ("a", "b")]
+    ingest.ingest_batch(store, spark.createDataFrame([r for r in rows if not (r["env"] == "b" and r["task_id"] == "x___1")], M.EVENT), now=now())
+    t = {(r["env"], r["task_id"]): r for r in store.tasks().collect()}
+    assert len(t) == 3 and t["a", "y___1"]["primary_id"] == "x___1" and t["b", "y___1"]["orphan"]
+    ingest.ingest_batch(store, spark.createDataFrame([rows[1]], M.EVENT), now=now(), reports=f"file://{tmp_path}/reports")
+    out = store.tasks().collect()
+    t = {(r["env"], r["task_id"]): r for r in out}
+    assert len(out) == 4 and t["b", "y___1"]["parents_path"] == ["x"] and t["b", "y___1"]["orphan"] is False
+    assert spark.read.json(f"file://{tmp_path}/reports/batches").first()["events_amount"] == 1
+
+
+def test_a_sink_does_not_wait_for_the_next_event(tmp_path):
+    import time
+
+    sink = FileSink(str(tmp_path), max_seconds=0.1)
+    Tracer(sink).spot("a")
+    time.sleep(0.5)
+    assert len([f for f in os.listdir(tmp_path) if f.endswith(".json.gz")]) == 1 and not sink.held
+
+
+def test_projection_of_single_keys(spark):
+    from taskloom.operators import lookup
+
+    t = spark.range(1).select(F.col("id").alias("task_id"), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")).alias("ctx"), F.create_map(F.lit("c"), F.lit("3")).alias("string"))
+    assert lookup.fields(t, exclude=["ctx.a", "string.*"]).first().asDict() == {"task_id": 0, "ctx": {"b": "2"}}
+    assert lookup.fields(t, ["task_id", "ctx.b"]).first().asDict() == {"task_id": 0, "ctx.b": "2"}

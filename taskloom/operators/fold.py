@@ -2,8 +2,10 @@
 
 Without spots the status machine has a closed form, so a task is a handful of counts, minima and first values:
 partial aggregation does the work, and a task with a third of all events is no different from others. Only tasks
-with a spot among other events, whose status a spot sets anew, are walked through in order, from
+with a spot among other events, whose status a spot sets anew, are walked through in order, in slices, from
 their last spot on.
+
+The sums are written once and read again where they are joined to events, so that Spark can split the partition of a hot task.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions import normalize as N
+from ..sources.files import stored
 
 KEY = ["env", "task_id"]
 
@@ -106,21 +109,40 @@ def step(status: Column, e: Column, begin: Column, end: Column, name: Column, pa
     )
 
 
-def _after_spots(e: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Status of tasks with a spot: walked from the last spot on, with the first values known before each event."""
+#: Events after a spot that are walked in one row.
+SLICE = 4096
+
+
+def _after_spots(e: DataFrame, tasks: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """Status of tasks with a spot: walked from the last spot on, with the first values known before each event.
+
+    The walk is a small state machine. Events after a spot are sorted by ranges and cut into slices by rank; a slice gives the
+    status and reason for every status before it, and a task's slices are chained. So a task with any number of
+    events after its spot is walked in many tasks."""
     spotted = tasks.filter("spots > 0").select(*KEY, "spot_seq", F.col("name").alias("t_name"), F.col("parent_id").alias("t_parent"), "parent_seq", F.col("begin").alias("t_begin"), F.col("end").alias("t_end"), F.coalesce("spot_status", F.lit(M.CORRUPTED)).alias("spot_status"))
+    if spotted.isEmpty():
+        return spotted.select(*KEY, F.col("spot_status").alias("walked"), F.lit(None).cast("string").alias("walked_reason"))
     # the last spot has begun and ended the task before any later event, so these are the stored values
-    later = e.join(spotted, KEY).filter("seq > spot_seq").select(*KEY, F.struct("seq", "type", "time", "name", "parent_id", "status", F.when(F.col("parent_seq") <= F.col("seq"), F.col("t_parent")).alias("t_parent")).alias("e"))
-    rows = spotted.join(later.groupBy(*KEY).agg(F.array_sort(F.collect_list("e")).alias("later")), KEY, "left")
-    start = F.struct(F.col("spot_status").alias("status"), F.lit(None).cast("string").alias("reason"))
+    later = e.join(spotted.drop("spot_status"), KEY).filter("seq > spot_seq").select(*KEY, "seq", F.struct("seq", "type", "time", "name", "parent_id", "status", "t_begin", "t_end", "t_name", F.when(F.col("parent_seq") <= F.col("seq"), F.col("t_parent")).alias("t_parent")).alias("e"))
+    order = [*KEY, "seq"]
+    later = stored(later.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "after-spots")
+    slices = later.groupBy(*KEY, F.floor(F.col("place") / slice_rows).alias("slice")).agg(F.array_sort(F.collect_list("e")).alias("later"))
+    # statuses that a spot may carry and no rule names behave as the unknown one does, whatever they are called
+    others = slices.join(spotted.select(*KEY, "spot_status"), KEY)
 
     def walk(acc: Column, x: Column) -> Column:
         other = x["parent_id"].isNotNull() & x["t_parent"].isNotNull() & (x["parent_id"] != x["t_parent"])
         before = F.when(other, F.lit(M.CORRUPTED)).otherwise(acc["status"])
-        after = step(before, x, F.col("t_begin"), F.col("t_end"), F.col("t_name"), x["t_parent"])
+        after = step(before, x, x["t_begin"], x["t_end"], x["t_name"], x["t_parent"])
         return F.struct(after["status"].alias("status"), F.coalesce(after["reason"], F.when(other, F.lit(M.DIFFERENT_PARENT)), acc["reason"]).alias("reason"))
 
-    walked = F.aggregate(F.coalesce("later", F.array().cast(rows.schema["later"].dataType)), start, walk)
+    start = lambda s: F.struct(s.alias("status"), F.lit(None).cast("string").alias("reason"))
+    starts = F.array_distinct(F.array(*map(F.lit, M.STATUSES), F.col("spot_status")))
+    tables = others.select(*KEY, "slice", F.transform(starts, lambda s: F.struct(s.alias("before"), F.aggregate("later", start(s), walk).alias("after"))).alias("ways"))
+    chained = tables.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("slice", F.map_from_entries("ways").alias("ways"))), lambda a, b: F.when(a["slice"] < b["slice"], -1).when(a["slice"] > b["slice"], 1).otherwise(0)).alias("slices"))
+    rows = spotted.select(*KEY, "spot_status").join(chained, KEY, "left")
+    through = lambda acc, x: F.struct(x["ways"][acc["status"]]["status"].alias("status"), F.coalesce(x["ways"][acc["status"]]["reason"], acc["reason"]).alias("reason"))
+    walked = F.aggregate(F.coalesce("slices", F.array().cast(rows.schema["slices"].dataType)), start(F.col("spot_status")), through)
     return rows.select(*KEY, walked["status"].alias("walked"), walked["reason"].alias("walked_reason"))
 
 
@@ -157,7 +179,7 @@ def fold(events: DataFrame, now: Column | None = None, days: int = 90, version:
     that retention counts from, ``version`` a string that every task starts with."""
     now = F.current_timestamp() if now is None else now
     e = prepared(events, suffix).withColumn("named_date", N.retention(F.col("date_to_delete"), now, days))
-    sums = _summed(e)
+    sums = stored(_summed(e), "fold-sums")
     tasks = sums.join(_conflicts(e, sums), KEY, "left").join(_after_spots(e, sums), KEY, "left")
     other_primary, other_path = _differ("primary_lo", "primary_hi"), _differ("path_lo", "path_hi")
     plain = F.when(F.coalesce("other_parent", F.lit(False)) | F.col("objection").isNotNull() | other_primary | other_path, F.lit(M.CORRUPTED)).otherwise(status_of())

@@ -28,7 +28,7 @@ def delete_expired(tasks: DataFrame, now: Column, top: int | None = None) -> Dat
     gone = expired(tasks, now)
     if top is not None:
         worst = [r["generation"] for r in expired_by_generation(tasks, now, top).collect()]  # ``top`` rows
-        gone = gone & F.col("generation").isin(worst)
+        gone = gone & F.coalesce(F.col("generation").isin([g for g in worst if g is not None]) | (F.col("generation").isNull() & F.lit(None in worst)), F.lit(False))
     return tasks.filter(~gone)
 
 
@@ -52,8 +52,9 @@ def rollover_plan(tasks: DataFrame, max_docs: int, max_age: str, size: Column, m
 
 
 def compact(source: DataFrame, destination: DataFrame, now: Column) -> DataFrame:
-    """``destination`` with the unexpired tasks of ``source`` whose ids it does not have."""
-    alive = source.filter(F.col("date_to_delete") >= now)
+    """``destination`` with the tasks of ``source`` whose ids it does not have, without those deleted before ``now``; one without a date
+    never expires."""
+    alive = source.filter(F.col("date_to_delete").isNull() | (F.col("date_to_delete") >= now))
     return destination.unionByName(alive.join(destination.select("env", "task_id"), ["env", "task_id"], "left_anti"))
 
 

@@ -45,14 +45,22 @@ def parents(tasks: DataFrame) -> DataFrame:
 
 
 def fields(tasks: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """Columns by name; "ctx.*" and the like name a whole map, "ctx.key" one of its values."""
-    if include:
-        chosen = []
-        for name in include:
-            column, dot, key = name.partition(".")
-            chosen.append(F.col(column)[key].alias(name) if dot and key != "*" else F.col(column))
-        tasks = tasks.select(*chosen)
-    return tasks.drop(*[x.partition(".")[0] for x in exclude or []])
+    """Columns by name; "ctx.*" and the like name a whole map, "ctx.key" one of its values, which ``include`` gives as a column
+    of that name and ``exclude`` takes out of the map. A name that is excluded and is no column is passed over."""
+    chosen = []
+    for name in include or tasks.columns:
+        column, dot, key = name.partition(".")
+        chosen.append(F.col(column)[key].alias(name) if dot and key != "*" else F.col(column))
+    gone: dict[str, list[str]] = {}
+    for name in exclude or []:
+        column, dot, key = name.partition(".")
+        if not dot or key == "*":
+            gone[column] = []
+        elif gone.get(column, [key]):
+            gone.setdefault(column, []).append(key)
+    without = lambda c, keys: F.map_filter(c, lambda k, v: ~k.isin(keys))
+    tasks = tasks.withColumns({c: without(c, keys) for c, keys in gone.items() if keys and c in tasks.columns})
+    return tasks.select(*chosen).drop(*[c for c, keys in gone.items() if not keys])
 
 
 def as_numbers(metrics: Column) -> Column:

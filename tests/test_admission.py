@@ -15,3 +15,11 @@ def test_a_window_opens_with_the_last_one_let_in(spark):
 def test_batches_by_size_need_a_queue(spark):
     with pytest.raises(TypeError):
         admission.by_size(spark.range(1), 10, F.lit(1))
+
+
+def test_batches_start_empty_and_end_with_the_event_that_exceeds(spark):
+    rows = [("a", i, s, t) for i, (s, t) in enumerate([(4, 0), (4, 0), (4, 0), (9, 0), (1, 0), (1, 90), (1, 95), (20, 96), (20, 97)])] + [("b", 0, 1, 0), ("b", 1, 99, 500), (None, 0, 1, 0)]
+    e = spark.createDataFrame(rows, "client string, seq long, size long, s long").selectExpr("*", "timestamp_seconds(s) AS time")
+    out = {(r["client"], r["seq"]): r["batch"] for r in admission.by_size(e, 10, F.col("size"), "client", 60).collect()}
+    assert [out["a", i] for i in range(9)] == [0, 0, 0, 1, 1, 2, 2, 2, 3]
+    assert (out["b", 0], out["b", 1], out[None, 0]) == (0, 1, 0)

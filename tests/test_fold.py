@@ -93,3 +93,18 @@ def test_reason_reaches_strings(spark):
 
 def test_empty(spark):
     assert fold(spark.createDataFrame([], M.EVENT)).count() == 0
+
+
+def test_many_events_after_a_spot(spark):
+    """Slices of a walk, put together, are the walk."""
+    from taskloom.operators import fold
+
+    rng = random.Random(5)
+    rows = []
+    for t in range(40):
+        at = rng.randrange(3)
+        rows += [event(f"t___{t}", i, M.SPOT if i == at else rng.choice([M.START, M.INFO, M.SUCCESS_EVENT, M.ERROR_EVENT]), rng.randrange(2), rng.choice(["t", None]), rng.choice(["p", "q", None, None]), status=rng.choice([M.SUCCESS, M.ERROR, "odd", None]) if i == at else None) for i in range(rng.randrange(4, 12))]
+    e = fold.prepared(spark.createDataFrame(rows, M.EVENT))
+    sums = fold._summed(e.withColumn("named_date", F.lit(None).cast("timestamp")))
+    whole = {r["task_id"]: tuple(r) for r in fold._after_spots(e, sums).collect()}
+    assert len(whole) == 40 and {r["task_id"]: tuple(r) for r in fold._after_spots(e, sums, 2).collect()} == whole

@@ -188,18 +188,26 @@ def rate_limited(spark, sf_dir):
     return admission.rate_limited(logs.session_log(spark, sf_dir), 2, "1 day").select("seq")
 
 
-@query("""WITH e AS (SELECT event_id AS n, concat('w', (event_id - event_id % 10 % 2)::VARCHAR) AS id, ts FROM events),
-f AS (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY id)) // 600000000 AS slot FROM e)
-SELECT n FROM (SELECT n, slot, lag(slot) OVER (PARTITION BY id ORDER BY ts, n) AS before FROM f) q WHERE before IS NULL OR before <> slot""")
+@query("""WITH RECURSIVE e AS (SELECT event_id AS n, user_id AS id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT n, id, rn, ts AS opened, true AS let_in FROM e WHERE rn = 1
+  UNION ALL SELECT e.n, e.id, e.rn, CASE WHEN e.ts >= w.opened + INTERVAL 12 HOUR THEN e.ts ELSE w.opened END, e.ts >= w.opened + INTERVAL 12 HOUR FROM w JOIN e ON e.id = w.id AND e.rn = w.rn + 1)
+SELECT n FROM w WHERE let_in""")
 def wrapper_dedup(spark, sf_dir):
-    e = logs.table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), F.concat(F.lit("w"), (F.col("event_id") - F.col("event_id") % 10 % 2).cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("received"))
-    return admission.once_per_window(e, seconds=600, order="n").select("n")
+    """Of arrivals with one id (here: a user's events), those that come within half a day of the last one let in are dropped."""
+    e = logs.table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("received"))
+    return admission.once_per_window(e, seconds=43200, order="n").select("n")
 
 
-@query(f"{S} SELECT seq, coalesce(sum(100 + length(props)) OVER (PARTITION BY id_name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 1000 AS batch FROM s")
+@query(f"""{S}, e AS (SELECT seq, id_name, time, 100 + length(props) AS size, row_number() OVER (PARTITION BY id_name ORDER BY seq) AS rn FROM s),
+b AS (SELECT seq, id_name, rn, 0::BIGINT AS batch, size::BIGINT AS filled, time AS began FROM e WHERE rn = 1
+  UNION ALL SELECT e.seq, e.id_name, e.rn, CASE WHEN b.filled > 1000 OR e.time - b.began > INTERVAL 5 DAY THEN b.batch + 1 ELSE b.batch END,
+    CASE WHEN b.filled > 1000 OR e.time - b.began > INTERVAL 5 DAY THEN 0 ELSE b.filled END + e.size, CASE WHEN b.filled > 1000 OR e.time - b.began > INTERVAL 5 DAY THEN e.time ELSE b.began END
+  FROM b JOIN e ON e.id_name = b.id_name AND e.rn = b.rn + 1)
+SELECT seq, batch FROM b""")
 def batch_by_size(spark, sf_dir):
+    """A client's events in batches: each takes events until its size exceeds the limit, or its time is over."""
     e = logs.session_log(spark, sf_dir).withColumn("client", N.name_of(F.col("name"), F.col("task_id")))
-    return admission.by_size(e, 1000, F.length(F.col("text")["props"]) + 100, "client").select("seq", "batch")
+    return admission.by_size(e, 1000, F.length(F.col("text")["props"]) + 100, "client", 5 * 86400).select("seq", "batch")
 
 
 # the tree
@@ -417,7 +425,7 @@ SELECT item, max(attempt) AS attempts, CASE WHEN arg_max(ok, attempt) THEN 'done
 def dead_letter(spark, sf_dir):
     e = logs.table(spark, sf_dir, "events").select(F.col("event_id").alias("item"), F.explode(F.sequence(F.lit(1), (1 + F.col("event_id") % 3).cast("int"))).alias("attempt"))
     a = e.withColumns({"ok": (F.col("item") + F.col("attempt")) % 5 == 0, "message": F.when(F.col("item") % 7 == 0, "index is missing").otherwise("timeout")})
-    return telemetry.dead_letters(a)
+    return telemetry.dead_letters(a, ("null_pointer", "index is missing"))
 
 
 @query(f"{S} SELECT seq, task_id, type, name, parent_id, (epoch_us(time) // 1000) AS time_ms, k::DOUBLE AS k FROM s")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -17,6 +17,10 @@ def _event(**cols) -> list:
     return [cols.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in M.EVENT]
 
 
+def by(key: str, order: str) -> WindowSpec:
+    return Window.partitionBy(key).orderBy(order)
+
+
 def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One task per user and day; signups start, purchases succeed, errors fail it; parents are the day before."""
     e = table(spark, sf_dir, "events")

@@ -1,7 +1,7 @@
 import pytest
 from helpers import compare_with_duckdb
 
-from taskloom.plans import catalog
+from taskloom.plans import catalog, service  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -18,27 +18,36 @@ from taskloom.llm.mixing import mix
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a known language, which replaces their label."""
+    """Documents with a known language, which replaces their label; those without text or letters go.
+
+    Null ids and repeated rows pass through, each judged by its own text; where no document has a label, labels stay;
+    no documents give none; columns of any name pass through."""
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (but for the case of A-Z) the document with the largest doc_id."""
+    """Of equal texts (but for the case of A-Z) the document with the largest doc_id.
+
+    Rows that repeat its id, too, are one document; without any id in a group all its rows stay; columns of any name pass through."""
     return drop_copies(docs)
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5 words, similarity 0.75 or more) the document with the least doc_id."""
+    """Of each group of near copies (5 words, similarity 0.75 or more) the document with the least doc_id.
+
+    Documents without an id or without words all stay, as do rows that repeat the id that stays; columns of any name pass through."""
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by Poisson counts to their sources' target shares, in a global random order."""
+    """Documents repeated by Poisson counts to their sources' target shares, in a global random order.
+
+    A missing source is a source; rows without an id, or that repeat one, have draws of their own; columns of any name pass through."""
     return mix(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every copy."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every copy; a null text is empty, and a null id stays null."""
     ranks, pattern = public_ranks()
     return tokenize(docs, ranks, pattern, with_ids=False).drop("ids")
 

@@ -23,10 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, bounded_batches, claim_worker, shuffle_partitions, stored
+from ._common import NO_ID, claim_worker, join_owners, shuffle_partitions, stored
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Blocks whose keys one bucket counts at once.
+SLICE_BLOCKS = 4096
 #: Keys that one bucket holds, roughly.
 BUCKET_KEYS = 1 << 20
 
@@ -63,7 +65,6 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, tag: str, block_byt
         if texts:
             yield block(ids, texts)
 
-    bounded_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return stored(rows.mapInArrow(pack, _BLOCK_SQL), tag, compression="uncompressed")
 
@@ -101,8 +102,8 @@ def later_copies(blocks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["block", "row", "doc", "digest"])
 
     each = blocks.select("block", "ids", "digests").mapInArrow(rows, "block long, row int, doc long, digest binary")
-    least = each.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return each.join(least, "digest").filter("doc > least").select("block", "row")
+    least = each.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return join_owners(each, least, ["digest"], "n").filter("doc > least").select("block", "row")
 
 
 def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -126,10 +127,20 @@ def packed(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return bucket_of(keys, n_buckets).astype(np.uint64) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
 
 
-def shared_keys(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], n_buckets: int) -> DataFrame:
+def _summed(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(names by row, all names once, their sums of counts, the place of each name of each row in these)"""
+    keys = [np.frombuffer(k.as_py(), np.uint32) for k in group["keys"]]
+    counts = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in group["counts"]])
+    names, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return keys, names, np.bincount(at, counts, len(names)).astype(np.uint32), at
+
+
+def shared_keys(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], n_buckets: int, per_slice: int = SLICE_BLOCKS) -> DataFrame:
     """bucket, block, keys, counts: for each block the names of its keys that two or more documents have, and how many.
 
-    ``keys_of`` gives the 64-bit keys of a block's documents, each once per document."""
+    ``keys_of`` gives the 64-bit keys of a block's documents, each once per document. A bucket is counted at once while there are no
+    more than ``per_slice`` blocks; beyond that each slice of so many blocks is summed up first, then the sums of all slices, and each slice
+    gets the bucket's shared names back. So a key that all blocks have takes no more room than others anywhere."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_worker("words")
@@ -144,13 +155,7 @@ def shared_keys(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], n_buc
             columns = [buckets[np.concatenate([[0], cuts])], [b.block] * len(parts), [k.tobytes() for k, _ in parts], [c.tobytes() for _, c in parts]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KEYS.types)], schema=_KEYS)
 
-    def meet(group: pa.Table) -> pa.Table:
-        claim_worker("words")
-        pa.default_memory_pool().release_unused()
-        keys = [np.frombuffer(k.as_py(), np.uint32) for k in group["keys"]]
-        counts = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in group["counts"]])
-        names, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, counts).astype(np.uint32)[at]
+    def answers(group: pa.Table, keys: list[np.ndarray], sums: np.ndarray) -> pa.Table:
         out, a = [], 0
         for block, k in zip(group["block"].to_pylist(), keys):
             s = sums[a : a + len(k)]
@@ -160,7 +165,40 @@ def shared_keys(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], n_buc
         columns = [[group["bucket"][0].as_py()] * len(out), *([x[i] for x in out] for i in range(3))]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _KEYS.types)], schema=_KEYS)
 
-    return blocks.drop("digests").mapInArrow(deal, _KEYS_SQL).groupBy("bucket").applyInArrow(meet, _KEYS_SQL)
+    def meet(group: pa.Table) -> pa.Table:
+        claim_worker("words")
+        pa.default_memory_pool().release_unused()
+        keys, _, sums, at = _summed(group)
+        return answers(group, keys, sums[at])
+
+    dealt = blocks.drop("digests").mapInArrow(deal, _KEYS_SQL)
+    slices = blocks.count() // per_slice + 1
+    if slices == 1:
+        return dealt.groupBy("bucket").applyInArrow(meet, _KEYS_SQL)
+
+    def total(shared_only: bool):
+        def add(group: pa.Table) -> pa.Table:
+            _, names, sums, _ = _summed(group)
+            if shared_only:
+                names, sums = names[sums > 1], sums[sums > 1]
+            columns = [group["bucket"].slice(0, 1).combine_chunks(), pa.array([names.tobytes()]), pa.array([sums.tobytes()])]
+            return pa.Table.from_arrays(columns, ["bucket", "keys", "counts"])
+
+        return add
+
+    def give_back(group: pa.Table, known: pa.Table) -> pa.Table:
+        if not group.num_rows or not known.num_rows:
+            return _KEYS.empty_table()
+        keys = [np.frombuffer(k.as_py(), np.uint32) for k in group["keys"]]
+        names, sums = (np.frombuffer(known[c][0].as_py(), np.uint32) for c in ("keys", "counts"))
+        wanted = np.concatenate(keys)
+        return answers(group, keys, look_up(names, sums, wanted))
+
+    some = "bucket int, keys binary, counts binary"
+    dealt = stored(dealt.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices))), "dealt-keys")
+    sums = dealt.select("bucket", "slice", "keys", "counts").groupBy("bucket", "slice").applyInArrow(total(False), some).groupBy("bucket").applyInArrow(total(True), some)
+    each = sums.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    return dealt.groupBy("bucket", "slice").cogroup(each.groupBy("bucket", "slice")).applyInArrow(give_back, _KEYS_SQL)
 
 
 def unpack_shared(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,19 +48,53 @@ def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
     whichever executors are lost, and nothing is computed twice."""
     spark = df.sparkSession
     path = work_dir(spark, tag)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    # Spark deletes a finished job's shuffle files when the driver's garbage collector finds the job unused, which
-    # takes two turns: the plan goes in the first one, what it held in the second
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def bounded_batches(df: DataFrame, size: str = "8m") -> None:
-    """Rows go to Python in batches of this many bytes, so that a worker's memory does not depend on how long texts are."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def forget(*tables: DataFrame) -> None:
+    """Empty tables that ``stored`` has written, once no result that is still to be computed reads them."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(t.stored_at)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """While this holds, rows go to Python in batches of so many bytes, whatever the lengths of texts; then the session's own setting is back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: A key with over one in so many rows is hot; so there are fewer hot keys than this, whatever the data.
+HOT = 1000
+
+
+#: Rows that may meet in one task whatever their keys are.
+FEW_ROWS = 20_000
+
+
+def join_owners(rows: DataFrame, owners: DataFrame, keys: list[str], n: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """``rows`` joined to ``owners`` (one row per key, with the key's number of rows in ``n``, which is left out) on ``keys``.
+
+    ``most`` is the number of rows, if it is known: ``FEW_ROWS`` are joined plainly. Else rows of a hot key are dealt out to as many slices as it takes, and its owner stands in each. Hot keys are broadcast: fewer than
+    ``HOT`` by what hot means. ``owners`` is stored first."""
+    if most is not None and most <= FEW_ROWS:
+        return rows.join(owners.drop(n), keys, how)
+    owners = stored(owners, "owners")
+    total = owners.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(owners.filter(F.col(n) * HOT > total).select(*keys, F.ceil(F.col(n) * HOT / F.lit(max(total, 1))).cast("int").alias("__slices")))
+    # the slice goes by the order of rows in their task, so it need not be the same in a second run: every slice has the same owner
+    dealt = rows.join(hot, keys, "left").withColumn("__slice", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__slices")), F.lit(0)).cast("int")).drop("__slices")
+    each = owners.join(hot, keys, "left").withColumn("__slice", F.explode(F.sequence(F.lit(0), F.coalesce("__slices", F.lit(1)) - 1))).drop("__slices", n)
+    return dealt.join(each, [*keys, "__slice"], how).drop("__slice")
 
 
 #: Tables that modules keep in a Python worker from task to task, by name.
@@ -90,5 +124,13 @@ def claim_worker(own: str = "") -> None:
         libc.malloc_trim(0)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many more underscores before it as it takes to be no column's name (in any case of letters)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

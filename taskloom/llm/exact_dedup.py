@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, bounded_batches, claim_worker, lower_ascii, table
+from ._common import LOWER, UPPER, claim_worker, join_owners, lower_ascii, table
 
 #: A trie's budget of text bytes; the tries of a worker never hold more than this and one text.
 TRIE_BYTES = 32 << 20
@@ -138,7 +138,6 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``normalise`` lower-cases A-Z. A null text counts as empty, a null id owns a text only if all ids are
     null; ``keep`` is "largest" or "smallest"; an empty table gives no rows."""
-    bounded_batches(docs)
     merge = _merger(keep == "largest")
 
     def combine(batches):
@@ -190,23 +189,32 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not read."""
     owners = text_classes(docs, id_col, text_col, keep, normalise)
     rows = _keyed(docs, id_col, text_col, normalise).select("id", "n", "h", F.sha2("text", 256).alias("sha"))
-    return rows.join(owners, ["n", "h", "sha"]).select(
+    return join_owners(rows, owners.withColumn("n_rows", F.col("rows")), ["n", "h", "sha"], "n_rows").select(
         F.col("id").alias(id_col), F.col("owner").alias("keep_id"), F.col("rows").alias("group_size"), F.col("id").eqNullSafe(F.col("owner")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, with all their columns. A row that repeats the id and the text
-    of the kept row is not a second document, and goes too; rows without an id in a class without any are kept."""
-    owners = text_classes(docs, id_col, text_col, keep).select(F.col("n").alias("__n"), F.col("h").alias("__h"), F.col("sha").alias("__sha"), F.col("owner").alias("__id"), F.col("rows").alias("__rows"))
+    """The rows of ``docs`` that exact_dedup keeps, with all their columns, whatever their names. A row that repeats the id and the
+    text of the kept row is not a second document, and goes too: of those that differ in other columns the one with the least
+    hash of these stays. Rows without an id in a class without any are all kept. An empty table gives no rows."""
+    owners = text_classes(docs, id_col, text_col, keep).select("n", "h", "sha", "owner", "rows")
+    # the given columns travel in a struct, so no name can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = [c for c in docs.columns if not _holds_map(docs.schema[c].dataType)]
     text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__n": F.octet_length(text).cast("long"), "__h": F.xxhash64(text), "__sha": F.sha2(text, 256)})
-    on = [rows[k].eqNullSafe(owners[k]) for k in ("__n", "__h", "__sha", "__id")]
-    kept = rows.join(owners, on).drop(owners["__n"], owners["__h"], owners["__sha"], owners["__id"])
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.octet_length(text).cast("long").alias("n"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("sha"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("tie"))
+    # of a class only the rows with its owner's id are joined, so a hot text's rows meet no single task
+    kept = rows.join(owners, (rows["n"] == owners["n"]) & (rows["h"] == owners["h"]) & (rows["sha"] == owners["sha"]) & rows["id"].eqNullSafe(owners["owner"]))
     # only classes of several rows can hold a repeated id; the others pass without a second shuffle
-    single = kept.filter((F.col("__rows") == 1) | F.col(id_col).isNull()).select(*docs.columns)
-    several = kept.filter((F.col("__rows") > 1) & F.col(id_col).isNotNull()).dropDuplicates(["__id", "__sha"]).select(*docs.columns)
-    return single.unionByName(several)
+    several = (F.col("rows") > 1) & F.col("id").isNotNull()
+    single = kept.filter(~several).select("row")
+    repeated = kept.filter(several).select("id", rows["sha"].alias("sha"), "tie", "row").groupBy("id", "sha").agg(F.min_by("row", "tie").alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")
+
+
+def _holds_map(kind) -> bool:
+    return "map<" in kind.simpleString()
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

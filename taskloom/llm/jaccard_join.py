@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import Block, block_table, bucket_count, look_up, packed, shared_keys, unpack_shared
-from ._common import LOWER, NO_ID, UPPER, WORKER_TABLES, claim_worker, stored, table
+from ._common import LOWER, UPPER, WORKER_TABLES, claim_worker, forget, join_owners, stored, table
 from ._graph import components
 from .repeats import _scrambled
 
@@ -124,7 +124,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
         names, counts = unpack_shared(keys)
         sets = shingle_sets(b.texts(), words)
         rows, seen = [], set()
-        for doc, s in zip(b.ids.tolist(), sets):
+        for doc, s in zip(b.real_ids(), sets):
             n = len(s)
             node = xxhash.xxh3_128_digest(s.tobytes()) if n else None
             rows.append((b.block, doc, n, node, None, None, None, None, None))
@@ -143,17 +143,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_SETS.types)], schema=_SETS)
 
     found = stored(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(describe, _SETS_SQL), "jaccard-sets")
-    members = found.filter(F.col("doc").isNotNull()).select("doc", "n", "node")
-    some = found.filter(F.col("doc").isNull())
+    members = found.filter(F.col("items").isNull()).select("doc", "n", "node")
+    some = found.filter(F.col("items").isNotNull())
     first = some.groupBy("node").agg(F.min("block").alias("block"))
     sets = stored(some.join(first, ["node", "block"]).select("node", "n", "items", "prefix", "places", "counts", "n_basic"), "jaccard-nodes")
 
     roots = _linked(sets, _probes(sets, _boundary(sets), percent), percent, rounds)
-    named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.filter("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    linked = named.join(least, "root", "left").withColumn("least", F.coalesce("least", "doc"))
-    return linked.select(real("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), real("least").alias("component_id"))
+    # sets first, each with its rows counted and their least id; then components; then back to the rows
+    nodes = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("rows"))
+    nodes = stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-named")
+    tops = nodes.groupBy("root").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("nodes"))
+    named = join_owners(nodes, tops, ["root"], "nodes").select("node", "top", "rows")
+    linked = join_owners(members.filter("node IS NOT NULL"), named, ["node"], "rows").select("doc", "n", "top")
+    out = linked.unionByName(members.filter("node IS NULL").select("doc", "n", F.col("doc").alias("top")))
+    out = stored(out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("top").alias("component_id")), "jaccard-result")
+    forget(blocks, found, sets, nodes)
+    return out
 
 
 def _boundary(sets: DataFrame) -> int:
@@ -199,7 +204,7 @@ def _linked(sets: DataFrame, probes: DataFrame, percent: int, rounds: int) -> Da
     items = sets.select("node", "n", "items")
     # far: the distance to the last pivot in thousandths. The next pivot is one that it does not link to, if there is any, and of
     # these one with few shingles of its own: the text that the others are copies of links to most of them
-    lists, comp = probes.withColumn("far", F.lit(0)), None
+    lists, comp, done = probes.withColumn("far", F.lit(0)), None, []
     for turn in range(rounds + 1):
         if comp is None:
             placed = lists.withColumn("comp", F.col("node"))
@@ -208,6 +213,7 @@ def _linked(sets: DataFrame, probes: DataFrame, percent: int, rounds: int) -> Da
         tops = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(F.col("far") >= 10 * (100 - percent), "most", "node"))["node"].alias("pivot"), F.min("n").alias("least"), F.max("most").alias("most_")).filter("lo < hi").drop("lo", "hi")
         live = placed.join(tops, "key").filter("most >= least AND n <= most_").drop("least", "most_")
         live = stored(live, "jaccard-lists")
+        forget(*done)
         if live.isEmpty():
             break
         if turn < rounds:
@@ -224,9 +230,11 @@ def _linked(sets: DataFrame, probes: DataFrame, percent: int, rounds: int) -> Da
         apart = F.col("all") - F.col("common")
         width = 100 - percent
         seen = stored(both.select("node", "pivot", (100 * F.col("common") >= percent * F.col("all")).alias("link"), F.expr(f"(100L * (all - common)) div ({width} * all)").cast("int").alias("ring"), F.floor(1000 * apart / F.col("all")).cast("int").alias("far")), "jaccard-pairs")
+        forget(pairs)
         comp = _merged(comp, seen.filter("link").select("node", "pivot"))
+        done = [live, seen]
         if turn == rounds:
-            break
+            continue
         ringed = live.filter("node != pivot").drop("comp", "far").join(seen, ["node", "pivot"]).select("key", "node", "n", "most", "ring", "far")
         mask = ringed.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, ring)")).alias("rings"))
         has = lambda r: F.getbit("rings", F.greatest(r, F.lit(0))).cast("boolean") & (r >= 0)
@@ -234,6 +242,8 @@ def _linked(sets: DataFrame, probes: DataFrame, percent: int, rounds: int) -> Da
         # group r holds the rings r and r + 1; a ring without neighbours is a group of its own
         groups = F.array(F.when(has(here + 1) | ~has(here - 1), here), F.when(has(here - 1), here - 1))
         lists = ringed.join(mask, "key").select(F.explode(F.filter(groups, lambda g: g.isNotNull())).alias("g"), "key", "node", "n", "most", "far").select(F.xxhash64("key", "g").alias("key"), "node", "n", "most", "far")
+    else:
+        forget(*done)
     if comp is None:
         return sets.select("node", F.col("node").alias("root")).limit(0)
     return comp
@@ -264,11 +274,11 @@ def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the least id (repeated rows of it stay one row).
-    Documents without an id or without shingles all stay."""
+    """``docs`` with one document of each component: the one with the least id (all rows of that id stay, as they are one
+    document). Documents without an id or without shingles all stay; columns of any name pass through."""
     groups = jaccard_components(docs, percent, words, id_col, text_col).filter((F.col("component_id") != F.col(id_col)) & (F.col("n_shingles") > 0))
-    gone = groups.select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = groups.select(F.col(id_col).alias("gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._common import bounded_batches, claim_worker, table
+from ._common import claim_worker, free_name, table
 
 #: Hash buckets of trigrams, a power of two.
 BUCKETS = 1 << 15
@@ -90,7 +90,6 @@ def fit_languages(rows: DataFrame, per_language: int = PER_LANGUAGE, buckets: in
 
     Counts per language decide a share of rows to take, by a hash of id and text; the trigrams of those are
     counted in the tasks and summed per language. The driver gets one table of ``buckets`` numbers per language."""
-    bounded_batches(rows)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     if not sizes:
         return [], np.zeros((0, buckets), np.float32)
@@ -119,11 +118,11 @@ def fit_languages(rows: DataFrame, per_language: int = PER_LANGUAGE, buckets: in
 
 
 def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: id_col, lang_pred, score and mixture ("en:0.93 fr:0.07"), and the columns ``keep``.
+    """One row per row of ``docs``: id_col, the columns ``keep``, lang_pred, score and mixture ("en:0.93 fr:0.07"); where a column
+    that is kept has one of these three names, the new one begins with an underscore.
 
     A null text, one without letters, or a model without languages gives ``und`` with score 0 and no mixture. Equal
     shares go to the first language by name. Ids and labels are not looked at."""
-    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((languages, logs))
     names = {f"__k{i}": k for i, k in enumerate(keep or [])}
     carried = [F.col(k).alias(n) for n, k in names.items() if k != text_col]
@@ -151,7 +150,8 @@ def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, id_col: st
 
     schema = StructType([StructField("__id", kinds["__id"]), *(StructField(n, kinds[n]) for n in names), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("mixture", StringType())])
     found = rows.mapInArrow(predict, schema)
-    return found.select(F.col("__id").alias(id_col), *[F.col(n).alias(k) for n, k in names.items()], "lang_pred", "score", "mixture")
+    kept = [id_col, *names.values()]
+    return found.select(F.col("__id").alias(id_col), *[F.col(n).alias(k) for n, k in names.items()], *[F.col(c).alias(free_name(c, kept)) for c in ("lang_pred", "score", "mixture")])
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -161,8 +161,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not languages:
         return docs.filter(F.col(text_col).rlike(r"\p{L}"))
     others = [c for c in docs.columns if c not in (id_col, lang_col)]
-    found = identify(docs, languages, logs, id_col, text_col, others).filter(F.col("lang_pred") != UNKNOWN)
-    return found.select(*[F.col("lang_pred").alias(c) if c == lang_col else F.col(c) for c in docs.columns])
+    found = identify(docs, languages, logs, id_col, text_col, others)
+    new = F.col(free_name("lang_pred", [id_col, *others]))
+    return found.filter(new != UNKNOWN).select(*[new.alias(c) if c == lang_col else F.col(c) for c in docs.columns])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

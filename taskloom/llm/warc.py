@@ -10,7 +10,7 @@ their limits. A whole archive is never read to find a few records in it.
 
 Revisits: of records with equal payloads (SHA-256 and length) the one with the largest id is the response; the
 others carry headers only and name it. Owners come from one partial aggregation over digests; the join
-back carries no payload of a shuffle's hot key but the row's own, and Spark splits it if it is skewed.
+back deals the rows of a hot digest out to many tasks (``join_owners``).
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, shuffle_partitions, stored, table, work_dir
+from ._common import join_owners, shuffle_partitions, stored, table, work_dir
 
 #: An archive file is closed when it has this many bytes.
 FILE_BYTES = 64 << 20
@@ -88,8 +88,8 @@ def mark_revisits(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "p
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumns({"sha": F.sha2("payload", 256), "size": F.octet_length("payload")})
     # payloads that occur once are responses: only ids of repeated ones are joined back
-    owners = rows.groupBy("sha", "size").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes)).drop("n")
-    marked = rows.join(owners, ["sha", "size"], "left")
+    owners = rows.groupBy("sha", "size").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes))
+    marked = join_owners(rows, owners, ["sha", "size"], "n", "left")
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     return marked.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("owner")).alias("refers_to"))
 
@@ -97,8 +97,6 @@ def mark_revisits(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "p
 def write_warc(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write page_id, url, payload, record_type, refers_to below ``folder``; returns the index, itself stored."""
 
-    bounded_batches(records)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         store, path = fs.FileSystem.from_uri(folder)

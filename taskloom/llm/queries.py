@@ -7,7 +7,7 @@ import importlib
 #: Query name -> (module, SQL constant or None).
 _WHERE = {
     "op1_mixing": ("mixing", "OP1_SQL"),
-    "op2_sharding": ("sharding", None),
+    "op2_sharding": ("sharding", "OP2_SQL"),
     "op3_ngram_jaccard_join": ("jaccard_join", "OP3_SQL"),
     "op4_language_id": ("langid", None),
     "op5_chat_formatting": ("chat", None),

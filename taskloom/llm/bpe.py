@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORKER_TABLES, bounded_batches, claim_worker, table
+from ._common import WORKER_TABLES, claim_worker, table
 
-#: States, and encoded pieces, that a worker keeps.
-STATES, PIECES = 1 << 17, 1 << 17
+#: States, and encoded pieces, that a worker keeps, where other operators need memory, too.
+KEPT = 1 << 17
 #: Tokens that the decoder takes at a time.
 DECODE_TOKENS = 1 << 14
 
@@ -49,7 +49,7 @@ class _State:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], states: int = STATES):
+    def __init__(self, ranks: dict[bytes, int], states: int = KEPT):
         self.ranks, self.limit = ranks, states
         self.begins = {b: b for b in {t[:i] for t in ranks for i in range(len(t))}}
         self.tokens = {t: t for t in ranks}
@@ -165,7 +165,7 @@ class Transducer:
 class PieceEncoder(dict):
     """Piece of text -> its ids in decimal, joined by spaces. When there are too many, those not used lately are forgotten."""
 
-    def __init__(self, transducer: Transducer, limit: int = PIECES):
+    def __init__(self, transducer: Transducer, limit: int = KEPT):
         super().__init__()
         self.transducer, self.limit, self.before = transducer, limit, {}
 
@@ -233,39 +233,42 @@ _encoders: dict[tuple, tuple] = {}
 WORKER_TABLES["bpe"] = _encoders
 
 
-def _encoder(data: bytes, pattern: str) -> tuple:
-    key = (hashlib.sha256(data).digest(), pattern)
+def _encoder(data: bytes, pattern: str, kept: int) -> tuple:
+    key = (hashlib.sha256(data).digest(), pattern, kept)
     if key not in _encoders:
         ranks = read_ranks(data)
-        _encoders[key] = PieceEncoder(Transducer(ranks)), {str(r): t for t, r in ranks.items()}, regex.compile(pattern)
+        _encoders[key] = PieceEncoder(Transducer(ranks, kept), kept), {str(r): t for t, r in ranks.items()}, regex.compile(pattern)
     return _encoders[key]
 
 
-def tokenize(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, kept: int = KEPT) -> DataFrame:
     """One row per row of ``docs``: id_col, n_tokens, ids_sha256, decoded_sha256, and ids (array of int).
 
+    ``kept`` bounds the states, and the encoded pieces, that a worker keeps: more of them take more memory and less time.
     ``ranks`` is the content of a rank file, of fixed size whatever the data; it is broadcast. Null texts are
-    empty and have no tokens; null ids and repeated rows pass through; other columns are not read."""
-    bounded_batches(docs)
+    empty and have no tokens; null ids and repeated rows pass through; an empty table gives no rows; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_worker("bpe")
-        encoder, tokens, split = _encoder(shared.value, pattern)
+        encoder, tokens, split = _encoder(shared.value, pattern, kept)
         # the collector would walk all states and pieces again and again, and they leave no cycles behind
         gc.disable()
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(a, 256), []
-                for i, text in zip(part["id"].to_pylist(), part["text"]):
-                    line = " ".join(map(encoder.__getitem__, split.findall(text.as_py())))
-                    ids = line.split(" ") if line else []
-                    decoded = hashlib.sha256()
-                    for t in decode_stream(ids, tokens):
-                        decoded.update(t.encode())
-                    rows.append((i, len(ids), hashlib.sha256(line.encode()).hexdigest(), decoded.hexdigest(), list(map(int, ids)) if with_ids else None))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
+        try:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    part, rows = batch.slice(a, 256), []
+                    for i, text in zip(part["id"].to_pylist(), part["text"]):
+                        line = " ".join(map(encoder.__getitem__, split.findall(text.as_py())))
+                        ids = line.split(" ") if line else []
+                        decoded = hashlib.sha256()
+                        for t in decode_stream(ids, tokens):
+                            decoded.update(t.encode())
+                        rows.append((i, len(ids), hashlib.sha256(line.encode()).hexdigest(), decoded.hexdigest(), list(map(int, ids)) if with_ids else None))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
+        finally:  # the worker goes on with other functions
+            gc.enable()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(encode, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>").withColumnRenamed("id", id_col)
@@ -281,4 +284,4 @@ def public_ranks(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_ranks()
-    return tokenize(table(spark, sf_dir, "documents"), ranks, pattern, with_ids=False).drop("ids")
+    return tokenize(table(spark, sf_dir, "documents"), ranks, pattern, with_ids=False, kept=2 * KEPT).drop("ids")

@@ -7,6 +7,7 @@ projection over the scan, with neither a shuffle nor a user function.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ from ._common import SPACE_CLASS, SPACES, lower_ascii, table
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
-#: Common function words of the corpus' languages. Fixed values.
+#: Common function words of the corpus' languages (English, French, German, Spanish). Fixed values. Texts of 50 words or more in
+#: other languages have none of them and fail the rule ``stop_words``; for those, give words of their own, or rules without that one.
 STOP_WORDS = (
     "a an and are as at be by for from has in is it not of on or that the this to was were with "
     "au aux ce dans de des du elle en est et il la le les ne pas par pour que qui sur un une "
@@ -46,7 +48,7 @@ RULES = (
 )
 
 
-def measures(text: Column) -> dict[str, Column]:
+def measures(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> dict[str, Column]:
     """The measures of a text as columns, null being an empty text.
 
     Repeats: the hashes of all windows of five words are sorted with their positions; those with an equal
@@ -56,7 +58,6 @@ def measures(text: Column) -> dict[str, Column]:
     words = F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != "")
     letters = F.translate(text, SPACES, "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    stop = F.array(*map(F.lit, STOP_WORDS))
     hashed = F.transform(words, lambda w: F.xxhash64(w))
 
     def repeated(h: Column) -> Column:
@@ -74,7 +75,7 @@ def measures(text: Column) -> dict[str, Column]:
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_stop_words": F.size(F.filter(words, lambda w: F.array_contains(stop, lower_ascii(w)))).cast("long"),
+        "n_stop_words": F.size(F.filter(words, lambda w: lower_ascii(w).isin(*stop_words))).cast("long"),
         "n_repeat_words": F.transform(F.array(hashed), repeated)[0].cast("long"),
     }
 
@@ -101,12 +102,13 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
     return every, failed
 
 
-def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """One row per row of ``docs``: id_col, the measures, base_failed, kept, failed_rules.
 
     base_failed: fewer than 10 words, or over 20 of 100 words in repeated windows; such a document is not kept.
-    Null and empty texts have no words. Repeated rows are judged alike; other columns are not read."""
-    rows = docs.select(F.col(id_col).alias("__id"), *[c.alias(k) for k, c in measures(F.col(text_col)).items()])
+    Null and empty texts have no words. Repeated rows are judged alike; other columns are not read; an empty table gives
+    no rows. ``stop_words`` are in lower case."""
+    rows = docs.select(F.col(id_col).alias("__id"), *[c.alias(k) for k, c in measures(F.col(text_col), stop_words).items()])
     every, failed = compile_rules(rules)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return rows.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & every).alias("kept"), "n_lines", "n_stop_words", F.array_join(failed, ",").alias("failed_rules"))

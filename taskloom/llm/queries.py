@@ -13,7 +13,7 @@ _WHERE = {
     "op5_chat_formatting": ("chat", None),
     "op6_byte_bpe": ("bpe", None),
     "op7_exact_dedup": ("exact_dedup", "OP7_SQL"),
-    "op8_suffix_array_dedup": ("repeats", None),
+    "op8_suffix_array_dedup": ("repeats", "OP8_SQL"),
     "op9_quality_rules": ("quality", "OP9_SQL"),
     "op10_warc": ("warc", "OP10_SQL"),
 }

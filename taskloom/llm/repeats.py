@@ -445,3 +445,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_co
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+#: The rule itself: every window of 50 bytes, its least owner, and what that leaves.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b)::BIGINT AS n_bytes FROM d),
+p AS (SELECT doc_id, b, unnest(range(1, n_bytes - 48)) AS i FROM n),
+w AS (SELECT doc_id, i, b[i : i + 49] AS win FROM p),
+o AS (SELECT win, min(doc_id) AS owner FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+l AS (SELECT w.doc_id, i, lag(i) OVER (PARTITION BY w.doc_id ORDER BY i) AS before FROM w JOIN o ON o.win = w.win WHERE w.doc_id > owner),
+s AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM l),
+r AS (SELECT doc_id, run, min(i) AS first, max(i) + 49 AS last FROM s GROUP BY doc_id, run),
+g AS (SELECT doc_id, count(*)::BIGINT AS n_spans, sum(last - first + 1)::BIGINT AS n_removed FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) + 1 AS a, first - 1 AS z FROM r
+      UNION ALL SELECT r.doc_id, max(last) + 1, max(n_bytes) FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id),
+h AS (SELECT k.doc_id, string_agg(CASE WHEN a <= z THEN hex(b[a : z]) ELSE '' END, '' ORDER BY a) AS rest FROM k JOIN n ON n.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN h.rest IS NULL THEN b ELSE unhex(h.rest) END) AS kept_sha256
+FROM n LEFT JOIN g ON g.doc_id = n.doc_id LEFT JOIN h ON h.doc_id = n.doc_id
+"""

@@ -16,6 +16,9 @@ _WHERE = {
     "op8_suffix_array_dedup": ("repeats", "OP8_SQL"),
     "op9_quality_rules": ("quality", "OP9_SQL"),
     "op10_warc": ("warc", "OP10_SQL"),
+    "op11_fill_in_middle": ("fim", "OP11_SQL"),
+    "op12_word_bpe": ("word_bpe", None),
+    "op13_vector_codes": ("vector_codes", "OP13_SQL"),
 }
 
 

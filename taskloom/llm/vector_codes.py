@@ -9,7 +9,7 @@ each block only the mean and the norm of what differs from the mean (the residua
 
     |x - e|^2  >=  sum over blocks of  m (mean x - mean e)^2 + (residual norm x - residual norm e)^2
 
-The coarsest bound is taken for all entries, the exact distance of the entry it favours bounds the nearest one from above, and
+The coarsest bound is taken for all entries, the exact distances of the few that it favours bound the nearest one from above, and
 entries whose lower bound is above that are out; each finer level looks at what is left. Sums and residuals are exact whole numbers
 and what rounding can add to a bound is taken off, so the true nearest entry is never out. Survivors get exact distances.
 
@@ -33,6 +33,8 @@ from ._common import claim_worker, join_owners, stored, table
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Rows of which the bounds are taken at a time: as many times the entries are numbers in memory.
 SLAB = 4096
+#: Entries favoured by the coarsest bound whose exact distances bound the nearest one from above.
+SEEDS = 8
 #: Largest whole number of a component: products of three such sums stay below 2^63.
 MOST = 1 << 26
 
@@ -64,17 +66,20 @@ def _levels(width: int) -> list[list[slice]]:
 
 
 class _Blocks:
-    """Per level: block sums and residual norms of rows of whole numbers."""
+    """Rows of whole numbers, and per level points whose distances bound theirs from below: of each block the mean and the
+    residual's norm, the mean times the root of the block's size."""
 
     def __init__(self, x: np.ndarray):
         self.x, self.square = x, (x * x).sum(1)
         self.levels = []
         for blocks in _levels(x.shape[1]):
-            sums = np.stack([x[:, b].sum(1) for b in blocks], 1) if blocks else np.zeros((len(x), 0), np.int64)
-            sizes = np.array([b.stop - b.start for b in blocks], np.int64)
-            squares = np.stack([(x[:, b] * x[:, b]).sum(1) for b in blocks], 1) if blocks else sums
-            # m * sum x^2 - (sum x)^2 is whole and exact, so the norm has the rounding of one root only
-            self.levels.append((sizes, sums, np.sqrt((sizes * squares - sums * sums) / sizes)))
+            points = []
+            for b in blocks:
+                size, own = b.stop - b.start, x[:, b]
+                total = own.sum(1)
+                # size * sum x^2 - (sum x)^2 is whole and exact, so a norm has the rounding of one root only
+                points += [total / np.sqrt(size), np.sqrt((size * (own * own).sum(1) - total * total) / size)]
+            self.levels.append(np.stack(points, 1) if points else np.zeros((len(x), 0)))
 
 
 def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,25 +90,38 @@ def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _nearest(x: np.ndarray, e: _Blocks) -> tuple[np.ndarray, np.ndarray]:
     rows = _Blocks(x)
-    exact = lambda i, j: ((x[i] - e.x[j]) ** 2).sum(1)
+
+    def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        d = x[i] - e.x[j]
+        return np.einsum("ij,ij->i", d, d)
+
     # all entries by one block
-    sizes, sums, norms = rows.levels[0]
-    _, e_sums, e_norms = e.levels[0]
-    slack = 1 + 1e-12 * (rows.square[:, None] + e.square[None, :])
-    bound = sum(((sums[:, b, None] - e_sums[None, :, b]) ** 2 / sizes[b] + (norms[:, b, None] - e_norms[None, :, b]) ** 2 for b in range(len(sizes))), np.zeros((len(x), len(e.x)))) - slack
-    most = exact(np.arange(len(x)), bound.argmin(1))
+    coarse, to = rows.levels[0], e.levels[0]
+    bound = np.zeros((len(x), len(e.x)))
+    for c in range(coarse.shape[1]):
+        d = coarse[:, c, None] - to[None, :, c]
+        d *= d
+        bound += d
+    # what rounding can have added
+    bound -= 1e-12 * (rows.square[:, None] + e.square[None, :]) + 1
+    seeds = min(SEEDS, len(e.x))
+    tried = np.argpartition(bound, seeds - 1, 1)[:, :seeds]
+    most = exact(np.repeat(np.arange(len(x)), seeds), tried.ravel()).reshape(-1, seeds).min(1)
     i, j = np.nonzero(bound <= most[:, None])
-    # what is left by finer blocks
-    for (sizes, sums, norms), (_, e_sums, e_norms) in zip(rows.levels[1:], e.levels[1:]):
-        fine = ((sums[i] - e_sums[j]) ** 2 / sizes + (norms[i] - e_norms[j]) ** 2).sum(1) - slack[i, j]
+    # what is left by finer blocks; the entry that each level favours may be nearer than those before
+    for near, to in zip(rows.levels[1:], e.levels[1:]):
+        d = near[i] - to[j]
+        fine = np.einsum("ij,ij->i", d, d) - (1e-12 * (rows.square[i] + e.square[j]) + 1)
+        first = np.flatnonzero(np.diff(i, prepend=-1))  # pairs are in the order of rows, and each row has one
+        best = np.flatnonzero(fine == np.minimum.reduceat(fine, first)[i]) if len(first) else first
+        np.minimum.at(most, i[best], exact(i[best], j[best]))
         left = fine <= most[i]
         i, j = i[left], j[left]
     d = exact(i, j)
-    # pairs are in the order of rows and entries, and each row has one: the entry that bounds it
     first = np.flatnonzero(np.diff(i, prepend=-1))
     least = np.minimum.reduceat(d, first) if len(first) else d
     hit = np.flatnonzero(d == least[i])
-    hit = hit[np.flatnonzero(np.diff(i[hit], prepend=-1))]
+    hit = hit[np.flatnonzero(np.diff(i[hit], prepend=-1))]  # pairs of a row are in the order of entries
     return j[hit], d[hit]
 
 

@@ -1,9 +1,13 @@
 """The task table: Parquet folders that only grow, merged when they are read.
 
-A batch appends its tasks as parts below ``parts/version=<n>/generation=<g>``; nothing that is stored is read or written again
-for that but the generations of the batch's own tasks. A task is its parts in the order of their versions, merged
-(``merge.merged_parts``). ``compact`` writes a generation anew as ``base/generation=<g>/version=<n>``, which stands for all its
-parts up to then; only generations that need it are rewritten: those with expired tasks, or with many parts.
+A batch appends its tasks as parts below ``parts/version=<n>/generation=<g>``. A task is its parts in the order of their
+versions, merged (``merge.merged_parts``). ``compact`` writes a generation anew as ``base/generation=<g>/version=<n>/slot=<s>``, which
+stands for all its parts up to then; only generations that need it are rewritten: those with expired tasks, or with many parts.
+
+What a batch reads follows the batch and not the table. Rows carry a hash of (env, task_id) and lie in its order, in small
+pages; a slot is the hash's first bits. Some ids are found by their slots (partition pruning) and by their hashes, which
+Parquet's column index tells the pages of (``_near``). The tasks that wait for a parent are a table of their own,
+``waiting/version=<n>``, which each batch writes anew: it is as large as what waits.
 
 A folder counts once Spark has committed it, so a batch is there as a whole or not at all, and one that is run again under
 its version replaces itself.
@@ -22,13 +26,26 @@ from ..operators import lifecycle, merge
 from .files import stored
 
 KEY = ["env", "task_id"]
-_PART = T.StructType([*M.TASK, T.StructField("generation", T.IntegerType()), T.StructField("version", T.IntegerType()), T.StructField("batch", T.LongType())])
+_PART = T.StructType([*M.TASK, T.StructField("batch", T.LongType()), T.StructField("h", T.LongType()), T.StructField("version", T.IntegerType()), T.StructField("generation", T.IntegerType()), T.StructField("slot", T.IntegerType())])
+
+#: Ids up to this number are found by their hashes, so many in one scan; more of them by their slots.
+MOST_KEYS, KEYS_A_SCAN = 2048, 128
+
+
+def key_hash() -> Column:
+    return F.xxhash64(*KEY)
 
 
 class TaskStore:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, monotone: bool = False):
-        """``buckets``: files of a compacted generation, roughly; ``monotone``: as for ``merge.merged_status``."""
-        self.spark, self.path, self.buckets, self.monotone = spark, path.rstrip("/"), buckets, monotone
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, monotone: bool = False, page_rows: int = 1000):
+        """``buckets``: slots of a compacted generation, to the next power of two; ``monotone``: as for ``merge.merged_status``; ``page_rows``:
+        rows that are read at least to find one."""
+        self.spark, self.path, self.monotone, self.page_rows = spark, path.rstrip("/"), monotone, page_rows
+        self.bits = max(0, buckets - 1).bit_length()
+        self.buckets = 1 << self.bits
+
+    def _slot(self, h: Column) -> Column:
+        return F.shiftrightunsigned(h, 64 - self.bits).cast("int") if self.bits else F.lit(0)
 
     # the file system is the path's own, whichever it is
     def _fs(self, path: str):
@@ -41,6 +58,12 @@ class TaskStore:
         names = [s.getPath().getParent().toString() for s in fs.globStatus(p) or []]
         return sorted(tuple(int(x.partition("=")[2]) for x in n.split("/")[-pattern.count("/") :] if "=" in x) for n in names)
 
+    def _numbers_below(self, pattern: str) -> list[tuple[int, ...]]:
+        """As ``_numbers``, for folders within committed ones."""
+        fs, p = self._fs(f"{self.path}/{pattern}")
+        names = [s.getPath().toString() for s in fs.globStatus(p) or []]
+        return sorted(tuple(int(x.partition("=")[2]) for x in n.split("/")[-pattern.count("/") :] if "=" in x) for n in names)
+
     def _versions(self) -> list[int]:
         return [v for (v,) in self._numbers("parts/version=*")]
 
@@ -64,22 +87,53 @@ class TaskStore:
             parts = parts.filter((F.col("generation") != g) | (F.col("version") > v))
         return self._read([f"base/generation={g}/version={v}" for g, v in bases.items()]), parts
 
+    def _near(self, rows: DataFrame, ids: DataFrame, slotted: bool) -> DataFrame:
+        """Rows that may have one of the ``ids`` (stored, distinct): those whose pages may hold one, or all of some slots.
+
+        At most ``MOST_KEYS`` hashes or one number a slot come to the driver."""
+        hashed = ids.select(key_hash().alias("h")).distinct()
+        keys = sorted(r["h"] for r in hashed.limit(MOST_KEYS + 1).collect())
+        slot_of = lambda h: (h & ((1 << 64) - 1)) >> (64 - self.bits)
+        if len(keys) > MOST_KEYS:
+            slots = [r[0] for r in hashed.select(self._slot(F.col("h"))).distinct().collect()] if slotted else []
+            return rows.filter(F.col("slot").isin(slots)) if 0 < len(slots) < self.buckets else rows
+        out = rows.filter("false")
+        for a in range(0, len(keys), KEYS_A_SCAN):
+            some = keys[a : a + KEYS_A_SCAN]
+            near = rows.filter(F.col("slot").isin(sorted({slot_of(k) for k in some}))) if slotted else rows
+            # equalities and not one IN: of an IN the column index only looks at the least and the greatest value
+            tests = [F.col("h") == F.lit(k) for k in some]
+            while len(tests) > 1:
+                tests = [x | y for x, y in zip(tests[::2], tests[1::2])] + tests[len(tests) & ~1 :]
+            out = near.filter(tests[0]) if a == 0 else out.unionByName(near.filter(tests[0]))
+        return out
+
+    def found(self, ids: DataFrame, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """``rows`` with one of ``ids`` (env, task_id), by their pages."""
+        ids = stored(ids.select(*KEY).distinct(), "asked")
+        base, parts = self.rows(version)
+        return self._near(base, ids, True).join(ids, KEY, "left_semi"), self._near(parts, ids, False).join(ids, KEY, "left_semi")
+
     def tasks(self, version: int | None = None, ids: DataFrame | None = None) -> DataFrame:
         """All tasks, or those with one of ``ids`` (env, task_id), with their generation. Tasks without new parts are only read."""
-        base, parts = self.rows(version)
-        if ids is not None:
-            ids = ids.select(*KEY).distinct()
-            base, parts = base.join(ids, KEY, "left_semi"), parts.join(ids, KEY, "left_semi")
+        base, parts = self.rows(version) if ids is None else self.found(ids, version)
         touched = parts.select(*KEY).distinct()
         again = base.join(touched, KEY, "left_semi").unionByName(parts)
         columns = [*M.TASK.names, "generation"]
         return base.join(touched, KEY, "left_anti").select(*columns).unionByName(merge.merged_parts(again, "version", columns, self.monotone))
 
     def orphans(self, version: int | None = None) -> DataFrame:
-        """Tasks that wait for a parent. Only ids that ever were orphans are merged."""
-        base, parts = self.rows(version)
-        ever = base.filter("orphan").select(*KEY).unionByName(parts.filter("orphan").select(*KEY))
-        return self.tasks(version, ever).filter("orphan")
+        """Tasks that wait for a parent."""
+        kept = [v for (v,) in self._numbers("waiting/version=*") if version is None or v <= version]
+        if not kept:
+            return self.spark.createDataFrame([], M.TASK)
+        return self.spark.read.schema(M.TASK).parquet(f"{self.path}/waiting/version={kept[-1]}")
+
+    def _wait(self, version: int, again: DataFrame) -> None:
+        """Write what waits as of ``version``: what waited before it, tasks with one of ``again`` (env, task_id) as they are now."""
+        before = self.orphans(version - 1)
+        now = self.tasks(version, again).filter("orphan").select(*M.TASK.names)
+        before.join(again, KEY, "left_anti").unionByName(now).write.mode("overwrite").parquet(f"{self.path}/waiting/version={version}")
 
     def generation(self) -> int:
         """The one that new tasks go to."""
@@ -88,31 +142,39 @@ class TaskStore:
         return max([1, *self._bases(), *found])
 
     def last_batch(self) -> int:
-        """The number of the last micro-batch merged, -1 if none was."""
-        last = self._read([f"parts/version={v}" for v in self._versions()]).agg(F.max("batch")).first()[0]
-        return -1 if last is None else last
+        """The number of the last micro-batch merged, -1 if none was. Only the newest parts that a micro-batch wrote are read."""
+        for v in reversed(self._versions()):
+            last = self._read([f"parts/version={v}"]).agg(F.max("batch")).first()[0]
+            if last is not None and last >= 0:
+                return last
+        return -1
 
-    def _write(self, rows: DataFrame, folder: str) -> None:
-        rows.write.mode("overwrite").partitionBy("generation").parquet(f"{self.path}/{folder}")
+    def _write(self, rows: DataFrame, folder: str, by: str) -> None:
+        writer = rows.withColumn("h", key_hash()).sortWithinPartitions(by, "h").write.mode("overwrite").option("parquet.page.row.count.limit", self.page_rows)
+        writer.partitionBy(by).parquet(f"{self.path}/{folder}")
 
     def append(self, tasks: DataFrame, version: int | None = None, batch: int | None = None) -> int:
         """Add parts of tasks; returns the version. A task that is stored stays in its generation, new ones go to the newest.
 
-        A given ``version``, the newest one, is written again in place of itself. ``batch`` is a micro-batch's number."""
+        A given ``version``, the newest one, is written again in place of itself. ``batch`` is a micro-batch's number. ``tasks`` is looked at more
+        than once, so it should be stored."""
         version = version or self._next()
         tasks = tasks.select(*M.TASK.names)
-        base, parts = self.rows(version - 1)
-        had = base.select(*KEY, "generation", "version").unionByName(parts.select(*KEY, "generation", "version")).join(tasks.select(*KEY), KEY, "left_semi")
+        base, parts = self.found(tasks, version - 1)
+        had = base.select(*KEY, "generation", "version").unionByName(parts.select(*KEY, "generation", "version"))
         had = had.groupBy(*KEY).agg(F.min_by("generation", "version").alias("generation"))
         rows = tasks.join(had, KEY, "left").withColumns({"generation": F.coalesce("generation", F.lit(self.generation())), "batch": F.lit(-1 if batch is None else batch).cast("long")})
-        self._write(rows, f"parts/version={version}")
+        self._write(rows, f"parts/version={version}", "generation")
+        waited = self.orphans(version - 1).select(*KEY)
+        again = tasks.filter("orphan").select(*KEY).unionByName(tasks.select(*KEY).join(waited, KEY, "left_semi")).distinct()
+        self._wait(version, stored(again, "waiting"))
         return version
 
     def roll_over(self) -> int:
         """The next generation; tasks that are new from now on go there. A row without an id keeps its number."""
         top = self.generation() + 1
         mark = self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in M.TASK], F.lit(top).alias("generation"), F.lit(-1).cast("long").alias("batch"))
-        self._write(mark, f"parts/version={self._next()}")
+        self._write(mark, f"parts/version={self._next()}", "generation")
         return top
 
     def compact(self, generations: list[int] | None = None, change: Callable[[DataFrame], DataFrame] = lambda t: t) -> int:
@@ -124,7 +186,21 @@ class TaskStore:
         changed = stored(change(now), "compacted")
         for g in sorted(generations if generations is not None else {*self._bases(), *(r[0] for r in now.select("generation").distinct().collect())}):
             out = changed.filter(F.col("generation") == g).drop("generation").withColumn("batch", F.lit(-1).cast("long"))
-            out.repartition(self.buckets, *KEY).write.mode("overwrite").parquet(f"{self.path}/base/generation={g}/version={version}")
+            out = out.withColumn("slot", self._slot(key_hash()))
+            self._write(out.repartition(self.buckets, "slot"), f"base/generation={g}/version={version}", "slot")
+        self._wait(version, stored(self.orphans(version - 1).select(*KEY), "waiting"))
+        return version
+
+    def tidy(self, most: int) -> int | None:
+        """When more than ``most`` batches have come since their generations were last written anew, write these anew and delete what they
+        replace. So the parts that a batch looks into stay few; a generation is as large as roll-overs let it be."""
+        bases = self._bases()
+        open_ = {g for v, g in self._numbers_below("parts/version=*/generation=*") if v > bases.get(g, 0)}
+        since = [v for v in self._versions() if v > min((bases.get(g, 0) for g in open_), default=0)]
+        if len(since) <= most:
+            return None
+        version = self.compact(sorted(open_))
+        self.vacuum()
         return version
 
     def expire(self, now: Column, top: int | None = None) -> int:
@@ -152,6 +228,8 @@ class TaskStore:
         done = min((oldest.get(g, 0) for g in generations), default=0)
         gone = [(f"base/generation={g}/version={v}", v) for g, v in bases if (g, v) not in needed and v < recent[-1]]
         gone += [(f"parts/version={v}", v) for v in versions[:-1] if v <= done]
+        waiting = [v for (v,) in self._numbers("waiting/version=*")]
+        gone += [(f"waiting/version={v}", v) for v in waiting if recent and v < max((w for w in waiting if w <= recent[0]), default=0)]
         for folder, _ in gone:
             fs, p = self._fs(f"{self.path}/{folder}")
             fs.delete(p, True)

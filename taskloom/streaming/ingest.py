@@ -39,18 +39,37 @@ def fold_batch(events: DataFrame, settings: Settings, now: Column) -> tuple[Data
     return fold.fold(events, now, settings.days, settings.version, settings.suffix), beats, reports
 
 
+def below(waiting: DataFrame, started: DataFrame) -> DataFrame:
+    """Of the waiting tasks (with ``node`` and ``up``) those below a started one (``node``): level by level, and only by what the last level brought.
+
+    Others keep waiting, whatever the batch has; a level costs a join of what waits with the new ids."""
+    reached, fresh = [], started
+    left = waiting
+    while True:
+        hit = files.stored(left.join(fresh.select(F.col("node").alias("up")).distinct(), "up", "left_semi"), "below")
+        if hit.isEmpty():
+            break
+        reached.append(hit)
+        left, fresh = left.join(hit.select("node"), "node", "left_anti"), hit
+    out = waiting.filter("false")
+    for hit in reached:
+        out = out.unionByName(hit)
+    return out
+
+
 def enriched(tasks: DataFrame, waiting: DataFrame, lookup: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Tasks of a batch, and stored orphans that it adopts, with roots, paths, inherited context and the orphan flag.
 
     ``waiting`` are the stored orphans; ``lookup`` gives the stored tasks with some ids (env, task_id).
 
-    Everything goes by environment and id: equal ids in two environments are two trees. Of the stored tasks only orphans and
-    the ancestors that are asked for take part; a stored parent that is no orphan brings its whole path, so the tree
+    Everything goes by environment and id: equal ids in two environments are two trees. Of the stored tasks only orphans below the batch's tasks and
+    the parents that are asked for take part; a stored parent that is no orphan brings its whole path, so the tree
     never has to be walked above it."""
     ids = {"node": hierarchy.scoped("task_id"), "up": hierarchy.scoped("parent_id")}
     tasks = tasks.withColumns(ids)
     started = tasks.filter(F.col("status").isin(M.UNTERMINATED, M.SUCCESS, M.ERROR, M.CORRUPTED))
-    waiting = files.stored(waiting.filter(F.col("status").isin(M.UNTERMINATED, M.SUCCESS, M.ERROR)).select(*M.TASK.names), "batch-waiting").withColumns(ids)
+    waiting = waiting.filter(F.col("status").isin(M.UNTERMINATED, M.SUCCESS, M.ERROR)).select(*M.TASK.names).withColumns(ids)
+    waiting = files.stored(below(waiting, started.select("node")), "batch-waiting")
     nodes = lambda df, was: df.select(F.col("node").alias("task_id"), F.col("up").alias("parent_id"), "name", "ctx", was.cast("boolean").alias("was"))
     old = waiting.join(started.select("node"), "node", "left_anti")
     nodes = files.stored(nodes(started, F.lit(None)).unionByName(nodes(old, F.col("orphan"))), "batch-nodes")
@@ -136,12 +155,13 @@ def let_in(good: DataFrame, earlier: DataFrame, seconds: int = 10) -> DataFrame:
     return good.filter("id IS NULL").unionByName(good.filter("id IS NOT NULL").join(places, "place", "left_semi").select(*good.columns))
 
 
-def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str, settings: Settings | None = None, dead: str | None = None, once: bool = True, files_per_batch: int = 100, max_age: str = "36500d", reports: str | None = None):
+def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str, settings: Settings | None = None, dead: str | None = None, once: bool = True, files_per_batch: int = 100, max_age: str = "36500d", reports: str | None = None, parts: int = 64):
     """A query that reads envelope files below ``source`` and merges each micro-batch into ``store``.
 
     Envelopes with an id let in within ten seconds of file time are dropped, also when the files come out of order; all
     others get through, however late their file is seen. The ids let in are a table in ``checkpoint``. Malformed lines all
     go to ``dead``. The store knows which micro-batch it merged last, so one that is replayed after a failure is merged once.
+    After more than ``parts`` batches the generations that they touched are written anew.
     Spark itself passes over files that are older than the newest one by more than ``max_age``."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", max_age).load(source)
     rows = lines.select("value", F.col("_metadata.file_modification_time").alias("received"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
@@ -163,6 +183,7 @@ def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str,
         ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(admitted)
         events = files.events_of(good.withColumnRenamed("place", "seq_base"))
         ingest_batch(store, events, settings, batch=number, reports=reports)
+        store.tidy(parts)
 
     writer = envelopes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

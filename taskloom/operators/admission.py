@@ -19,17 +19,35 @@ def keep_named(events: DataFrame, keep_regex: str, enabled: bool = True) -> Data
     return events.filter(name.rlike(r"^metadata") | name.rlike(f"^(?:{keep_regex})$"))
 
 
-def rate_limited(events: DataFrame, limit: int, period: str = "1 minute", time: str = "time", spread: int = 64) -> DataFrame:
+def _rated(events: DataFrame, period: str, time: str) -> DataFrame:
+    """Events with the name and the period (its start in microseconds) that they count for; without a time they count together."""
+    start = F.coalesce(F.unix_micros(F.window(F.coalesce(F.col(time), F.lit("0001-01-01").cast("timestamp")), period)["start"]), F.lit(0))
+    return events.withColumns({"_name": F.coalesce(name_of(F.col("name"), F.col("task_id")), F.lit("")), "_period": start})
+
+
+def rate_limited(events: DataFrame, limit: int, period: str = "1 minute", time: str = "time", spread: int = 64, earlier: DataFrame | None = None) -> DataFrame:
     """The first ``limit`` events in order of each name and period; more are dropped, as is the point of a limit.
 
+    ``earlier`` has the counts (``rate_counts``) of batches before this one, several rows a name and period if need be: with them the
+    limit holds across batches, so a log gives the same events however it is cut into batches.
+
     Within ``spread`` slices of a name and period the slice's first ``limit`` are kept first, so that a hot name is never
     ordered in one task: that task gets ``spread`` times ``limit`` rows at most."""
-    name = name_of(F.col("name"), F.col("task_id"))
-    e = events.withColumns({"_name": name, "_period": F.window(time, period)["start"], "_slice": F.pmod(F.xxhash64("seq"), F.lit(spread))})
+    e = _rated(events, period, time).withColumn("_slice", F.pmod(F.xxhash64("seq"), F.lit(spread)))
     local = Window.partitionBy("_name", "_period", "_slice").orderBy("seq")
     whole = Window.partitionBy("_name", "_period").orderBy("seq")
     e = e.withColumn("_n", F.row_number().over(local)).filter(F.col("_n") <= limit)
-    return e.withColumn("_n", F.row_number().over(whole)).filter(F.col("_n") <= limit).drop("_name", "_period", "_slice", "_n")
+    had = F.lit(0)
+    if earlier is not None:
+        counts = earlier.groupBy(F.col("name").alias("_name"), F.col("period").alias("_period")).agg(F.sum("n").alias("_had"))
+        e, had = e.join(counts, ["_name", "_period"], "left"), F.coalesce("_had", F.lit(0))
+    e = e.withColumn("_n", F.row_number().over(whole)).filter(F.col("_n") + had <= limit)
+    return e.select(*events.columns)
+
+
+def rate_counts(let_in: DataFrame, period: str = "1 minute", time: str = "time") -> DataFrame:
+    """name, period, n: how many events were let in, for ``rate_limited`` of later batches."""
+    return _rated(let_in, period, time).groupBy(F.col("_name").alias("name"), F.col("_period").alias("period")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def once_per_window(envelopes: DataFrame, id_col: str = "id", time: str = "received", seconds: int = 10, order: str | None = None) -> DataFrame:

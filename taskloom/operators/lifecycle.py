@@ -33,7 +33,8 @@ def delete_expired(tasks: DataFrame, now: Column, top: int | None = None) -> Dat
 
 
 def delete_by_ids(tasks: DataFrame, ids: DataFrame) -> DataFrame:
-    return tasks.join(ids.select("task_id").distinct(), "task_id", "left_anti")
+    """Tasks without those of ``ids`` (env, task_id); equal ids in other environments are other tasks."""
+    return tasks.join(ids.select("env", "task_id").distinct(), ["env", "task_id"], "left_anti")
 
 
 def merge_generations(current: DataFrame, old: DataFrame, now: Column, monotone: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+KEY = ["env", "task_id"]
 #: What a child needs of its parent.
 PARENT_FIELDS = ["env", "task_id", "name", "parent_id", "primary_id", "parents_path", "orphan", "ctx"]
 
@@ -14,30 +15,35 @@ def count_by_name(tasks: DataFrame, name: str, env: str) -> int:
 
 
 def by_ids(tasks: DataFrame, ids: DataFrame, filters: list[Column] | None = None, must_not: list[Column] | None = None) -> DataFrame:
-    """Tasks with one of the ids that pass all filters and none of ``must_not``."""
+    """Tasks with one of the ids that pass all filters and none of ``must_not``.
+
+    ``ids`` with an environment (env, task_id) stand for one task each, those without for the tasks of that id in all environments."""
     for f in filters or []:
         tasks = tasks.filter(f)
     for f in must_not or []:
         tasks = tasks.filter(~F.coalesce(f, F.lit(False)))
-    return tasks.join(ids.select("task_id").distinct(), "task_id", "left_semi")
+    key = [c for c in KEY if c in ids.columns]
+    return tasks.join(ids.select(*key).distinct(), key, "left_semi")
 
 
 def single_by_ids(tasks: DataFrame, ids: DataFrame, strict: bool = True) -> DataFrame:
-    """As ``by_ids``; ids in several generations are left out (``strict``) or taken from the newest one."""
+    """As ``by_ids``; tasks in several generations are left out (``strict``) or taken from the newest one."""
     found = by_ids(tasks, ids)
     if strict:
-        lone = found.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
-        return found.join(lone.select("task_id"), "task_id", "left_semi")
-    newest = Window.partitionBy("task_id").orderBy(F.desc("generation"))
+        lone = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
+        return found.join(lone.select(*KEY), KEY, "left_semi")
+    newest = Window.partitionBy(*KEY).orderBy(F.desc("generation"))
     return found.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
-def get_task(tasks: DataFrame, task_id: str, strict: bool = True) -> DataFrame:
-    return single_by_ids(tasks, tasks.sparkSession.createDataFrame([(task_id,)], "task_id string"), strict)
+def get_task(tasks: DataFrame, task_id: str, strict: bool = True, env: str | None = None) -> DataFrame:
+    """The task of an id in an environment, or in each one that has it."""
+    return single_by_ids(get_all(tasks, task_id, env), tasks.sparkSession.createDataFrame([(task_id,)], "task_id string"), strict)
 
 
-def get_all(tasks: DataFrame, task_id: str) -> DataFrame:
-    return tasks.filter(F.col("task_id") == task_id)
+def get_all(tasks: DataFrame, task_id: str, env: str | None = None) -> DataFrame:
+    found = tasks.filter(F.col("task_id") == task_id)
+    return found if env is None else found.filter(F.col("env") == env)
 
 
 def parents(tasks: DataFrame) -> DataFrame:

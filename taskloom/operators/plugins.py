@@ -8,12 +8,17 @@ import traceback
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import UnknownException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import merge_maps, name_of
 from ..sources.files import stored
 
+#: Errors that carry no fault of a plan or row: jobs that were aborted, the file system, the way to the JVM.
+_OUTAGES = (UnknownException, Py4JError, OSError, MemoryError)
+
 #: A row of a plugin's report.
 REPORT = "name string, class string, status string, error string, duration_ms long"
 
@@ -84,6 +89,8 @@ def from_json(config: str) -> list[Plugin]:
 def run_all(events: DataFrame, plugins: list, proven: bool = False) -> tuple[DataFrame, list[dict]]:
     """Events after all plugins, and a report each; a plugin that fails is skipped and does not stop the batch.
 
+    What is wrong with the cluster is no plugin's fault: lost executors, full disks and the like stop the batch, to be run again.
+
     A plan is only known to work once it has run: with ``proven`` each plugin's events are written before the next one
     starts, so that a plugin that fails at a row is skipped, too."""
     reports = []
@@ -93,6 +100,8 @@ def run_all(events: DataFrame, plugins: list, proven: bool = False) -> tuple[Dat
             changed = p.apply(events)
             changed.schema  # a plan that does not resolve fails here
             events = stored(changed, "plugin") if proven else changed
+        except _OUTAGES:
+            raise
         except Exception:
             status, error = "ERROR", traceback.format_exc()
         reports.append({"name": p.name, "class": type(p).__name__, "status": status, "error": error, "duration_ms": int((time.time() - began) * 1000)})

@@ -18,6 +18,7 @@ from ..sources import files
 from ..sources.client import MemorySink, Params, StatisticsSink, Tracer
 from ..sources.store import TaskStore
 from ..streaming import ingest
+from ..streaming.state import Recent
 from . import logs
 from .catalog import DAYS, FOLDED, NOW, S, _now, _tasks, query
 
@@ -207,10 +208,61 @@ def store_expiry(spark, sf_dir):
     return store.tasks().select("task_id")
 
 
+@query(f"""{FOLDED}, d AS (SELECT task_id, (split_part(task_id, '___', 2)::INT - 1) // 10 AS w FROM t), n AS (SELECT w, count(*) AS n, (SELECT count(*) FROM t) // 2 AS most FROM d GROUP BY w),
+g AS (SELECT w, 1 AS generation, n AS held FROM n WHERE w = 0 UNION ALL SELECT n.w, g.generation + CASE WHEN g.held > n.most THEN 1 ELSE 0 END, CASE WHEN g.held > n.most THEN 0 ELSE g.held END + n.n FROM g JOIN n ON n.w = g.w + 1)
+SELECT d.task_id, g.generation FROM d JOIN g ON g.w = d.w""")
+def generations_by_size(spark, sf_dir):
+    """Tasks of ten days at a time; when the newest generation has more than half of all, the next one begins."""
+    store = TaskStore(spark, files.work_dir(spark, "tasks"), buckets=4)
+    t = files.stored(_tasks(spark, sf_dir, True), "folded")
+    most, day = t.count() // 2, F.split_part("task_id", F.lit("___"), F.lit(2)).cast("int")
+    for w in range(3):
+        store.append(t.filter(F.floor((day - 1) / 10) == w))
+        store.roll_over_if(rows=most)
+    return store.tasks().select("task_id", "generation")
+
+
+@query(f"{FOLDED} SELECT task_id, status FROM t WHERE split_part(task_id, '___', 2)::INT % 5 = 0")
+def stored_by_ids(spark, sf_dir):
+    """Some tasks of a compacted table and of parts that came after, found by their slots and pages."""
+    store = TaskStore(spark, files.work_dir(spark, "tasks"), buckets=8, page_rows=100)
+    t = files.stored(_tasks(spark, sf_dir, True), "folded")
+    user = F.regexp_extract("task_id", "([0-9]+)___", 1).cast("int")
+    store.append(t.filter(user % 3 > 0))
+    store.compact()
+    store.append(t.filter(user % 3 == 0))
+    return store.tasks(ids=t.filter(F.split_part("task_id", F.lit("___"), F.lit(2)).cast("int") % 5 == 0)).select("task_id", "status")
+
+
 @query(f"{FOLDED} SELECT task_id, status FROM t WHERE task_id NOT IN (SELECT task_id FROM t WHERE status = 'CORRUPTED')")
 def delete_by_ids(spark, sf_dir):
     t = files.stored(_tasks(spark, sf_dir), "folded")
-    return lifecycle.delete_by_ids(t, t.filter(F.col("status") == M.CORRUPTED).select("task_id")).select("task_id", "status")
+    return lifecycle.delete_by_ids(t, t.filter(F.col("status") == M.CORRUPTED).select("env", "task_id")).select("task_id", "status")
+
+
+@query(f"""{FOLDED} SELECT env, task_id, status FROM t, (VALUES ('a'), ('b')) v(env) WHERE env = 'b' AND status <> 'SUCCESS' OR env = 'a' AND status <> 'CORRUPTED'
+UNION ALL SELECT 'found', task_id, status FROM t WHERE status = 'SUCCESS'""")
+def ids_of_two_environments(spark, sf_dir):
+    """Each task in two environments: deleted in one by its status, in the other by another; and read by the id and one environment."""
+    t = _tasks(spark, sf_dir).drop("env").withColumn("env", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    t = files.stored(t.select(*M.TASK.names[:4]), "two-environments")
+    bad, good = F.col("status") == M.CORRUPTED, F.col("status") == M.SUCCESS
+    left = lifecycle.delete_by_ids(t, t.filter((F.col("env") == "a") & bad | (F.col("env") == "b") & good))
+    found = lookup.single_by_ids(t.withColumn("generation", F.lit(1)), t.filter(good & (F.col("env") == "a")))
+    return left.select("env", "task_id", "status").unionByName(found.select(F.lit("found").alias("env"), "task_id", "status"))
+
+
+@query(f"{S} SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY coalesce(name, id_name), date_trunc('day', time) ORDER BY seq) AS rn FROM s) q WHERE rn <= 3")
+def rate_limited_over_batches(spark, sf_dir):
+    """The log in four micro-batches by order, the third one given twice as after a failure: a limit that holds over all of them."""
+    e = logs.session_log(spark, sf_dir)
+    top = (e.agg(F.max("seq")).first()[0] or 0) + 1
+    counts = Recent(spark, files.work_dir(spark, "limits"), "name string, period long, n long", 24)
+    settings, out = ingest.Settings(limit=3, period="1 day"), {}
+    for number in (0, 1, 2, 2, 3):
+        batch = e.filter((F.col("seq") * 4 >= top * number) & (F.col("seq") * 4 < top * (number + 1)))
+        out[number] = ingest.limit_across(batch, settings, counts, number, number).select("seq")
+    return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
 @query(f"{FOLDED} SELECT task_id, status FROM t WHERE status IN ('SUCCESS', 'UNTERMINATED') AND NOT task_id LIKE 'session_1%' AND task_id IN (SELECT task_id FROM s WHERE event_type = 'click')")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +27,29 @@ def work_dir(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again: a cut lineage that survives lost executors."""
     path = work_dir(df.sparkSession, tag)
+    if (kept := getattr(_SCRATCH, "paths", None)) is not None:
+        kept.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Where this thread's ``stored`` tables go that are to be deleted.
+_SCRATCH = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What this thread stores inside is deleted at the end, so nothing that is read later may depend on it."""
+    before, _SCRATCH.paths = getattr(_SCRATCH, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _SCRATCH.paths = _SCRATCH.paths, before
+        for path in paths:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 _MAP = T.MapType(T.StringType(), T.StringType())
 #: An event on the wire.
 WIRE_EVENT = T.StructType(
@@ -37,12 +58,18 @@ WIRE_EVENT = T.StructType(
 _ENVELOPE = T.StructType([T.StructField("id", T.StringType()), T.StructField("events", T.ArrayType(WIRE_EVENT)), T.StructField("_corrupt", T.StringType())])
 
 
+#: Events of an envelope: so many numbers in a row are kept for each.
+MOST_EVENTS = 1_000_000
+
+
 def envelopes_from_text(lines: DataFrame) -> DataFrame:
-    """id, events, malformed (the line, if it is no envelope) from a column ``value`` of JSON: {"id", "events"} or a bare list."""
+    """id, events, malformed (the line, if it is no envelope) from a column ``value`` of JSON: {"id", "events"} or a bare list.
+
+    One with more than ``MOST_EVENTS`` events is malformed, too."""
     bare = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.concat(F.lit('{"events":'), "value", F.lit("}"))).otherwise(F.col("value"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowNonNumericNumbers": "true"}
     parsed = lines.withColumn("e", F.from_json(bare, _ENVELOPE, options))
-    bad = F.col("e._corrupt").isNotNull() | F.col("e.events").isNull()
+    bad = F.col("e._corrupt").isNotNull() | F.col("e.events").isNull() | (F.size("e.events") > MOST_EVENTS)
     return parsed.select(*[c for c in lines.columns if c != "value"], F.col("e.id").alias("id"), F.when(~bad, F.col("e.events")).alias("events"), F.when(bad, F.col("value")).alias("malformed"))
 
 
@@ -58,7 +85,7 @@ def events_of(envelopes: DataFrame, base: str = "seq_base") -> DataFrame:
     e = envelopes.filter("malformed IS NULL").select(F.col(base).alias("_base"), F.posexplode("events").alias("_at", "e"))
     stamp = lambda c: F.to_timestamp(F.col(f"e.{c}"))
     return e.select(
-        F.col("e.@type").alias("type"), F.col("e.taskId").alias("task_id"), (F.col("_base") * 1_000_000 + F.col("_at")).cast("long").alias("seq"), stamp("time").alias("time"), "e.name", F.col("e.parentId").alias("parent_id"), "e.status", "e.env",
+        F.col("e.@type").alias("type"), F.col("e.taskId").alias("task_id"), (F.col("_base") * MOST_EVENTS + F.col("_at")).cast("long").alias("seq"), stamp("time").alias("time"), "e.name", F.col("e.parentId").alias("parent_id"), "e.status", "e.env",
         F.col("e.primaryId").alias("primary_id"), F.col("e.parentsPath").alias("parents_path"), "e.orphan", stamp("dateToDelete").alias("date_to_delete"), "e.strings", "e.text", "e.context", "e.metrics",
     )
 

@@ -110,13 +110,17 @@ class TaskStore:
 
     def found(self, ids: DataFrame, version: int | None = None) -> tuple[DataFrame, DataFrame]:
         """``rows`` with one of ``ids`` (env, task_id), by their pages."""
-        ids = stored(ids.select(*KEY).distinct(), "asked")
+        return self._found(stored(ids.select(*KEY).distinct(), "asked"), version)
+
+    def _found(self, ids: DataFrame, version: int | None) -> tuple[DataFrame, DataFrame]:
         base, parts = self.rows(version)
         return self._near(base, ids, True).join(ids, KEY, "left_semi"), self._near(parts, ids, False).join(ids, KEY, "left_semi")
 
     def tasks(self, version: int | None = None, ids: DataFrame | None = None) -> DataFrame:
         """All tasks, or those with one of ``ids`` (env, task_id), with their generation. Tasks without new parts are only read."""
-        base, parts = self.rows(version) if ids is None else self.found(ids, version)
+        if ids is not None and (ids := stored(ids.select(*KEY).distinct(), "asked")).isEmpty():
+            return self.spark.createDataFrame([], T.StructType([*M.TASK, T.StructField("generation", T.IntegerType())]))
+        base, parts = self.rows(version) if ids is None else self._found(ids, version)
         touched = parts.select(*KEY).distinct()
         again = base.join(touched, KEY, "left_semi").unionByName(parts)
         columns = [*M.TASK.names, "generation"]
@@ -131,6 +135,8 @@ class TaskStore:
 
     def _wait(self, version: int, again: DataFrame) -> None:
         """Write what waits as of ``version``: what waited before it, tasks with one of ``again`` (env, task_id) as they are now."""
+        if again.isEmpty() and not self._numbers(f"waiting/version={version}"):
+            return  # the last such table holds
         before = self.orphans(version - 1)
         now = self.tasks(version, again).filter("orphan").select(*M.TASK.names)
         before.join(again, KEY, "left_anti").unionByName(now).write.mode("overwrite").parquet(f"{self.path}/waiting/version={version}")
@@ -177,6 +183,26 @@ class TaskStore:
         self._write(mark, f"parts/version={self._next()}", "generation")
         return top
 
+    def newest(self) -> dict:
+        """rows, bytes and days of the newest generation: from file sizes, Parquet footers and the times of its first and last parts."""
+        g = self.generation()
+        base = [f"base/generation={g}/version={v}" for gen, v in self._bases().items() if gen == g]
+        versions = [v for v, gen in self._numbers_below("parts/version=*/generation=*") if gen == g and v > self._bases().get(g, 0)]
+        folders = [*base, *[f"parts/version={v}/generation={g}" for v in versions]]
+        if not folders:
+            return {"generation": g, "rows": 0, "bytes": 0, "days": 0.0}
+        size = sum((fs := self._fs(f"{self.path}/{f}"))[0].getContentSummary(fs[1]).getLength() for f in folders)
+        ends = self._read([folders[0], folders[-1]]).agg(F.min("task_begin"), F.max("task_begin")).first()
+        return {"generation": g, "rows": self._read(folders).select().count(), "bytes": size, "days": (ends[1] - ends[0]).total_seconds() / 86400 if ends[0] else 0.0}
+
+    def roll_over_if(self, rows: int | None = None, size: int | None = None, days: float | None = None) -> int | None:
+        """The next generation, if the newest one is over one of the bounds; it is only looked at if there are some."""
+        bounds = {"rows": rows, "bytes": size, "days": days}
+        if all(b is None for b in bounds.values()):
+            return None
+        now = self.newest()
+        return self.roll_over() if any(b is not None and now[k] > b for k, b in bounds.items()) else None
+
     def compact(self, generations: list[int] | None = None, change: Callable[[DataFrame], DataFrame] = lambda t: t) -> int:
         """Write the given generations (all of them, without any) anew as ``change`` leaves them; returns the version."""
         version = self._next()

@@ -14,6 +14,7 @@ from ..functions.normalize import normalize
 from ..operators import admission, fold, hierarchy, plugins, telemetry
 from ..sources import files
 from ..sources.store import TaskStore
+from .state import Recent, hour_of
 
 
 @dataclass
@@ -25,16 +26,22 @@ class Settings:
     version: str | None = None
     suffix: str = M.ID_SUFFIX
     rules: list = field(default_factory=list)
+    #: Hours of file time over which a stream remembers envelope ids and counts of the limit.
+    remembers: int = 24 * 90
+    #: When new tasks go to the next generation: more rows, bytes or days than this in the newest one.
+    most_rows: int | None = None
+    most_bytes: int | None = None
+    most_days: float | None = None
 
 
-def fold_batch(events: DataFrame, settings: Settings, now: Column) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(tasks, heartbeats, plugin reports) of a batch of raw events."""
+def fold_batch(events: DataFrame, settings: Settings, now: Column, limited: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """(tasks, heartbeats, plugin reports) of a batch of raw events. ``limited`` stands in for the limit within the batch."""
     events = normalize(events, settings.suffix)
     beats, events = admission.heartbeats(events)
     if settings.keep_regex is not None:
         events = admission.keep_named(events, settings.keep_regex)
     if settings.limit is not None:
-        events = admission.rate_limited(events, settings.limit, settings.period)
+        events = (limited or (lambda e: admission.rate_limited(e, settings.limit, settings.period)))(events)
     events, reports = plugins.run_all(events, settings.rules, proven=True)
     return fold.fold(events, now, settings.days, settings.version, settings.suffix), beats, reports
 
@@ -93,38 +100,38 @@ def enriched(tasks: DataFrame, waiting: DataFrame, lookup: Callable[[DataFrame],
     return out.unionByName(inherits)
 
 
-def ingest_batch(store: TaskStore, events: DataFrame, settings: Settings | None = None, now: Column | None = None, version: int | None = None, batch: int | None = None, reports: str | None = None) -> int:
+def limit_across(events: DataFrame, settings: Settings, counts: Recent, number: int, hour: int) -> DataFrame:
+    """The events of micro-batch ``number`` that a limit lets in which holds over all micro-batches; ``hour`` of file time is when they came."""
+    kept = files.stored(admission.rate_limited(events, settings.limit, settings.period, earlier=counts.before(number)), "limited")
+    counts.put(admission.rate_counts(kept, settings.period), F.lit(hour), number)
+    return kept
+
+
+def ingest_batch(
+    store: TaskStore, events: DataFrame, settings: Settings | None = None, now: Column | None = None, version: int | None = None, batch: int | None = None, reports: str | None = None, limited: Callable[[DataFrame], DataFrame] | None = None
+) -> int:
     """Fold, enrich and append one batch; returns the store's version. The newest version given again replaces that batch.
 
+    After it, the next generation begins if the newest one is over one of the bounds in ``settings``. What is stored on the way is deleted.
+
     With ``reports``, its heartbeats, the plugins' reports and a row about the batch are written below that folder, by version."""
-    settings = settings or Settings()
+    settings, spark = settings or Settings(), events.sparkSession
     began = time.time()
-    tasks, beats, notes = fold_batch(events, settings, F.current_timestamp() if now is None else now)
-    tasks = files.stored(tasks, "batch-tasks")
-    before = None if version is None else version - 1
-    version = store.append(files.stored(enriched(tasks, store.orphans(before), lambda ids: store.tasks(before, ids)), "batch-enriched"), version, batch)
-    if reports is not None:
-        beats.write.mode("overwrite").json(f"{reports}/heartbeats/version={version}")
-        if notes:
-            events.sparkSession.createDataFrame(notes, plugins.REPORT).coalesce(1).write.mode("overwrite").json(f"{reports}/plugins/version={version}")
-        about = telemetry.batch_report(events.withColumn("version", F.lit(version)), "version").drop("version").withColumn("took_ms", F.lit(int((time.time() - began) * 1000)))
-        about.write.mode("overwrite").json(f"{reports}/batches/version={version}")
+    with files.scratch(spark):
+        tasks, beats, notes = fold_batch(events, settings, F.current_timestamp() if now is None else now, limited)
+        tasks = files.stored(tasks, "batch-tasks")
+        before = None if version is None else version - 1
+        version = store.append(files.stored(enriched(tasks, store.orphans(before), lambda ids: store.tasks(before, ids)), "batch-enriched"), version, batch)
+        if reports is not None:
+            beats.write.mode("overwrite").json(f"{reports}/heartbeats/version={version}")
+            if notes:
+                spark.createDataFrame(notes, plugins.REPORT).coalesce(1).write.mode("overwrite").json(f"{reports}/plugins/version={version}")
+            about = telemetry.batch_report(events.withColumn("version", F.lit(version)), "version").drop("version").withColumn("took_ms", F.lit(int((time.time() - began) * 1000)))
+            about.write.mode("overwrite").json(f"{reports}/batches/version={version}")
+        store.roll_over_if(settings.most_rows, settings.most_bytes, settings.most_days)
     return version
 
 
-def _earlier(spark: SparkSession, path: str, batch: DataFrame, number: int, seconds: int) -> DataFrame:
-    """id, received of envelopes let in by micro-batches before ``number``; only the hours that ``batch`` reaches are read."""
-    hour = lambda by: F.floor((F.unix_micros("received") / 1_000_000 + by) / 3600).cast("long")
-    # a batch has as many times as files, so this follows the number of files
-    hours = {h for r in batch.select(hour(-seconds), hour(seconds)).distinct().collect() for h in range(r[0], r[1] + 1)}
-    exists = lambda p: (h := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(h)
-    found = [p for h in sorted(hours) if exists(p := f"{path}/hour={h}")]
-    schema = "id string, received timestamp, hour long, batch long"
-    if not found:
-        return spark.createDataFrame([], schema).select("id", "received")
-    return spark.read.schema(schema).option("basePath", path).parquet(*found).filter(F.col("batch") < number).select("id", "received")
-
-
 def numbered(batch: DataFrame) -> DataFrame:
     """``place`` in the order of arrival, without gaps: files by time and name, and lines by their place in the file.
 
@@ -159,31 +166,39 @@ def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str,
     """A query that reads envelope files below ``source`` and merges each micro-batch into ``store``.
 
     Envelopes with an id let in within ten seconds of file time are dropped, also when the files come out of order; all
-    others get through, however late their file is seen. The ids let in are a table in ``checkpoint``. Malformed lines all
-    go to ``dead``. The store knows which micro-batch it merged last, so one that is replayed after a failure is merged once.
+    others get through. The ids let in, and the counts of a limit, are tables in ``checkpoint`` that span ``settings.remembers`` hours
+    of file time: an envelope with an id whose file is older than that cannot be judged any more and goes to ``checkpoint``/late as it came.
+    Malformed lines all go to ``dead``. The store knows which micro-batch it merged last, so one that is replayed after a failure is merged once.
     After more than ``parts`` batches the generations that they touched are written anew.
     Spark itself passes over files that are older than the newest one by more than ``max_age``."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", max_age).load(source)
     rows = lines.select("value", F.col("_metadata.file_modification_time").alias("received"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     envelopes = files.envelopes_from_text(rows)
-    admitted = f"{checkpoint.rstrip('/')}/admitted"
+    settings, kept = settings or Settings(), checkpoint.rstrip("/")
+    admitted = Recent(spark, f"{kept}/admitted", "id string, received timestamp", settings.remembers)
+    counts = Recent(spark, f"{kept}/limits", "name string, period long, n long", settings.remembers)
 
     def one(batch: DataFrame, number: int) -> None:
         if number <= store.last_batch():
             return
-        session = batch.sparkSession
-        # a split is read in order by one task, so this grows by one from line to line within it
-        batch = numbered(files.stored(batch.withColumn("place", F.monotonically_increasing_id()), "micro-batch"))
-        if dead is not None:
-            batch.filter("malformed IS NOT NULL").select("malformed", "file").write.mode("overwrite").json(f"{dead}/batch={number}")
-        good = batch.filter("malformed IS NULL")
-        good = files.stored(let_in(good, _earlier(session, admitted, good, number, 10)), "micro-batch-unique")
-        # before the merge, and again in the same place if the batch is replayed
-        ids = good.filter("id IS NOT NULL").select("id", "received", F.floor(F.unix_micros("received") / 3_600_000_000).cast("long").alias("hour"), F.lit(number).cast("long").alias("batch"))
-        ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(admitted)
-        events = files.events_of(good.withColumnRenamed("place", "seq_base"))
-        ingest_batch(store, events, settings, batch=number, reports=reports)
-        store.tidy(parts)
+        with files.scratch(spark):
+            # a split is read in order by one task, so this grows by one from line to line within it
+            batch = numbered(files.stored(batch.withColumn("place", F.monotonically_increasing_id()), "micro-batch"))
+            if dead is not None:
+                batch.filter("malformed IS NOT NULL").select("malformed", "file").write.mode("overwrite").json(f"{dead}/batch={number}")
+            good, hour = batch.filter("malformed IS NULL"), hour_of(F.col("received"))
+            if (first := admitted.horizon(number)) is not None:
+                late = F.col("id").isNotNull() & (hour < first)
+                good.filter(late).select("id", "received", "file", "events").write.mode("overwrite").json(f"{kept}/late/batch={number}")
+                good = good.filter(~late)
+            good = files.stored(let_in(good, admitted.before(number)), "micro-batch-unique")
+            # before the merge, and again in the same place if the batch is replayed
+            admitted.put(good.filter("id IS NOT NULL"), hour, number)
+            newest = batch.agg(F.max(hour)).first()[0] or 0
+            ingest_batch(store, files.events_of(good.withColumnRenamed("place", "seq_base")), settings, batch=number, reports=reports, limited=lambda e: limit_across(e, settings, counts, number, newest))
+            store.tidy(parts)
+            for table in (admitted, counts):
+                table.expire(number)
 
     writer = envelopes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

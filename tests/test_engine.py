@@ -187,3 +187,14 @@ def test_projection_of_single_keys(spark):
     t = spark.range(1).select(F.col("id").alias("task_id"), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")).alias("ctx"), F.create_map(F.lit("c"), F.lit("3")).alias("string"))
     assert lookup.fields(t, exclude=["ctx.a", "string.*"]).first().asDict() == {"task_id": 0, "ctx": {"b": "2"}}
     assert lookup.fields(t, ["task_id", "ctx.b"]).first().asDict() == {"task_id": 0, "ctx.b": "2"}
+
+
+def test_an_outage_is_no_fault_of_a_plugin(spark):
+    class Outage:
+        name = "outage"
+
+        def apply(self, events):
+            raise OSError("no space left")
+
+    with pytest.raises(OSError):
+        plugins.run_all(spark.createDataFrame([event("a___1", 1, M.START, 0, "a")], M.EVENT), [Outage()])

@@ -70,3 +70,53 @@ def test_many_envelopes_of_a_file_keep_their_order(spark, tmp_path):
     wanted = {f"a___{i}": str(4950 + i) for i in range(50)} | {"a___2": "last"}
     assert {t: r["string"]["k"] for t, r in out.items()} == wanted
     assert out["a___1"]["status"] == M.CORRUPTED and out["a___1"]["name"] == "a"
+
+
+def test_a_limit_holds_over_batches(spark, tmp_path):
+    found = []
+    for files_per_batch in (100, 2):
+        folder = tmp_path / str(files_per_batch)
+        for i in range(6):
+            put(folder / "in", f"f{i}", T0 + 60 * i, wrapped(f"w{i}", f"a___{i}", name="a"), wrapped(f"v{i}", f"b___{i}", name=f"b{i % 2}"))
+        store = TaskStore(spark, f"file://{folder}/store", buckets=2)
+        q = ingest.stream(spark, f"file://{folder}/in", store, f"file://{folder}/check", ingest.Settings(limit=2), files_per_batch=files_per_batch, parts=2)
+        q.awaitTermination(300)
+        assert q.exception() is None
+        found.append(sorted(r["task_id"] for r in store.tasks().collect()))
+        assert len(store._versions()) <= 3
+    assert found[0] == found[1] == sorted(["a___0", "a___1", *(f"b___{i}" for i in range(4))])
+
+
+def test_what_is_remembered_stays_small_and_late_envelopes_are_set_apart(spark, tmp_path):
+    store, hour = TaskStore(spark, f"file://{tmp_path}/store", buckets=2), 3600
+    settings = ingest.Settings(remembers=2)
+
+    def run(**more):
+        q = ingest.stream(spark, f"file://{tmp_path}/in", store, f"file://{tmp_path}/check", settings, dead=f"file://{tmp_path}/dead", **more)
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    for i in (0, 3, 5):
+        put(tmp_path / "in", f"f{i}", T0 + i * hour, wrapped(f"w{i}", f"a___{i}"))
+        run()
+    assert len([x for x in os.listdir(tmp_path / "check" / "admitted") if x.startswith("hour=")]) == 2
+    put(tmp_path / "in", "late", T0 - hour, wrapped("w0", "late___1"), json.dumps(wrapped(None, "late___2")["events"]))
+    put(tmp_path / "in", "soon", T0 + 5 * hour + 5, wrapped("w5", "again___1"))
+    run()
+    assert sorted(r["task_id"] for r in store.tasks().collect()) == [*(f"a___{i}" for i in (0, 3, 5)), "late___2"]
+    late = spark.read.json(f"file://{tmp_path}/check/late/*").collect()
+    assert [r["id"] for r in late] == ["w0"] and late[0]["events"][0]["taskId"] == "late___1"
+
+
+def test_generations_begin_in_the_stream(spark, tmp_path):
+    store = TaskStore(spark, f"file://{tmp_path}/store", buckets=2)
+    for i in range(4):
+        put(tmp_path / "in", f"f{i}", T0 + i, wrapped(f"w{i}", f"a___{i}"), wrapped(f"v{i}", f"b___{i}"))
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+    q = ingest.stream(spark, f"file://{tmp_path}/in", store, f"file://{tmp_path}/check", ingest.Settings(most_rows=3), files_per_batch=1)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    assert {r["task_id"]: r["generation"] for r in store.tasks().collect()} == {f"{k}___{i}": 1 + i // 2 for k in "ab" for i in range(4)}
+    # nothing that was stored on the way is left but what this test's own reads stored
+    left = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))) - before
+    assert not [x for x in left if not x.startswith("asked")], left

@@ -85,14 +85,17 @@ def join_owners(rows: DataFrame, owners: DataFrame, keys: list[str], n: str, how
     """``rows`` joined to ``owners`` (one row per key, with the key's number of rows in ``n``, which is left out) on ``keys``.
 
     ``most`` is the number of rows, if it is known: ``FEW_ROWS`` are joined plainly. Else rows of a hot key are dealt out to as many slices as it takes, and its owner stands in each. Hot keys are broadcast: fewer than
-    ``HOT`` by what hot means. ``owners`` is stored first."""
+    ``HOT`` by what hot means. ``owners`` is stored first.
+
+    A row's slice goes by a hash of all its columns but maps, so a task that runs again, over rows in another order, deals them out as
+    before. Rows that agree in all of that share a slice; Spark may split it, as neither side is aggregated after its exchange."""
     if most is not None and most <= FEW_ROWS:
         return rows.join(owners.drop(n), keys, how)
     owners = stored(owners, "owners")
     total = owners.agg(F.sum(n)).first()[0] or 0
     hot = F.broadcast(owners.filter(F.col(n) * HOT > total).select(*keys, F.ceil(F.col(n) * HOT / F.lit(max(total, 1))).cast("int").alias("__slices")))
-    # the slice goes by the order of rows in their task, so it need not be the same in a second run: every slice has the same owner
-    dealt = rows.join(hot, keys, "left").withColumn("__slice", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__slices")), F.lit(0)).cast("int")).drop("__slices")
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()])
+    dealt = rows.join(hot, keys, "left").withColumn("__slice", F.when(F.col("__slices").isNull(), 0).otherwise(F.pmod(whole, F.col("__slices"))).cast("int")).drop("__slices")
     each = owners.join(hot, keys, "left").withColumn("__slice", F.explode(F.sequence(F.lit(0), F.coalesce("__slices", F.lit(1)) - 1))).drop("__slices", n)
     return dealt.join(each, [*keys, "__slice"], how).drop("__slice")
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import shuffle_partitions, stored, table
 
 BUCKETS = 4096
 #: Round keys: odd multipliers below 2^31 and offsets, fixed so that the order can be reproduced.
@@ -75,22 +75,28 @@ def feistel(x: Column, n: Column, seed: int = 0, backwards: bool = False) -> Col
     return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), start, step, lambda s: F.when(s["v"] < s["n"], s["v"]).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long")))
 
 
-def row_numbers(rows: DataFrame, by: list[str], number: str = "row_number", total: str = "n_rows") -> DataFrame:
+#: Copies of a row that are made again from one count at a time.
+PART_ROWS = 4096
+
+
+def row_numbers(rows: DataFrame, by: list[str], number: str = "row_number", total: str = "n_rows", copies: str | None = None) -> DataFrame:
     """``rows`` with ``number``, gapless from 0 over all rows, and ``total``, their count.
 
     The order is that of an MD5 of the columns ``by`` and then of these columns, nulls first. Rows equal in
-    all of ``by`` are interchangeable and get numbers in a row."""
+    all of ``by`` are interchangeable and get numbers in a row. With ``copies``, a column of counts, a row stands for so many and
+    gets the first of their numbers; so a window never holds equal rows."""
+    n = F.lit(1).cast("long") if copies is None else F.col(copies)
     key = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in by]))
     # three digits: BUCKETS buckets in the order of the keys
     keyed = rows.withColumn("__h", key).withColumn("__bucket", F.substring("__h", 1, 3))
-    counts = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))  # at most BUCKETS rows
+    counts = keyed.groupBy("__bucket").agg(F.sum(n).alias("__n"))  # at most BUCKETS rows
     ends = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = counts.select("__bucket", (F.sum("__n").over(ends) - F.col("__n")).alias("__start"), F.sum("__n").over(Window.partitionBy(F.lit(1))).alias(total))
-    within = Window.partitionBy("__bucket").orderBy("__h", *by)
-    numbered = keyed.withColumn("__i", F.row_number().over(within))
+    within = Window.partitionBy("__bucket").orderBy("__h", *by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = keyed.withColumn("__i", F.sum(n).over(within) - n)
     # the broadcast side has one row of three values per bucket: BUCKETS rows at any size of the data
     joined = numbered.join(F.broadcast(starts), "__bucket")
-    return joined.withColumn(number, F.col("__start") + F.col("__i") - 1).drop("__h", "__bucket", "__i", "__start")
+    return joined.withColumn(number, F.col("__start") + F.col("__i")).drop("__h", "__bucket", "__i", "__start")
 
 
 def place_of(row_number: Column, n_rows: Column, n_shards: int = 16, seed: int = 7) -> tuple[Column, Column]:
@@ -109,11 +115,18 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
 
     A null text has size 1 and the CRC of the empty string; null ids are ids like any other; repeated rows are
     separate rows of the permutation; an empty table gives no rows. ``grown_shard`` is null, as it belongs to
-    another law. Only id, length and checksums are shuffled, never texts; other columns are not read."""
+    another law. Only id, length and checksums are shuffled, never texts; other columns are not read. Rows with equal id and text are
+    numbered as one row with a count and made again from it, many of them in parts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("digest"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"))
     at, slot = place_of(F.col("row_number"), F.col("n_rows"), n_shards, seed)
-    placed = row_numbers(rows, ["id", "digest"])
+    kinds = rows.groupBy("id", "digest", "size", "crc").agg(F.count(F.lit(1)).alias("copies"))
+    first = stored(row_numbers(kinds, ["id", "digest"], copies="copies").drop("digest"), "shard-kinds")
+    begin = F.coalesce("part", F.lit(0)).cast("long") * PART_ROWS
+    again = lambda some: some.withColumn("k", F.explode(F.sequence(begin, F.least(begin + PART_ROWS, F.col("copies")) - 1))).withColumn("row_number", F.col("row_number") + F.col("k")).drop("k", "part")
+    few = first.filter(F.col("copies") <= PART_ROWS).withColumn("part", F.lit(None).cast("long"))
+    many = first.filter(F.col("copies") > PART_ROWS).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / PART_ROWS))))
+    placed = again(few).unionByName(again(many.repartition(shuffle_partitions(docs), "row_number", "part")))
     return placed.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), at.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("row_number").cast("long").alias("row_number"))
 
 

@@ -40,6 +40,22 @@ _RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_typ
 _RECORD_SQL = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
+#: Spark's names of stores that pyarrow knows by another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path) of a folder as Spark names it: local paths, file, hdfs, viewfs, s3 (s3a, s3n), gs and abfs."""
+    scheme, colon, rest = folder.partition("://")
+    if not colon:
+        scheme, rest = ("file", folder.removeprefix("file:")) if folder.startswith(("/", "file:")) else (folder.partition(":")[0], "")
+    known = f"{_SCHEMES.get(scheme, scheme)}://{rest}"
+    try:
+        return fs.FileSystem.from_uri(known)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"archives cannot be written to {folder}: no file system is known for {scheme}; spark.checkpoint.dir has to lie in a local or shared folder, HDFS, S3, GCS or Azure") from e
+
+
 def _line(value: str | None) -> str | None:
     """A header's value has no line breaks: they are percent-encoded."""
     return None if value is None else value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
@@ -99,7 +115,7 @@ def write_warc(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES, da
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = opened(folder)
         store.create_dir(path, recursive=True)
         out, name, at, n = None, None, 0, 0
         try:
@@ -129,7 +145,7 @@ def read_warc(index: DataFrame, folder: str, read_bytes: int = READ_BYTES, gap_b
     """The records that the rows of ``index`` name, by coalesced range reads; payload is null for revisits."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = opened(folder)
 
         def read(run: list[tuple]) -> pa.RecordBatch:
             file, start, end = run[0][0], run[0][1], run[-1][1] + run[-1][2]
@@ -153,10 +169,11 @@ def read_warc(index: DataFrame, folder: str, read_bytes: int = READ_BYTES, gap_b
 
 
 def archive_round_trip(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write all pages, read all records back: id_col, payload_bytes, payload_digest, record_type, refers_to, url.
+    """Write all pages, read all records back: id_col, payload_bytes, payload_digest, record_type, refers_to.
 
     A null html is an empty payload; a null id sorts below all ids and is written without a number; repeated rows
-    are separate records; those that repeat the response's id and payload are responses too. No rows give no archive."""
+    are separate records; those that repeat the response's id and payload are responses too. No rows give no archive.
+    Columns besides these three are not read, whatever their names; a payload of any length is one record and one read."""
     index = write_warc(mark_revisits(pages, min_revisit_bytes, id_col, url_col, html_col), folder)
     return read_warc(index, folder).select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
 

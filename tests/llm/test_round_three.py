@@ -183,3 +183,91 @@ def test_vectors_that_cannot_be_compared(spark):
         compressed(df, 4, 2)[0].collect()
     with pytest.raises(ValueError, match="equal parts"):
         compressed(df, 3, 2)
+
+
+# what earlier operators had open
+
+
+def test_equal_rows_are_dealt_out(spark):
+    from taskloom.llm import sharding
+
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text"), F.lit(1).alias("__n"), F.lit(2).alias("copies"))
+    out = sharding.shard(rows)
+    got = out.select("doc_id", "shard", "slot", "row_number").collect()
+    assert len(got) == 30_000 and sorted(r["row_number"] for r in got) == list(range(30_000))
+    assert len({(r["shard"], r["slot"]) for r in got}) == 30_000
+    # a third of all rows is one kind, and no task makes them all
+    assert out.groupBy(F.spark_partition_id()).agg(F.count_if(F.col("doc_id").isNull()).alias("n")).agg(F.max("n")).first()[0] < 9_000
+    kinds = sharding.row_numbers(spark.createDataFrame([(None, 5), (1, 2), (2, 1)], "id long, c long"), ["id"], copies="c").collect()
+    assert sorted((r["row_number"], r["c"]) for r in kinds)[0][0] == 0 and {r["n_rows"] for r in kinds} == {8}
+    ends = sorted((r["row_number"], r["row_number"] + r["c"]) for r in kinds)
+    assert [e[1] for e in ends[:-1]] == [e[0] for e in ends[1:]] and ends[-1][1] == 8
+
+
+def test_slices_do_not_go_by_the_order_of_rows(spark):
+    from taskloom.llm._common import join_owners
+
+    rows = spark.range(60_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).alias("k"))
+    owners = rows.groupBy("k").agg(F.max("id").alias("owner"), F.count(F.lit(1)).alias("n"))
+    wanted = {(r["id"], r["owner"]) for r in rows.join(owners, "k").collect()}
+    plan = join_owners(rows, owners, ["k"], "n")._jdf.queryExecution().analyzed().toString()
+    assert "monotonically" not in plan and "xxhash64" in plan
+    for order in ("id", F.desc("id"), F.rand(1)):
+        got = join_owners(rows.repartition(5).sortWithinPartitions(order), owners, ["k"], "n").collect()
+        assert len(got) == 60_000 and {(r["id"], r["owner"]) for r in got} == wanted
+
+
+def test_archives_lie_wherever_spark_writes(monkeypatch):
+    from pyarrow import fs
+
+    from taskloom.llm import warc
+
+    asked = []
+    real = fs.FileSystem.from_uri
+    monkeypatch.setattr(warc.fs, "FileSystem", type("FileSystem", (), {"from_uri": staticmethod(lambda u: asked.append(u) or (real(u) if u.startswith("file") or "://" not in u or u.startswith("dbfs") else (None, u)))}))
+    for folder in ("s3a://bucket/k", "s3n://bucket/k", "hdfs://host/k", "gs://bucket/k", "viewfs://store/k"):
+        warc.opened(folder)
+    assert asked == ["s3://bucket/k", "s3://bucket/k", "hdfs://host/k", "gs://bucket/k", "viewfs://store/k"]
+    for folder in ("/tmp/k", "file:/tmp/k", "file:///tmp/k"):
+        assert warc.opened(folder)[1] == "/tmp/k"
+    with pytest.raises(ValueError, match="dbfs"):
+        warc.opened("dbfs:/k")
+
+
+def test_warc_with_clashing_names_and_a_long_payload(spark):
+    import base64
+
+    from taskloom.llm import warc
+    from taskloom.llm._common import work_dir
+
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghij é") for _ in range(9 << 20))
+    rows = [(1, "u", long), (2, None, None), (3, "u", "x"), (4, "u", "x"), (None, "u", "y"), (5, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(7) for c in ("payload", "sha", "size", "owner", "n", "record_type", "refers_to")})
+    got = {r["page_id"]: r for r in warc.archive_round_trip(pages, work_dir(spark, "warc")).collect()}
+    sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    assert {i: (r["payload_bytes"], r["payload_digest"]) for i, r in got.items()} == {i: (len((t or "").encode()), sha(t)) for i, _, t in rows}
+    assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items()} == {1: ("response", None), 2: ("revisit", 5), 3: ("revisit", 4), 4: ("response", None), None: ("response", None), 5: ("response", None)}
+
+
+def test_chat_with_clashing_names(spark):
+    from taskloom.llm import chat
+
+    m = chat.train(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    rows = spark.createDataFrame([(1, 0, "user", "User: why\nso"), (1, 1, "assistant", "because"), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
+    plain = sorted(map(str, chat.parse(rows, m).collect()))
+    clash = rows.withColumns({c: F.lit("x") for c in ("given", "conv", "copy", "rep", "place", "segment", "line", "body", "state")})
+    assert sorted(map(str, chat.parse(clash, m).collect())) == plain and plain
+
+
+def test_long_texts_pass_the_other_operators(spark):
+    from taskloom.llm import bpe, langid, mixing, sharding
+
+    long = "the quick brown fox jumps over the lazy dog " * 30_000
+    rows = spark.createDataFrame([(i, f"{i} {long}" if i < 2 else "short text here", "en", f"s{i % 2}", 1) for i in range(10)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert mixing.mix(rows, total=3.0).filter(F.length("text") > 10**6).count() > 0
+    assert sorted(r["size"] for r in sharding.shard(rows).collect())[-1] == len(long) + 3
+    ranks, pattern = bpe.public_ranks()
+    out = {r["doc_id"]: r for r in bpe.tokenize(rows, ranks, pattern, with_ids=False).collect()}
+    assert out[0]["n_tokens"] > 200_000 and out[0]["decoded_sha256"] == hashlib.sha256(f"0 {long}".encode()).hexdigest()
+    assert langid.keep_identified(rows).count() == 10

@@ -63,3 +63,16 @@ def mergeable(sizes: dict[int, int], held: set[int], max_bytes: int, percent: in
     """Neighbouring pairs of small generations that no alias holds, to be compacted (first into second)."""
     small = sorted(g for g, n in sizes.items() if g not in held and n * 100 < max_bytes * percent)
     return list(zip(small[::2], small[1::2]))
+
+
+def packed(sizes: dict[int, int], held: set[int], most: int) -> list[list[int]]:
+    """Runs of neighbouring generations that fit together into ``most``; held ones stay alone and part their neighbours.
+
+    A run is as long as fits, so a run and what follows it never fit together, unless a held one lies between."""
+    runs: list[list[int]] = []
+    for g in sorted(sizes):
+        if runs and g not in held and runs[-1][-1] not in held and sum(sizes[x] for x in runs[-1]) + sizes[g] <= most:
+            runs[-1].append(g)
+        else:
+            runs.append([g])
+    return runs

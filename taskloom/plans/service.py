@@ -217,11 +217,26 @@ def generations_by_size(spark, sf_dir):
     t = files.stored(_tasks(spark, sf_dir, True), "folded")
     most, day = t.count() // 2, F.split_part("task_id", F.lit("___"), F.lit(2)).cast("int")
     for w in range(3):
-        store.append(t.filter(F.floor((day - 1) / 10) == w))
+        store.append(t.filter(F.floor((day - 1) / 10) == w), new=True)
         store.roll_over_if(rows=most)
     return store.tasks().select("task_id", "generation")
 
 
+@query(f"""{FOLDED}, d AS (SELECT task_id, (split_part(task_id, '___', 2)::INT - 1) // 6 AS w FROM t), n AS (SELECT w, count(*) AS n, (SELECT count(*) FROM t) // 2 AS most FROM d GROUP BY w),
+g AS (SELECT w, w AS first, n AS held FROM n WHERE w = 0 UNION ALL SELECT n.w, CASE WHEN g.held + n.n <= n.most THEN g.first ELSE n.w END, CASE WHEN g.held + n.n <= n.most THEN g.held ELSE 0 END + n.n FROM g JOIN n ON n.w = g.w + 1)
+SELECT d.task_id, (1 + max(g.w) OVER (PARTITION BY g.first))::INT AS generation FROM d JOIN g ON g.w = d.w""")
+def generations_packed(spark, sf_dir):
+    """A generation for each six days; neighbours with at most half of all tasks are brought together."""
+    store = TaskStore(spark, files.work_dir(spark, "tasks"), buckets=4)
+    t = files.stored(_tasks(spark, sf_dir, True), "folded")
+    day = F.split_part("task_id", F.lit("___"), F.lit(2)).cast("int")
+    for w in range(5):
+        store.append(t.filter(F.floor((day - 1) / 6) == w), new=True)
+        store.roll_over()
+    store.pack(t.count() // 2)
+    return store.tasks().select("task_id", "generation")
+
+
 @query(f"{FOLDED} SELECT task_id, status FROM t WHERE split_part(task_id, '___', 2)::INT % 5 = 0")
 def stored_by_ids(spark, sf_dir):
     """Some tasks of a compacted table and of parts that came after, found by their slots and pages."""

@@ -159,17 +159,19 @@ class TaskStore:
         writer = rows.withColumn("h", key_hash()).sortWithinPartitions(by, "h").write.mode("overwrite").option("parquet.page.row.count.limit", self.page_rows)
         writer.partitionBy(by).parquet(f"{self.path}/{folder}")
 
-    def append(self, tasks: DataFrame, version: int | None = None, batch: int | None = None) -> int:
+    def append(self, tasks: DataFrame, version: int | None = None, batch: int | None = None, new: bool = False) -> int:
         """Add parts of tasks; returns the version. A task that is stored stays in its generation, new ones go to the newest.
 
         A given ``version``, the newest one, is written again in place of itself. ``batch`` is a micro-batch's number. ``tasks`` is looked at more
-        than once, so it should be stored."""
+        than once, so it should be stored. ``new`` says that none of them is stored yet, as in a first load, and none is looked up."""
         version = version or self._next()
         tasks = tasks.select(*M.TASK.names)
-        base, parts = self.found(tasks, version - 1)
-        had = base.select(*KEY, "generation", "version").unionByName(parts.select(*KEY, "generation", "version"))
-        had = had.groupBy(*KEY).agg(F.min_by("generation", "version").alias("generation"))
-        rows = tasks.join(had, KEY, "left").withColumns({"generation": F.coalesce("generation", F.lit(self.generation())), "batch": F.lit(-1 if batch is None else batch).cast("long")})
+        rows = tasks.withColumn("generation", F.lit(None).cast("int"))
+        if not new:
+            base, parts = self.found(tasks, version - 1)
+            had = base.select(*KEY, "generation", "version").unionByName(parts.select(*KEY, "generation", "version"))
+            rows = tasks.join(had.groupBy(*KEY).agg(F.min_by("generation", "version").alias("generation")), KEY, "left")
+        rows = rows.withColumns({"generation": F.coalesce("generation", F.lit(self.generation())), "batch": F.lit(-1 if batch is None else batch).cast("long")})
         self._write(rows, f"parts/version={version}", "generation")
         waited = self.orphans(version - 1).select(*KEY)
         again = tasks.filter("orphan").select(*KEY).unionByName(tasks.select(*KEY).join(waited, KEY, "left_semi")).distinct()
@@ -217,6 +219,16 @@ class TaskStore:
         self._wait(version, stored(self.orphans(version - 1).select(*KEY), "waiting"))
         return version
 
+    def pack(self, rows: int, held: set[int] = frozenset()) -> list[list[int]]:
+        """Bring neighbouring generations that have ``rows`` tasks together at most into the newest of them; returns the runs that were.
+
+        The newest generation, which is being written, and ``held`` ones stay. Only what is brought together is rewritten."""
+        counts = self.tasks().filter(F.col("generation") < self.generation()).groupBy("generation").count()
+        runs = [r for r in lifecycle.packed({r["generation"]: r["count"] for r in counts.collect()}, set(held), rows) if len(r) > 1]  # a row per generation
+        for run in runs:
+            self.compact(run, lambda t, to=run[-1]: t.withColumn("generation", F.lit(to)))
+        return runs
+
     def tidy(self, most: int) -> int | None:
         """When more than ``most`` batches have come since their generations were last written anew, write these anew and delete what they
         replace. So the parts that a batch looks into stay few; a generation is as large as roll-overs let it be."""

@@ -82,3 +82,10 @@ def test_few_parts_stay(spark, tmp_path):
         store.append(plain_tasks(spark, 10 * i, 15), batch=i)
         store.tidy(2)
     assert len(store._versions()) <= 3 and store.tasks().count() == 55 and store.last_batch() == 4
+
+
+def test_neighbours_that_fit_are_packed():
+    from taskloom.operators.lifecycle import packed
+
+    assert packed({1: 3, 2: 3, 3: 5, 4: 9, 5: 1, 6: 1}, {5}, 8) == [[1, 2], [3], [4], [5], [6]]
+    assert packed({}, set(), 8) == [] and packed({1: 20, 2: 1, 4: 7}, set(), 8) == [[1], [2, 4]]

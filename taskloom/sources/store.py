@@ -29,7 +29,7 @@ KEY = ["env", "task_id"]
 _PART = T.StructType([*M.TASK, T.StructField("batch", T.LongType()), T.StructField("h", T.LongType()), T.StructField("version", T.IntegerType()), T.StructField("generation", T.IntegerType()), T.StructField("slot", T.IntegerType())])
 
 #: Ids up to this number are found by their hashes, so many in one scan; more of them by their slots.
-MOST_KEYS, KEYS_A_SCAN = 2048, 128
+MOST_KEYS, KEYS_A_SCAN = 512, 128
 
 
 def key_hash() -> Column:
@@ -108,13 +108,14 @@ class TaskStore:
             out = near.filter(tests[0]) if a == 0 else out.unionByName(near.filter(tests[0]))
         return out
 
-    def found(self, ids: DataFrame, version: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """``rows`` with one of ``ids`` (env, task_id), by their pages."""
-        return self._found(stored(ids.select(*KEY).distinct(), "asked"), version)
+    def found(self, ids: DataFrame, version: int | None = None, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """``rows`` with one of ``ids`` (env, task_id), by their pages; only the given columns are read."""
+        return self._found(stored(ids.select(*KEY).distinct(), "asked"), version, columns)
 
-    def _found(self, ids: DataFrame, version: int | None) -> tuple[DataFrame, DataFrame]:
+    def _found(self, ids: DataFrame, version: int | None, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         base, parts = self.rows(version)
-        return self._near(base, ids, True).join(ids, KEY, "left_semi"), self._near(parts, ids, False).join(ids, KEY, "left_semi")
+        # written once, as they are read more than once and the scans are many
+        return tuple(stored(self._near(rows, ids, slotted).join(ids, KEY, "left_semi").select(*(columns or rows.columns)), "found") for rows, slotted in ((base, True), (parts, False)))
 
     def tasks(self, version: int | None = None, ids: DataFrame | None = None) -> DataFrame:
         """All tasks, or those with one of ``ids`` (env, task_id), with their generation. Tasks without new parts are only read."""
@@ -168,9 +169,8 @@ class TaskStore:
         tasks = tasks.select(*M.TASK.names)
         rows = tasks.withColumn("generation", F.lit(None).cast("int"))
         if not new:
-            base, parts = self.found(tasks, version - 1)
-            had = base.select(*KEY, "generation", "version").unionByName(parts.select(*KEY, "generation", "version"))
-            rows = tasks.join(had.groupBy(*KEY).agg(F.min_by("generation", "version").alias("generation")), KEY, "left")
+            base, parts = self.found(tasks, version - 1, [*KEY, "generation", "version"])
+            rows = tasks.join(base.unionByName(parts).groupBy(*KEY).agg(F.min_by("generation", "version").alias("generation")), KEY, "left")
         rows = rows.withColumns({"generation": F.coalesce("generation", F.lit(self.generation())), "batch": F.lit(-1 if batch is None else batch).cast("long")})
         self._write(rows, f"parts/version={version}", "generation")
         waited = self.orphans(version - 1).select(*KEY)

@@ -108,3 +108,31 @@ def test_many_events_after_a_spot(spark):
     sums = fold._summed(e.withColumn("named_date", F.lit(None).cast("timestamp")))
     whole = {r["task_id"]: tuple(r) for r in fold._after_spots(e, sums).collect()}
     assert len(whole) == 40 and {r["task_id"]: tuple(r) for r in fold._after_spots(e, sums, 2).collect()} == whole
+
+
+def test_sums_are_hashed_not_sorted(spark):
+    """All sums have a fixed width, and what they point at is fetched in one more pass."""
+    from taskloom.operators import fold
+
+    rows = [
+        event("a___1", 2, M.START, 1, "first", "p"), event("a___1", 1, M.INFO, 0), event("a___1", 3, M.START, 1, "second", "q"),
+        event("c___1", 1, M.START, 1, "c", "p"), event("c___1", 2, M.START, 1, "other", "p"), event("b___1", 1, M.INFO, 0, None, None), event("b___1", 2, M.INFO, 0, "named", None),
+    ]
+    raw = spark.createDataFrame(rows, M.EVENT)
+    e = fold.prepared(raw).withColumn("named_date", F.lit(None).cast("timestamp"))
+    plan = fold._summed(e)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "HashAggregate" in plan
+    details = fold._details(e, fold._summed(e))
+    assert "SortAggregate" not in details._jdf.queryExecution().executedPlan().toString()
+    found = {r["task_id"]: (r["name"], r["parent_id"], r["status"], r["string"].get(M.REASON)) for r in fold.fold(raw).collect()}
+    # the first event of a task names it, if only by its id
+    assert found["a___1"] == ("a", "p", M.CORRUPTED, M.DIFFERENT_PARENT) and found["c___1"] == ("c", "p", M.CORRUPTED, M.STARTED_NAME)
+    assert found["b___1"] == ("b", None, M.PARTIAL_INFO, None)
+    without_env = fold.fold(raw.withColumn("env", F.lit(None).cast("string")), with_maps=False).filter("task_id = 'a___1'").first()
+    assert (without_env["name"], without_env["parent_id"], without_env["status"]) == ("a", "p", M.CORRUPTED)
+
+
+def test_special_numbers_survive(spark):
+    values = {"nan": float("nan"), "inf": float("inf"), "low": -float("inf"), "zero": -0.0, "tiny": 5e-324, "third": 1 / 3, "null": None}
+    got = fold(spark.createDataFrame([event("a___1", 1, M.START, 0, metrics=values)], M.EVENT)).first()["metric"]
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in values.items()}

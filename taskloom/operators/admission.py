@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import model as M
 from ..functions.normalize import name_of
+from .batches import by_size  # noqa: F401 (it is admission, too)
 
 
 def keep_named(events: DataFrame, keep_regex: str, enabled: bool = True) -> DataFrame:
@@ -69,35 +68,6 @@ def once_per_window(envelopes: DataFrame, id_col: str = "id", time: str = "recei
     return envelopes.filter(F.col(id_col).isNull()).unionByName(one)
 
 
-def by_size(events: DataFrame, max_size: int, size: Column, bucket: str, max_seconds: float | None = None, time: str = "time") -> DataFrame:
-    """Events with ``batch`` (from 0) within their queue ``bucket``, in the order of ``seq``.
-
-    Each batch starts empty and takes events until its size exceeds ``max_size`` (so it may do so by one event), or until
-    ``max_seconds`` have passed since its first event, as a client does that sends what it has. Where a batch ends
-    follows from where it began, so a queue is walked in order by one task, as a stream of rows: it has no bound on rows and
-    holds one batch of them at a time. Queues are dealt out to tasks."""
-    given = events.columns
-    extra = T.StructType([*events.schema, T.StructField("batch", T.LongType())])
-    limit = None if max_seconds is None else int(max_seconds * 1_000_000)
-    sized = events.withColumns({"_queue": F.struct(F.col(bucket)), "_size": F.coalesce(size.cast("long"), F.lit(0)), "_at": F.coalesce(F.unix_micros(time), F.lit(0)) if limit is not None else F.lit(0).cast("long")})
-
-    def walk(batches):
-        queue, number, total, began = None, 0, 0, 0
-        for rows in batches:
-            out = []
-            for q, n, at in zip(rows["_queue"].to_pylist(), rows["_size"].to_pylist(), rows["_at"].to_pylist()):
-                if q != queue:
-                    queue, number, total, began = q, 0, 0, at
-                elif total > max_size or (limit is not None and at - began > limit):
-                    number, total, began = number + 1, 0, at
-                total += n
-                out.append(number)
-            kept = rows.select(given)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int64())], [*kept.schema.names, "batch"])
-
-    return sized.repartition("_queue").sortWithinPartitions("_queue", "seq").mapInArrow(walk, extra)
-
-
 def heartbeats(events: DataFrame, name: str = M.HEARTBEAT) -> tuple[DataFrame, DataFrame]:
     """(client heartbeats, equal ones once; other events)."""
     is_beat = F.coalesce(F.col("name") == name, F.lit(False))

@@ -210,6 +210,16 @@ def batch_by_size(spark, sf_dir):
     return admission.by_size(e, 1000, F.length(F.col("text")["props"]) + 100, "client", 5 * 86400).select("seq", "batch")
 
 
+@query(f"""{S}, e AS (SELECT seq, time, row_number() OVER (ORDER BY seq) AS rn, sum(100 + length(props)) OVER (ORDER BY seq) - (100 + length(props)) AS filled FROM s),
+b AS (SELECT 0::BIGINT AS batch, 1::BIGINT AS rn, (SELECT filled FROM e WHERE rn = 1) AS filled, (SELECT time FROM e WHERE rn = 1) AS began
+  UNION ALL SELECT n.batch, n.rn, e.filled, e.time FROM (SELECT batch + 1 AS batch, (SELECT min(e.rn) FROM e WHERE e.rn > b.rn AND (e.filled - b.filled > 20000 OR e.time - b.began > INTERVAL 20 DAY)) AS rn FROM b) n JOIN e ON e.rn = n.rn)
+SELECT e.seq, max(b.batch)::BIGINT AS batch FROM e JOIN b ON b.rn <= e.rn GROUP BY e.seq""")
+def batch_one_queue(spark, sf_dir):
+    """All events in one queue, which is cut in many slices at once."""
+    e = logs.session_log(spark, sf_dir)
+    return admission.by_size(e, 20000, F.length(F.col("text")["props"]) + 100, "env", 20 * 86400, slice_rows=1024).select("seq", "batch")
+
+
 # the tree
 
 TREE = f"""WITH RECURSIVE n AS ({logs.TREE_SQL}),

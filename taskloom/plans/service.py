@@ -437,3 +437,21 @@ def stream_to_store(spark, sf_dir):
     run = ingest.stream(spark, f"{path}/in", store, f"{path}/check", dead=f"{path}/dead", reports=f"{path}/reports")
     run.awaitTermination()
     return store.tasks().select("env", "task_id", F.col("string")["last"].alias("last"), F.col("string")["n"].alias("n"))
+
+
+@query("""SELECT concat('order___', o_orderkey::VARCHAR) AS what, 1::BIGINT AS n FROM orders WHERE o_orderkey % 4 < 3
+UNION ALL SELECT concat('letters read ', a::VARCHAR), count(*) FROM orders, (VALUES (1), (2), (3)) v(a) WHERE o_orderkey % 4 = 3 OR o_orderkey % 4 = 2 AND a = 1 GROUP BY a""")
+def dead_letters_of_a_stream(spark, sf_dir):
+    """Lines that no envelope could be made of are mended and sent again through the stream: what is mended arrives once, the rest is read three times."""
+    path = files.work_dir(spark, "letters")
+    _lines(spark, sf_dir).select("value").write.text(f"{path}/in")
+    store = TaskStore(spark, f"{path}/store", buckets=4)
+    event = '{"@type":"InfoEvent","taskId":"order___$1","time":"2024-01-01T00:00:00Z"}'
+    mend = lambda line: F.regexp_replace(line, r'^\{"id":([0-9]+),"events":\[$', '{"id":"w$1","events":[' + event + "]}")
+    run = lambda: ingest.stream(spark, f"{path}/in", store, f"{path}/check", dead=f"{path}/dead").awaitTermination()
+    run()
+    while ingest.send_again(spark, f"{path}/dead", f"{path}/check", mend):
+        run()
+    letters = spark.read.schema(ingest.LETTER).json(f"{path}/dead/batch=*")
+    counted = letters.groupBy(F.concat(F.lit("letters read "), F.col("attempts").cast("string")).alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return store.tasks().groupBy(F.col("task_id").alias("what")).agg(F.count(F.lit(1)).alias("n")).unionByName(counted)

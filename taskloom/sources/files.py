@@ -46,8 +46,24 @@ def scratch(spark: SparkSession):
     finally:
         paths, _SCRATCH.paths = _SCRATCH.paths, before
         for path in paths:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            fs, p = _folder(spark, path)
+            fs.delete(p, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, path)
+    fs.mkdirs(p)
+
+
+def numbers_of(spark: SparkSession, path: str, key: str) -> set[int]:
+    """The numbers N of the complete folders ``key``=N below ``path``."""
+    fs, p = _folder(spark, f"{path.rstrip('/')}/{key}=*/_SUCCESS")
+    return {int(s.getPath().getParent().getName().partition("=")[2]) for s in fs.globStatus(p) or []}
 
 
 _MAP = T.MapType(T.StringType(), T.StringType())

@@ -162,19 +162,68 @@ def let_in(good: DataFrame, earlier: DataFrame, seconds: int = 10) -> DataFrame:
     return good.filter("id IS NULL").unionByName(good.filter("id IS NOT NULL").join(places, "place", "left_semi").select(*good.columns))
 
 
+#: A malformed line: ``malformed`` is the line as it came last, ``file`` where it first stood, ``letter`` its own id, ``attempts`` how often it was read.
+LETTER = "line string, malformed string, file string, reason string, attempts int, letter string, origin string, first_received timestamp"
+#: What comes along with a line that is sent again.
+_AGAIN = [("attempts", "int"), ("letter", "string"), ("origin", "string"), ("first_received", "timestamp")]
+#: How often a line is read at most.
+MOST_ATTEMPTS = 3
+
+
+def _again(checkpoint: str) -> str:
+    return f"{checkpoint.rstrip('/')}/again"
+
+
+def _letters(bad: DataFrame, number: int) -> DataFrame:
+    """Letters of micro-batch ``number``; given again, it gives the same letters."""
+    reason = F.when(F.length(F.trim("malformed")) == 0, "empty").when(~F.trim("malformed").rlike(r"^[\[{]"), "no object").otherwise("no envelope")
+    own = F.concat(F.lit(f"letter-{number}-"), F.col("place").cast("string"))
+    origin = F.coalesce("origin", "file")
+    return bad.select(
+        "malformed", origin.alias("file"), reason.alias("reason"), (F.coalesce("attempts", F.lit(0)) + 1).cast("int").alias("attempts"), F.coalesce("letter", own).alias("letter"), origin.alias("origin"), F.date_format("received", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("first_received")
+    )
+
+
+def send_again(spark: SparkSession, dead: str, checkpoint: str, mend: Callable[[Column], Column] | None = None, most: int = MOST_ATTEMPTS) -> list[int]:
+    """Send the stream's letters in ``dead`` again that were read fewer than ``most`` times; the micro-batches whose letters were sent.
+
+    ``mend`` makes a new line of an old one (a line that a new parser reads needs none). The stream with this ``checkpoint`` reads them with its next
+    micro-batches: those that are mended come in once, also if this is broken off and called again; others are letters anew with one more attempt.
+    Letters that were read ``most`` times stay where they are and are not sent. Each micro-batch's letters are sent once; a call finds what is
+    new by listing folders."""
+    again, line = _again(checkpoint), F.col("malformed")
+    sent = files.numbers_of(spark, again, "batch")
+    out = []
+    for number in sorted(files.numbers_of(spark, dead, "batch") - sent):
+        letters = spark.read.schema(LETTER).json(f"{dead.rstrip('/')}/batch={number}").filter(F.col("attempts") < most)
+        if letters.isEmpty():
+            files.make_folder(spark, f"{again}/batch={number}/_SUCCESS")  # done with, and nothing for the stream to read
+            continue
+        out.append(number)
+        letters = letters.withColumn("line", line if mend is None else mend(line))
+        letters.select("line", *[c for c, _ in _AGAIN[:3]], F.date_format("first_received", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("first_received")).write.mode("overwrite").json(f"{again}/batch={number}")
+    return out
+
+
 def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str, settings: Settings | None = None, dead: str | None = None, once: bool = True, files_per_batch: int = 100, max_age: str = "36500d", reports: str | None = None, parts: int = 64):
     """A query that reads envelope files below ``source`` and merges each micro-batch into ``store``.
 
     Envelopes with an id let in within ten seconds of file time are dropped, also when the files come out of order; all
     others get through. The ids let in, and the counts of a limit, are tables in ``checkpoint`` that span ``settings.remembers`` hours
     of file time: an envelope with an id whose file is older than that cannot be judged any more and goes to ``checkpoint``/late as it came.
-    Malformed lines all go to ``dead``. The store knows which micro-batch it merged last, so one that is replayed after a failure is merged once.
+    Malformed lines all go to ``dead``, each as a letter with its reason, origin and number of attempts; what ``send_again`` makes of them is a
+    second source of the same stream (a stream begun without ``dead`` cannot be given one later). The store knows which micro-batch it merged last, so one that is replayed after a failure is merged once.
     After more than ``parts`` batches the generations that they touched are written anew.
     Spark itself passes over files that are older than the newest one by more than ``max_age``."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", max_age).load(source)
-    rows = lines.select("value", F.col("_metadata.file_modification_time").alias("received"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    envelopes = files.envelopes_from_text(rows)
+    where = [F.col("_metadata.file_modification_time").alias("received"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
     settings, kept = settings or Settings(), checkpoint.rstrip("/")
+    rows = lines.select(F.col("value"), *where, *[F.lit(None).cast(t).alias(c) for c, t in _AGAIN])
+    if dead is not None:
+        files.make_folder(spark, again := _again(checkpoint))
+        letters = spark.readStream.schema(LETTER).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", max_age).json(f"{again}/batch=*")
+        rows = rows.unionByName(letters.select(F.col("line").alias("value"), *where, *[F.col(c) for c, _ in _AGAIN]))
+    envelopes = files.envelopes_from_text(rows)
     admitted = Recent(spark, f"{kept}/admitted", "id string, received timestamp", settings.remembers)
     counts = Recent(spark, f"{kept}/limits", "name string, period long, n long", settings.remembers)
 
@@ -184,8 +233,11 @@ def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str,
         with files.scratch(spark):
             # a split is read in order by one task, so this grows by one from line to line within it
             batch = numbered(files.stored(batch.withColumn("place", F.monotonically_increasing_id()), "micro-batch"))
+            # a letter counts from when its line first came, and one without an id has its own, so that none is let in twice
+            batch = batch.withColumns({"received": F.coalesce("first_received", "received"), "id": F.coalesce("id", "letter")})
             if dead is not None:
-                batch.filter("malformed IS NOT NULL").select("malformed", "file").write.mode("overwrite").json(f"{dead}/batch={number}")
+                _letters(batch.filter("malformed IS NOT NULL"), number).write.mode("overwrite").json(f"{dead}/batch={number}")
+            batch = batch.drop(*[c for c, _ in _AGAIN])
             good, hour = batch.filter("malformed IS NULL"), hour_of(F.col("received"))
             if (first := admitted.horizon(number)) is not None:
                 late = F.col("id").isNotNull() & (hour < first)

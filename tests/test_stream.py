@@ -3,6 +3,8 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from taskloom import model as M
 from taskloom.sources.store import TaskStore
 from taskloom.streaming import ingest
@@ -120,3 +122,29 @@ def test_generations_begin_in_the_stream(spark, tmp_path):
     # nothing that was stored on the way is left but what this test's own reads stored
     left = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))) - before
     assert not [x for x in left if not x.startswith(("asked", "found"))], left
+
+
+def test_dead_letters_are_sent_again(spark, tmp_path):
+    store = TaskStore(spark, f"file://{tmp_path}/store", buckets=2)
+    dead, check = f"file://{tmp_path}/dead", f"file://{tmp_path}/check"
+    broken = json.dumps(wrapped("w2", "b___1"))[:-1]  # lacks its last brace
+    bare = json.dumps(wrapped(None, "c___1", M.SPOT)["events"])[:-1] + "}"
+    put(tmp_path / "in", "a", T0, wrapped("w1", "a___1"), broken, broken, bare, "nonsense", "")
+    mend = lambda line: F.when(F.startswith(line, F.lit("[")), F.concat(F.rtrim(line, F.lit("}")), F.lit("}]"))).when(F.startswith(line, F.lit("{")), F.concat(line, F.lit("}"))).otherwise(line)
+    sent = lambda: ingest.send_again(spark, dead, check, mend)
+    assert sorted(run(spark, tmp_path, store)) == ["a___1"]
+    assert sent() == [0] and sent() == []
+    # what was broken off is written anew, and so read twice
+    os.rename(tmp_path / "check" / "again" / "batch=0" / "_SUCCESS", tmp_path / "check" / "again" / "gone")
+    out = run(spark, tmp_path, store)
+    assert sorted(out) == ["a___1", "b___1", "c___1"]
+    assert sent() == [0, 1]
+    assert sorted(run(spark, tmp_path, store)) == ["a___1", "b___1", "c___1"]
+    rounds = 0
+    while sent():
+        out, rounds = run(spark, tmp_path, store), rounds + 1
+    assert rounds == 1 and sorted(out) == ["a___1", "b___1", "c___1"] and out["b___1"]["status"] == M.UNTERMINATED
+    letters = spark.read.json(f"{dead}/batch=*").collect()
+    assert max(r["attempts"] for r in letters) == 3
+    assert {r["malformed"] for r in letters if r["attempts"] == 3} == {"nonsense", ""}
+    assert {r["reason"] for r in letters} == {"no object", "no envelope", "empty"} and {r["origin"].rsplit("/", 1)[1] for r in letters} == {"a.json"}

@@ -16,6 +16,22 @@ def heartbeat_windows(events: DataFrame, time: str = "time", value: str = "value
     return events.groupBy(*(by or []), w).agg(F.count(F.lit(1)).alias("amount"), F.avg(value).alias("avg_value"), F.max(value).alias("max_value")).select(*(by or []), F.col("window.start").alias("period_start"), "amount", "avg_value", "max_value")
 
 
+def heartbeat_sums(beats: DataFrame, metrics: list[str], period: str = "1 minute") -> DataFrame:
+    """env, period_start, metric, amount, sum, max of client heartbeats (``metrics`` as JSON): what parts of them add up to.
+
+    A beat without a metric does not count for it."""
+    values = F.from_json("metrics", "map<string,double>")
+    each = beats.select("env", F.window("time", period)["start"].alias("period_start"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), values[m].alias("value")) for m in metrics])).alias("m"))
+    each = each.select("env", "period_start", "m.*").filter("value IS NOT NULL")
+    return each.groupBy("env", "period_start", "metric").agg(F.count(F.lit(1)).alias("amount"), F.sum("value").alias("sum"), F.max("value").alias("max"))
+
+
+def merged_sums(sums: DataFrame) -> DataFrame:
+    """env, period_start, metric, amount, avg_value, max_value of parts, whenever they came."""
+    whole = sums.groupBy("env", "period_start", "metric").agg(F.sum("amount").alias("amount"), F.sum("sum").alias("sum"), F.max("max").alias("max_value"))
+    return whole.select("env", "period_start", "metric", "amount", (F.col("sum") / F.col("amount")).alias("avg_value"), "max_value")
+
+
 def batch_report(events: DataFrame, batch: str) -> DataFrame:
     """Per batch: events, tasks, parents asked for, first and last time, and the time between in ms."""
     return events.groupBy(batch).agg(

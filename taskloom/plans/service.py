@@ -455,3 +455,23 @@ def dead_letters_of_a_stream(spark, sf_dir):
     letters = spark.read.schema(ingest.LETTER).json(f"{path}/dead/batch=*")
     counted = letters.groupBy(F.concat(F.lit("letters read "), F.col("attempts").cast("string")).alias("what")).agg(F.count(F.lit(1)).alias("n"))
     return store.tasks().groupBy(F.col("task_id").alias("what")).agg(F.count(F.lit(1)).alias("n")).unionByName(counted)
+
+
+@query("""SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS env, epoch_ms(date_trunc('hour', ts)) // 1000 AS period_start, count(*) AS amount, sum(event_id % 1000)::DOUBLE / count(*) AS avg_value, max(event_id % 1000)::DOUBLE AS max_value
+FROM events GROUP BY ALL""")
+def heartbeats_of_a_stream(spark, sf_dir):
+    """Client heartbeats through the stream, those of the later days first: each hour's figures, to which late beats add."""
+    path = files.work_dir(spark, "beats")
+    e = logs.table(spark, sf_dir, "events")
+    at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    beat = F.struct(
+        F.lit(M.SPOT).alias("@type"), F.lit(M.HEARTBEAT).alias("name"), F.concat(F.lit("beat___"), F.col("event_id").cast("string")).alias("taskId"), at.alias("time"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("env"),
+        F.create_map(F.lit("client"), F.col("event_id").cast("string")).alias("strings"), F.create_map(F.lit("submitAmount"), (F.col("event_id") % 1000).cast("double")).alias("metrics"),
+    )
+    lines = e.select(F.day("ts").alias("day"), F.to_json(F.struct(F.concat(F.lit("w"), F.col("event_id").cast("string")).alias("id"), F.array(beat).alias("events"))).alias("value"))
+    store = TaskStore(spark, f"{path}/store", buckets=2)
+    for part in ("day > 15", "day <= 15"):
+        lines.filter(part).select("value").write.mode("append").text(f"{path}/in")
+        ingest.stream(spark, f"{path}/in", store, f"{path}/check", ingest.Settings(beat_period="1 hour"), reports=f"{path}/reports").awaitTermination()
+    found = ingest.heartbeats_of(spark, f"{path}/reports").filter("metric = 'submitAmount'")
+    return found.select("env", F.unix_seconds("period_start").alias("period_start"), "amount", "avg_value", "max_value")

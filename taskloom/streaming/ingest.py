@@ -26,6 +26,9 @@ class Settings:
     version: str | None = None
     suffix: str = M.ID_SUFFIX
     rules: list = field(default_factory=list)
+    #: What of client heartbeats is summed up, and over which periods of their own time.
+    beat_metrics: list[str] = field(default_factory=lambda: ["submitAmount", "avgSubmitDuration", "maxSubmitDuration"])
+    beat_period: str = "1 minute"
     #: Hours of file time over which a stream remembers envelope ids and counts of the limit.
     remembers: int = 24 * 90
     #: When new tasks go to the next generation: more rows, bytes or days than this in the newest one.
@@ -123,7 +126,10 @@ def ingest_batch(
         before = None if version is None else version - 1
         version = store.append(files.stored(enriched(tasks, store.orphans(before), lambda ids: store.tasks(before, ids)), "batch-enriched"), version, batch)
         if reports is not None:
+            beats = files.stored(beats, "batch-beats")
             beats.write.mode("overwrite").json(f"{reports}/heartbeats/version={version}")
+            # sums by version, so a batch given again takes its own place and late beats count; ``heartbeats_of`` adds them up
+            telemetry.heartbeat_sums(beats, settings.beat_metrics, settings.beat_period).write.mode("overwrite").parquet(f"{reports}/heartbeat_sums/version={version}")
             if notes:
                 spark.createDataFrame(notes, plugins.REPORT).coalesce(1).write.mode("overwrite").json(f"{reports}/plugins/version={version}")
             about = telemetry.batch_report(events.withColumn("version", F.lit(version)), "version").drop("version").withColumn("took_ms", F.lit(int((time.time() - began) * 1000)))
@@ -132,6 +138,12 @@ def ingest_batch(
     return version
 
 
+def heartbeats_of(spark: SparkSession, reports: str) -> DataFrame:
+    """env, period_start, metric, amount, avg_value, max_value of all heartbeats that came to ``reports``, late ones as well."""
+    parts = spark.read.schema("env string, period_start timestamp, metric string, amount long, sum double, max double").parquet(f"{reports.rstrip('/')}/heartbeat_sums/version=*")
+    return telemetry.merged_sums(parts)
+
+
 def numbered(batch: DataFrame) -> DataFrame:
     """``place`` in the order of arrival, without gaps: files by time and name, and lines by their place in the file.
 

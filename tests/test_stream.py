@@ -148,3 +148,17 @@ def test_dead_letters_are_sent_again(spark, tmp_path):
     assert max(r["attempts"] for r in letters) == 3
     assert {r["malformed"] for r in letters if r["attempts"] == 3} == {"nonsense", ""}
     assert {r["reason"] for r in letters} == {"no object", "no envelope", "empty"} and {r["origin"].rsplit("/", 1)[1] for r in letters} == {"a.json"}
+
+
+def test_heartbeats_add_up_over_batches(spark, tmp_path):
+    store, reports = TaskStore(spark, f"file://{tmp_path}/store", buckets=2), f"file://{tmp_path}/reports"
+    beat = lambda i, at, **m: wrapped(f"w{i}", f"beat___{i}", M.SPOT, name=M.HEARTBEAT, env="prod", metrics=m) | {"events": [wrapped(None, f"beat___{i}", M.SPOT, name=M.HEARTBEAT, env="prod", metrics=m)["events"][0] | {"time": at}]}
+    put(tmp_path / "in", "a", T0, beat(0, "2024-01-01T00:05:10Z", submitAmount=4, other=9), beat(1, "2024-01-01T00:05:50Z", submitAmount=8), wrapped("t", "a___1"))
+    put(tmp_path / "in", "b", T0 + 60, beat(2, "2024-01-01T00:05:00Z", submitAmount=3, maxSubmitDuration=7), beat(3, "2024-01-01T00:06:00Z"))  # late for its minute; and one without figures
+    put(tmp_path / "in", "c", T0 + 120, wrapped("u", "b___1"))
+    q = ingest.stream(spark, f"file://{tmp_path}/in", store, f"file://{tmp_path}/check", files_per_batch=1, reports=reports)
+    q.awaitTermination(200)
+    assert q.exception() is None
+    out = {(r["env"], r["period_start"].minute, r["metric"]): (r["amount"], r["avg_value"], r["max_value"]) for r in ingest.heartbeats_of(spark, reports).collect()}
+    assert out == {("prod", 5, "submitAmount"): (3, 5.0, 8.0), ("prod", 5, "maxSubmitDuration"): (1, 7.0, 7.0)}
+    assert sorted(r["task_id"] for r in store.tasks().collect()) == ["a___1", "b___1"]

@@ -288,6 +288,16 @@ def filtered_by_ids(spark, sf_dir):
     return found.select("task_id", "status")
 
 
+@query(f"{FOLDED} SELECT task_id, CASE WHEN status = 'SUCCESS' THEN 3 WHEN status = 'ERROR' THEN 2 ELSE 1 END::BIGINT AS documents FROM t WHERE task_id IN (SELECT task_id FROM s WHERE event_type = 'click')")
+def documents_of_ids(spark, sf_dir):
+    """How many documents each of many ids has over all generations."""
+    t = _tasks(spark, sf_dir).drop("generation")
+    n = F.when(F.col("status") == M.SUCCESS, 3).when(F.col("status") == M.ERROR, 2).otherwise(1)
+    t = t.withColumn("generation", F.explode(F.sequence(F.lit(1), n)))
+    ids = logs.session_log(spark, sf_dir).filter(F.col("context")["last_type"] == "click").select("task_id")
+    return lookup.by_ids(t, ids).groupBy("task_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @query(f"{S} SELECT task_id, arg_max(k, seq)::VARCHAR AS k, 1 AS keys FROM s GROUP BY task_id")
 def field_projection(spark, sf_dir):
     """One value of a map by its name, and the map without it; whole numbers are shown without a point."""

@@ -52,24 +52,40 @@ def _tops(nodes: DataFrame) -> DataFrame:
     return now.filter("up IS NULL AND NOT lost").select("task_id", "top", "depth")
 
 
-def resolve(nodes: DataFrame, context: str = "ctx") -> DataFrame:
-    """task_id, parent_id, name, primary_id, parents_path, depth, ctx, orphan from started tasks (task_id, parent_id, name and a
-    map of their own context; ids unique).
-
-    A root is its own primary and has no path. Below a root, the path is the parent's path and name, the primary is the
-    root, and keys of the context that a task lacks come from its nearest ancestor that has them. Others are orphans."""
+def _resolved(nodes: DataFrame) -> DataFrame:
+    """task_id, primary_id, depth, name, ctx, path (empty for roots) of those nodes that reach a root."""
     tops = _tops(nodes)
     depths = tops.agg(F.max("depth")).first()[0] or 0
-    tree = nodes.join(tops, "task_id").select("task_id", F.col("parent_id").alias("up"), F.col("top").alias("primary_id"), "depth", "name", F.col(context).alias("ctx"), F.array().cast("array<string>").alias("path"))
+    tree = nodes.join(tops, "task_id").select("task_id", F.col("parent_id").alias("up"), F.col("top").alias("primary_id"), "depth", "name", "ctx", F.array().cast("array<string>").alias("path"))
     tree = stored(tree, "paths")
-    # payload doubles in the same way: a node's segment covers its next 2^k ancestors
+    # payload doubles in the same way: a node's segment covers its next 2^k ancestors. Those whose segment ends at the root are not joined
     for _ in range(math.ceil(math.log2(depths + 1)) if depths else 0):
         far = tree.select(F.col("task_id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("name").alias("name2"), F.col("ctx").alias("ctx2"))
-        joined = tree.join(far, "up", "left")
-        tree = joined.select("task_id", F.col("up2").alias("up"), "primary_id", "depth", "name", F.when(F.col("name2").isNull(), F.col("ctx")).otherwise(merge_maps(F.col("ctx2"), F.col("ctx"))).alias("ctx"), F.when(F.col("name2").isNull(), F.col("path")).otherwise(F.concat("path2", F.array("name2"), "path")).alias("path"))
-        tree = stored(tree, "paths")
-    found = tree.select("task_id", "primary_id", F.when(F.col("depth") > 0, F.col("path")).alias("parents_path"), "depth", F.col("ctx").alias("full"))
-    return nodes.join(found, "task_id", "left").select("task_id", "parent_id", "name", "primary_id", "parents_path", "depth", F.coalesce("full", context).alias("ctx"), F.when(F.col("depth").isNull(), F.lit(True)).alias("orphan"))
+        moved = tree.filter("up IS NOT NULL").join(far, "up").select("task_id", F.col("up2").alias("up"), "primary_id", "depth", "name", merge_maps(F.col("ctx2"), F.col("ctx")).alias("ctx"), F.concat("path2", F.array("name2"), "path").alias("path"))
+        tree = stored(tree.filter("up IS NULL").unionByName(moved), "paths")
+    return tree.drop("up")
+
+
+def resolve(nodes: DataFrame, context: str = "ctx", carried: tuple[str, ...] = ()) -> DataFrame:
+    """task_id, parent_id, name, primary_id, parents_path, depth, ctx, orphan (and columns to be ``carried`` along) from started tasks
+    (task_id, parent_id, name and a map of their own context; ids unique).
+
+    A root is its own primary and has no path. Below a root, the path is the parent's path and name, the primary is the
+    root, and keys of the context that a task lacks come from its nearest ancestor that has them. Others are orphans.
+
+    Only nodes that have children go through the doubling; most nodes of a wide tree have none, and all take what they inherit from their
+    parent in one join, as roots do without any."""
+    nodes = nodes.select("task_id", "parent_id", "name", F.col(context).alias("ctx"), *carried)
+    below = nodes.filter("parent_id IS NOT NULL")
+    parents = below.select(F.col("parent_id").alias("task_id")).distinct()
+    inner = stored(nodes.drop(*carried).join(parents, "task_id", "left_semi"), "inner")
+    up = _resolved(inner).select(F.col("task_id").alias("parent_id"), F.col("primary_id").alias("top"), F.col("depth").alias("level"), F.col("name").alias("name2"), F.col("ctx").alias("ctx2"), "path", F.lit(True).alias("there"))
+    joined = below.join(up, "parent_id", "left").select(
+        "task_id", "parent_id", "name", F.col("top").alias("primary_id"), F.concat("path", F.when(F.col("there"), F.array("name2"))).alias("parents_path"), (F.col("level") + 1).alias("depth"),
+        F.when(F.col("there"), merge_maps(F.col("ctx2"), F.col("ctx"))).otherwise(F.col("ctx")).alias("ctx"), F.when(F.col("there").isNull(), True).alias("orphan"), *carried,
+    )
+    own = {"primary_id": F.col("task_id"), "parents_path": F.lit(None).cast("array<string>"), "depth": F.lit(0).cast("long"), "orphan": F.lit(None).cast("boolean")}
+    return nodes.filter("parent_id IS NULL").withColumns(own).select(*joined.columns).unionByName(joined)
 
 
 def adopt(stored_tasks: DataFrame, batch: DataFrame, context: str = "ctx") -> DataFrame:
@@ -77,5 +93,4 @@ def adopt(stored_tasks: DataFrame, batch: DataFrame, context: str = "ctx") -> Da
     whole are adopted (orphan false), down to their last descendants."""
     old = stored_tasks.select("task_id", "parent_id", "name", F.col(context).alias("ctx"), F.col("orphan").alias("was"))
     new = batch.select("task_id", "parent_id", "name", F.col(context).alias("ctx"), F.lit(None).cast("boolean").alias("was")).join(old.select("task_id"), "task_id", "left_anti")
-    both = old.unionByName(new)
-    return resolve(both).join(both.select("task_id", "was"), "task_id").withColumn("orphan", F.when(F.col("orphan"), True).when(F.col("was"), False).otherwise(F.when(F.col("was").isNotNull(), F.col("was")))).drop("was")
+    return resolve(old.unionByName(new), carried=("was",)).withColumn("orphan", F.when(F.col("orphan"), True).when(F.col("was"), False).otherwise(F.when(F.col("was").isNotNull(), F.col("was")))).drop("was")

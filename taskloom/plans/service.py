@@ -137,6 +137,7 @@ def trees_by_environment(spark, sf_dir):
 def _as_tasks(nodes: DataFrame) -> DataFrame:
     """Started tasks from nodes of a tree."""
     has = {"env": F.lit("default"), "task_id": F.col("task_id"), "name": F.col("name"), "status": F.lit(M.UNTERMINATED), "parent_id": F.col("parent_id"), "task_begin": _now(), "ctx": F.col("ctx")}
+    has |= {c: F.col(c) for c in ("primary_id", "parents_path", "orphan") if c in nodes.columns}
     return nodes.select(*[has.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in M.TASK])
 
 
@@ -152,8 +153,7 @@ def adopted_with_a_batch(spark, sf_dir):
     nodes = logs.tree_nodes(spark, sf_dir)
     late = F.startswith("task_id", F.lit("customer"))
     first = hierarchy.resolve(nodes.filter(~late))
-    known = _as_tasks(first).drop("primary_id", "parents_path", "orphan").join(first.select("task_id", "primary_id", "parents_path", "orphan"), "task_id").select(*M.TASK.names)
-    known = files.stored(known, "known")
+    known = files.stored(_as_tasks(first), "known")
     out = ingest.enriched(_as_tasks(nodes.filter(late)), known.filter("orphan"), lambda ids: known.join(ids, ["env", "task_id"], "left_semi"))
     return out.select("task_id", "primary_id", F.array_join("parents_path", ">").alias("path"), "orphan")
 

@@ -50,18 +50,18 @@ def fold_batch(events: DataFrame, settings: Settings, now: Column, limited: Call
 
 
 def below(waiting: DataFrame, started: DataFrame) -> DataFrame:
-    """Of the waiting tasks (with ``node`` and ``up``) those below a started one (``node``): level by level, and only by what the last level brought.
+    """``node`` of the waiting tasks (with ``node`` and ``up``) below a started one (``node``): level by level, and only by what the last level brought.
 
-    Others keep waiting, whatever the batch has; a level costs a join of what waits with the new ids."""
+    Others keep waiting, whatever the batch has; a level costs a join of the ids that still wait with the new ones."""
     reached, fresh = [], started
-    left = waiting
+    left = waiting.filter("up IS NOT NULL").select("node", "up")
+    out = left.select("node").filter("false")
     while True:
-        hit = files.stored(left.join(fresh.select(F.col("node").alias("up")).distinct(), "up", "left_semi"), "below")
-        if hit.isEmpty():
+        met = files.stored(left.join(fresh.select(F.col("node").alias("up"), F.lit(True).alias("met")).distinct(), "up", "left"), "below")
+        left, fresh = met.filter("met IS NULL").select("node", "up"), met.filter("met")
+        if fresh.isEmpty():
             break
-        reached.append(hit)
-        left, fresh = left.join(hit.select("node"), "node", "left_anti"), hit
-    out = waiting.filter("false")
+        reached.append(fresh.select("node"))
     for hit in reached:
         out = out.unionByName(hit)
     return out
@@ -74,32 +74,36 @@ def enriched(tasks: DataFrame, waiting: DataFrame, lookup: Callable[[DataFrame],
 
     Everything goes by environment and id: equal ids in two environments are two trees. Of the stored tasks only orphans below the batch's tasks and
     the parents that are asked for take part; a stored parent that is no orphan brings its whole path, so the tree
-    never has to be walked above it."""
+    never has to be walked above it. Who takes part is found by ids alone; what else a task has travels once to them and twice through the tree."""
     ids = {"node": hierarchy.scoped("task_id"), "up": hierarchy.scoped("parent_id")}
     tasks = tasks.withColumns(ids)
-    started = tasks.filter(F.col("status").isin(M.UNTERMINATED, M.SUCCESS, M.ERROR, M.CORRUPTED))
-    waiting = waiting.filter(F.col("status").isin(M.UNTERMINATED, M.SUCCESS, M.ERROR)).select(*M.TASK.names).withColumns(ids)
-    waiting = files.stored(below(waiting, started.select("node")), "batch-waiting")
-    nodes = lambda df, was: df.select(F.col("node").alias("task_id"), F.col("up").alias("parent_id"), "name", "ctx", was.cast("boolean").alias("was"))
-    old = waiting.join(started.select("node"), "node", "left_anti")
-    nodes = files.stored(nodes(started, F.lit(None)).unionByName(nodes(old, F.col("orphan"))), "batch-nodes")
+    is_started = F.col("status").isin(M.UNTERMINATED, M.SUCCESS, M.ERROR, M.CORRUPTED)
+    waiting = waiting.filter(F.col("status").isin(M.UNTERMINATED, M.SUCCESS, M.ERROR)).withColumns(ids).select("node", "up", "name", "ctx", F.col("orphan").alias("was"))
+    # a waiting task that the batch starts is the batch's; of one that the batch brings a part of, the part takes what is inherited
+    here = tasks.select("node", F.coalesce(is_started, F.lit(False)).alias("anew"), F.lit(True).alias("mine"))
+    chosen = below(waiting, tasks.filter(is_started).select("node")).join(here, "node", "left").filter("NOT coalesce(anew, false)").select("node", F.coalesce("mine", F.lit(False)).alias("mine"))
+    old = waiting.join(chosen, "node")
+    new = tasks.filter(is_started).select("node", "up", "name", "ctx", F.lit(None).cast("boolean").alias("was"), F.lit(True).alias("mine"))
+    nodes = files.stored(new.unionByName(old.select(*new.columns)).withColumnsRenamed({"node": "task_id", "up": "parent_id"}), "batch-nodes")
     # stored parents that have a root stand in as roots of their own and lend what they know
-    asked = nodes.select(F.col("parent_id").alias("node")).distinct().join(nodes.select(F.col("task_id").alias("node")), "node", "left_anti")
-    known = lookup(asked.filter("node IS NOT NULL").select(F.col("node.env").alias("env"), F.col("node.id").alias("task_id"))).filter("NOT coalesce(orphan, false)")
+    asked = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("node")).distinct().join(nodes.select(F.col("task_id").alias("node")), "node", "left_anti")
+    asked = files.stored(asked.select(F.col("node.env").alias("env"), F.col("node.id").alias("task_id")), "batch-asked")
+    known = lookup(asked).filter("NOT coalesce(orphan, false)")
     lend = files.stored(known.withColumns(ids).select(F.col("node").alias("task_id"), "name", "ctx", "primary_id", "parents_path"), "batch-parents")
-    tree = hierarchy.resolve(nodes.drop("was").unionByName(lend.select("task_id", F.lit(None).cast(nodes.schema["parent_id"].dataType).alias("parent_id"), "name", "ctx")))
+    lent = {"parent_id": F.lit(None).cast(nodes.schema["parent_id"].dataType), "was": F.lit(None).cast("boolean"), "mine": F.lit(None).cast("boolean")}
+    tree = hierarchy.resolve(nodes.unionByName(lend.select("task_id", "name", "ctx").withColumns(lent).select(*nodes.columns)), carried=("was", "mine")).filter("mine IS NOT NULL")
     top = lend.select(F.col("task_id").alias("primary_id"), F.col("primary_id").alias("root2"), F.col("parents_path").alias("path2"), F.lit(True).alias("lent"))
-    tree = tree.join(nodes.select("task_id", "was"), "task_id").join(top, "primary_id", "left")
+    tree = tree.join(top, "primary_id", "left")
     path = F.when(F.col("lent"), F.concat(F.coalesce("path2", F.array().cast("array<string>")), "parents_path")).otherwise(F.col("parents_path"))
     tree = tree.select(
-        F.col("task_id").alias("node"), F.when(F.col("lent"), F.coalesce("root2", "primary_id.id")).otherwise(F.col("primary_id.id")).alias("t_primary"), path.alias("t_path"), F.col("ctx").alias("t_ctx"), F.when(F.col("orphan"), True).when(F.col("was"), False).alias("t_orphan")
+        F.col("task_id").alias("node"), F.col("parent_id").alias("t_up"), "mine", "was", F.when(F.col("lent"), F.coalesce("root2", "primary_id.id")).otherwise(F.col("primary_id.id")).alias("t_primary"), path.alias("t_path"), F.col("ctx").alias("t_ctx"), F.when(F.col("orphan"), True).when(F.col("was"), False).alias("t_orphan")
     )
-    joined = tasks.join(tree, "node", "left")
+    tree = files.stored(tree, "batch-tree")
+    joined = tasks.join(tree.filter("mine").drop("mine", "was", "t_up"), "node", "left")
     out = joined.withColumns({"primary_id": F.coalesce("t_primary", "primary_id"), "parents_path": F.coalesce("t_path", "parents_path"), "ctx": F.coalesce("t_ctx", "ctx"), "orphan": F.coalesce("t_orphan", "orphan")}).select(*M.TASK.names)
-    adopted = waiting.join(tree.filter("NOT t_orphan"), "node").join(tasks.select("node"), "node", "left_anti")
     # an adopted task only brings what it inherits: as a part without news it leaves status, times and names alone
-    brings = {"env": F.col("env"), "task_id": F.col("task_id"), "parent_id": F.col("parent_id"), "primary_id": F.col("t_primary"), "parents_path": F.col("t_path"), "orphan": F.lit(False), "ctx": F.col("t_ctx")}
-    inherits = adopted.select(*[brings.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in M.TASK])
+    brings = {"env": F.col("node.env"), "task_id": F.col("node.id"), "parent_id": F.col("t_up.id"), "primary_id": F.col("t_primary"), "parents_path": F.col("t_path"), "orphan": F.lit(False), "ctx": F.col("t_ctx")}
+    inherits = tree.filter("NOT mine AND NOT t_orphan").select(*[brings.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in M.TASK])
     return out.unionByName(inherits)
 
 

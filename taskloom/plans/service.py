@@ -358,12 +358,14 @@ def dead_letter_replay(spark, sf_dir):
 
 
 def _client_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that clients emit, one client per task of Spark: for each customer a visit with a call that fails for some, a spot and a
-    statement without a task. ``value``: an event as JSON."""
+    """Events that clients emit: for each customer a visit with a call that fails for some, a spot and a statement without a task.
+    ``value``: an event as JSON; ``seq_base``: its place, which grows within a customer.
+
+    Emitting takes far more time than reading, so customers are dealt out to as many tasks as a shuffle has, however few files hold them."""
 
     def emit(batches):
         for batch in batches:
-            out = []
+            out, at = [], []
             for key, segment in zip(batch["c_custkey"].to_pylist(), batch["c_mktsegment"].to_pylist()):
                 ticks = iter(range(100))
                 sink = StatisticsSink(MemorySink())
@@ -387,20 +389,25 @@ def _client_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                 tracer.string("lost", key)
                 tracer.heartbeat(sink)
                 out += [json.dumps(x | {"strings": x["strings"] | {"customer_": str(key)}}) for x in sink.sink.events]
-            yield pa.RecordBatch.from_pydict({"value": out}, schema=pa.schema([("value", pa.string())]))
+                at += [key * 100 + i for i in range(len(sink.sink.events))]
+            yield pa.RecordBatch.from_pydict({"value": out, "seq_base": at}, schema=pa.schema([("value", pa.string()), ("seq_base", pa.int64())]))
 
-    return logs.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").mapInArrow(emit, "value string")
+    customers = logs.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return customers.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey").mapInArrow(emit, "value string, seq_base long")
 
 
-def _client_tasks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(tasks with roots and inherited context, heartbeats)."""
+def _client_events(spark, sf_dir) -> DataFrame:
     emitted = files.stored(_client_rows(spark, sf_dir), "emitted")  # ids are drawn, so they are drawn once
-    lines = emitted.select(F.concat(F.lit('{"events":['), "value", F.lit("]}")).alias("value"), F.monotonically_increasing_id().alias("seq_base"))
-    events = files.stored(files.events_of(files.envelopes_from_text(lines).withColumn("seq_base", F.col("seq_base") % (1 << 33))), "events")
-    tasks, beats, _ = ingest.fold_batch(events, ingest.Settings(), _now())
+    lines = emitted.select(F.concat(F.lit('{"events":['), "value", F.lit("]}")).alias("value"), "seq_base")
+    return files.stored(files.events_of(files.envelopes_from_text(lines)), "events")
+
+
+def _client_tasks(spark, sf_dir) -> DataFrame:
+    """Tasks with roots and inherited context."""
+    tasks, _, _ = ingest.fold_batch(_client_events(spark, sf_dir), ingest.Settings(), _now())
     tasks = files.stored(tasks, "tasks")
-    tree = hierarchy.resolve(tasks.select("task_id", "parent_id", "name", "ctx"))
-    return tasks.drop("primary_id", "parents_path", "orphan", "ctx").join(tree.select("task_id", "primary_id", "parents_path", "orphan", "ctx"), "task_id"), beats
+    rest = tuple(c for c in tasks.columns if c not in ("task_id", "parent_id", "name", "ctx", "primary_id", "parents_path", "orphan"))
+    return hierarchy.resolve(tasks, carried=rest)
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS segment, c_custkey % 3 = 0 AS bad FROM customer)
@@ -411,7 +418,7 @@ UNION ALL SELECT k, 'child', 'SUCCESS', 'visit', concat('visit___', k::VARCHAR),
 UNION ALL SELECT k, 'LogWithoutContext', 'CORRUPTED', NULL, NULL, NULL, NULL, NULL, 'h' FROM c""")
 def client_tasks(spark, sf_dir):
     """Tasks by context manager, decorator, handle and spot, with nesting, arguments, errors, static strings and what has no task."""
-    t, _ = _client_tasks(spark, sf_dir)
+    t = _client_tasks(spark, sf_dir)
     own = F.col("name") == M.NO_CONTEXT
     return t.select(
         F.col("string")["customer_"].cast("long").alias("k"), "name", "status", F.array_join("parents_path", ">").alias("path"), F.when(~own, F.col("primary_id")).alias("primary_id"), F.col("ctx")["segment"].alias("segment"), F.col("string")["exceptionType"].alias("exception"), F.col("string")["arg0"].alias("arg0"), F.col("string")["host"].alias("host")
@@ -421,7 +428,7 @@ def client_tasks(spark, sf_dir):
 @query("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 6 ELSE 9 END::BIGINT AS submitted FROM customer")
 def client_heartbeats(spark, sf_dir):
     """Each client's heartbeat says how many events it has sent since the last one."""
-    _, beats = _client_tasks(spark, sf_dir)
+    _, beats = ingest.admitted(_client_events(spark, sf_dir), ingest.Settings())
     return beats.select(F.from_json("strings", "map<string,string>")["customer_"].cast("long").alias("k"), F.from_json("metrics", "map<string,double>")["submitAmount"].cast("long").alias("submitted"))
 
 

@@ -84,7 +84,8 @@ def envelopes_from_text(lines: DataFrame) -> DataFrame:
     One with more than ``MOST_EVENTS`` events is malformed, too."""
     bare = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.concat(F.lit('{"events":'), "value", F.lit("}"))).otherwise(F.col("value"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowNonNumericNumbers": "true"}
-    parsed = lines.withColumn("e", F.from_json(bare, _ENVELOPE, options))
+    # an explode of one element, as filters that come later are not pushed below it: in them each use would parse the line once more
+    parsed = lines.select("*", F.explode_outer(F.array(F.from_json(bare, _ENVELOPE, options))).alias("e"))
     bad = F.col("e._corrupt").isNotNull() | F.col("e.events").isNull() | (F.size("e.events") > MOST_EVENTS)
     return parsed.select(*[c for c in lines.columns if c != "value"], F.col("e.id").alias("id"), F.when(~bad, F.col("e.events")).alias("events"), F.when(bad, F.col("value")).alias("malformed"))
 

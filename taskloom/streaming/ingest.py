@@ -37,14 +37,19 @@ class Settings:
     most_days: float | None = None
 
 
-def fold_batch(events: DataFrame, settings: Settings, now: Column, limited: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(tasks, heartbeats, plugin reports) of a batch of raw events. ``limited`` stands in for the limit within the batch."""
-    events = normalize(events, settings.suffix)
-    beats, events = admission.heartbeats(events)
+def admitted(events: DataFrame, settings: Settings, limited: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events to be folded, heartbeats) of a batch of raw events. ``limited`` stands in for the limit within the batch."""
+    beats, events = admission.heartbeats(normalize(events, settings.suffix))
     if settings.keep_regex is not None:
         events = admission.keep_named(events, settings.keep_regex)
     if settings.limit is not None:
         events = (limited or (lambda e: admission.rate_limited(e, settings.limit, settings.period)))(events)
+    return events, beats
+
+
+def fold_batch(events: DataFrame, settings: Settings, now: Column, limited: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """(tasks, heartbeats, plugin reports) of a batch of raw events, as ``admitted``."""
+    events, beats = admitted(events, settings, limited)
     events, reports = plugins.run_all(events, settings.rules, proven=True)
     return fold.fold(events, now, settings.days, settings.version, settings.suffix), beats, reports
 

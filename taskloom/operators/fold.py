@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions import normalize as N
-from ..sources.files import stored
+from ..sources.files import kept_apart, stored
 
 KEY = ["env", "task_id"]
 
@@ -104,7 +104,7 @@ def _details(e: DataFrame, sums: DataFrame) -> DataFrame:
     may_decide = F.col("type").isin(M.START, M.SUCCESS_EVENT, M.ERROR_EVENT)
     for column, _ in values.values():
         may_decide |= F.col(column).isNotNull()
-    j = e.filter(may_decide).select(*KEY, "seq", "type", "time", "name_key", "parent_key", *[c for c, _ in values.values()]).join(_prefixed(known, "k_"), _same_task("k_"))
+    j = e.filter(may_decide).select(*KEY, "seq", "type", "time", "name_key", "parent_key", *[c for c, _ in values.values()]).join(kept_apart(_prefixed(known, "k_"), sums), _same_task("k_"))
     decisive = F.lit(False)
     for column, at in values.values():
         decisive |= F.coalesce((F.col("seq") == F.col(at)) & F.col(column).isNotNull(), F.lit(False))

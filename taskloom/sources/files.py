@@ -30,7 +30,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     if (kept := getattr(_SCRATCH, "paths", None)) is not None:
         kept.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_bytes = bytes_of(df.sparkSession, [path])
+    return out
+
+
+#: Bytes of Parquet files from which on a side of a join is not broadcast. Spark goes by file sizes, but rows in memory are ten times as large and more.
+LARGE = 1 << 20
+
+
+def bytes_of(spark: SparkSession, paths: list[str]) -> int:
+    return sum(fs.getContentSummary(p).getLength() for fs, p in (_folder(spark, x) for x in paths))
+
+
+def kept_apart(side: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``side`` of a join, made of no more than the stored ``tables``: where these are large, it is shuffled and does not pass through the driver."""
+    return side.hint("merge") if sum(t.stored_bytes for t in tables) > LARGE else side
 
 
 #: Where this thread's ``stored`` tables go that are to be deleted.

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .. import model as M
 from ..operators import lifecycle, merge
-from .files import stored
+from .files import LARGE, bytes_of, kept_apart, stored
 
 KEY = ["env", "task_id"]
 _PART = T.StructType([*M.TASK, T.StructField("batch", T.LongType()), T.StructField("h", T.LongType()), T.StructField("version", T.IntegerType()), T.StructField("generation", T.IntegerType()), T.StructField("slot", T.IntegerType())])
@@ -115,7 +115,7 @@ class TaskStore:
     def _found(self, ids: DataFrame, version: int | None, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         base, parts = self.rows(version)
         # written once, as they are read more than once and the scans are many
-        return tuple(stored(self._near(rows, ids, slotted).join(ids, KEY, "left_semi").select(*(columns or rows.columns)), "found") for rows, slotted in ((base, True), (parts, False)))
+        return tuple(stored(self._near(rows, ids, slotted).join(kept_apart(ids, ids), KEY, "left_semi").select(*(columns or rows.columns)), "found") for rows, slotted in ((base, True), (parts, False)))
 
     def tasks(self, version: int | None = None, ids: DataFrame | None = None) -> DataFrame:
         """All tasks, or those with one of ``ids`` (env, task_id), with their generation. Tasks without new parts are only read."""
@@ -123,6 +123,9 @@ class TaskStore:
             return self.spark.createDataFrame([], T.StructType([*M.TASK, T.StructField("generation", T.IntegerType())]))
         base, parts = self.rows(version) if ids is None else self._found(ids, version)
         touched = parts.select(*KEY).distinct()
+        size = parts.stored_bytes if ids is not None else bytes_of(self.spark, [f"{self.path}/parts/version={v}" for v in self._versions() if version is None or v <= version])
+        if size > LARGE:
+            touched = touched.hint("merge")
         again = base.join(touched, KEY, "left_semi").unionByName(parts)
         columns = [*M.TASK.names, "generation"]
         return base.join(touched, KEY, "left_anti").select(*columns).unionByName(merge.merged_parts(again, "version", columns, self.monotone))
@@ -140,7 +143,7 @@ class TaskStore:
             return  # the last such table holds
         before = self.orphans(version - 1)
         now = self.tasks(version, again).filter("orphan").select(*M.TASK.names)
-        before.join(again, KEY, "left_anti").unionByName(now).write.mode("overwrite").parquet(f"{self.path}/waiting/version={version}")
+        before.join(kept_apart(again, again), KEY, "left_anti").unionByName(now).write.mode("overwrite").parquet(f"{self.path}/waiting/version={version}")
 
     def generation(self) -> int:
         """The one that new tasks go to."""
@@ -170,7 +173,8 @@ class TaskStore:
         rows = tasks.withColumn("generation", F.lit(None).cast("int"))
         if not new:
             base, parts = self.found(tasks, version - 1, [*KEY, "generation", "version"])
-            rows = tasks.join(base.unionByName(parts).groupBy(*KEY).agg(F.min_by("generation", "version").alias("generation")), KEY, "left")
+            had = base.unionByName(parts).groupBy(*KEY).agg(F.min_by("generation", "version").alias("generation"))
+            rows = tasks.join(kept_apart(had, base, parts), KEY, "left")
         rows = rows.withColumns({"generation": F.coalesce("generation", F.lit(self.generation())), "batch": F.lit(-1 if batch is None else batch).cast("long")})
         self._write(rows, f"parts/version={version}", "generation")
         waited = self.orphans(version - 1).select(*KEY)

@@ -55,14 +55,15 @@ def fold_batch(events: DataFrame, settings: Settings, now: Column, limited: Call
 
 
 def below(waiting: DataFrame, started: DataFrame) -> DataFrame:
-    """``node`` of the waiting tasks (with ``node`` and ``up``) below a started one (``node``): level by level, and only by what the last level brought.
+    """``node`` of the waiting tasks (with ``node`` and ``up``) below a started one (``node``, stored): level by level, and only by what the last level brought.
 
     Others keep waiting, whatever the batch has; a level costs a join of the ids that still wait with the new ones."""
-    reached, fresh = [], started
+    reached, fresh, of = [], started, started
     left = waiting.filter("up IS NOT NULL").select("node", "up")
     out = left.select("node").filter("false")
-    while True:
-        met = files.stored(left.join(fresh.select(F.col("node").alias("up"), F.lit(True).alias("met")).distinct(), "up", "left"), "below")
+    while not left.isEmpty():
+        new = fresh.select(F.col("node").alias("up"), F.lit(True).alias("met")).distinct()
+        met = of = files.stored(left.join(files.kept_apart(new, of), "up", "left"), "below")
         left, fresh = met.filter("met IS NULL").select("node", "up"), met.filter("met")
         if fresh.isEmpty():
             break
@@ -86,12 +87,13 @@ def enriched(tasks: DataFrame, waiting: DataFrame, lookup: Callable[[DataFrame],
     waiting = waiting.filter(F.col("status").isin(M.UNTERMINATED, M.SUCCESS, M.ERROR)).withColumns(ids).select("node", "up", "name", "ctx", F.col("orphan").alias("was"))
     # a waiting task that the batch starts is the batch's; of one that the batch brings a part of, the part takes what is inherited
     here = tasks.select("node", F.coalesce(is_started, F.lit(False)).alias("anew"), F.lit(True).alias("mine"))
-    chosen = below(waiting, tasks.filter(is_started).select("node")).join(here, "node", "left").filter("NOT coalesce(anew, false)").select("node", F.coalesce("mine", F.lit(False)).alias("mine"))
+    started = files.stored(tasks.filter(is_started).select("node"), "batch-started")
+    chosen = below(waiting, started).join(here, "node", "left").filter("NOT coalesce(anew, false)").select("node", F.coalesce("mine", F.lit(False)).alias("mine"))
     old = waiting.join(chosen, "node")
     new = tasks.filter(is_started).select("node", "up", "name", "ctx", F.lit(None).cast("boolean").alias("was"), F.lit(True).alias("mine"))
     nodes = files.stored(new.unionByName(old.select(*new.columns)).withColumnsRenamed({"node": "task_id", "up": "parent_id"}), "batch-nodes")
     # stored parents that have a root stand in as roots of their own and lend what they know
-    asked = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("node")).distinct().join(nodes.select(F.col("task_id").alias("node")), "node", "left_anti")
+    asked = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("node")).distinct().join(files.kept_apart(nodes.select(F.col("task_id").alias("node")), nodes), "node", "left_anti")
     asked = files.stored(asked.select(F.col("node.env").alias("env"), F.col("node.id").alias("task_id")), "batch-asked")
     known = lookup(asked).filter("NOT coalesce(orphan, false)")
     lend = files.stored(known.withColumns(ids).select(F.col("node").alias("task_id"), "name", "ctx", "primary_id", "parents_path"), "batch-parents")
@@ -104,7 +106,7 @@ def enriched(tasks: DataFrame, waiting: DataFrame, lookup: Callable[[DataFrame],
         F.col("task_id").alias("node"), F.col("parent_id").alias("t_up"), "mine", "was", F.when(F.col("lent"), F.coalesce("root2", "primary_id.id")).otherwise(F.col("primary_id.id")).alias("t_primary"), path.alias("t_path"), F.col("ctx").alias("t_ctx"), F.when(F.col("orphan"), True).when(F.col("was"), False).alias("t_orphan")
     )
     tree = files.stored(tree, "batch-tree")
-    joined = tasks.join(tree.filter("mine").drop("mine", "was", "t_up"), "node", "left")
+    joined = tasks.join(files.kept_apart(tree.filter("mine").drop("mine", "was", "t_up"), tree), "node", "left")
     out = joined.withColumns({"primary_id": F.coalesce("t_primary", "primary_id"), "parents_path": F.coalesce("t_path", "parents_path"), "ctx": F.coalesce("t_ctx", "ctx"), "orphan": F.coalesce("t_orphan", "orphan")}).select(*M.TASK.names)
     # an adopted task only brings what it inherits: as a part without news it leaves status, times and names alone
     brings = {"env": F.col("node.env"), "task_id": F.col("node.id"), "parent_id": F.col("t_up.id"), "primary_id": F.col("t_primary"), "parents_path": F.col("t_path"), "orphan": F.lit(False), "ctx": F.col("t_ctx")}
@@ -169,7 +171,7 @@ def let_in(good: DataFrame, earlier: DataFrame, seconds: int = 10) -> DataFrame:
 
     In order of time, an envelope is a duplicate if one with its id was let in less than ``seconds`` before, and also if
     a micro-batch before this one (``earlier``) let one in less than ``seconds`` after. An id has as many times as the
-    batch has files, however often it comes, so its walk is short."""
+    batch has files, however often it comes, so its walk is short. Nearly all envelopes are let in, so they meet by a shuffle, whatever Spark thinks of their size."""
     span = seconds * 1_000_000
     times = good.filter("id IS NOT NULL").groupBy("id", F.unix_micros("received").alias("at")).agg(F.min("place").alias("place"))
     had = earlier.join(times.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set(F.unix_micros("received")).alias("had"))
@@ -180,7 +182,7 @@ def let_in(good: DataFrame, earlier: DataFrame, seconds: int = 10) -> DataFrame:
         lambda acc, x: F.when((F.size(acc) > 0) & (x["at"] - F.get(acc, F.size(acc) - 1)["at"] < span), acc).otherwise(F.concat(acc, F.array(x))),
     )
     places = each.withColumn("new", new).select(F.explode(F.transform(kept, lambda x: x["place"])).alias("place"))
-    return good.filter("id IS NULL").unionByName(good.filter("id IS NOT NULL").join(places, "place", "left_semi").select(*good.columns))
+    return good.filter("id IS NULL").unionByName(good.filter("id IS NOT NULL").join(places.hint("merge"), "place", "left_semi").select(*good.columns))
 
 
 #: A malformed line: ``malformed`` is the line as it came last, ``file`` where it first stood, ``letter`` its own id, ``attempts`` how often it was read.

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.files import stored
+from ..sources.files import kept_apart, stored
 
 _OWN = ["_queue", "_size", "_at", "_slice", "_n"]
 _EXITS = "_slice long, x int, number int, total long, began long"
@@ -63,7 +63,8 @@ def by_size(events: DataFrame, max_size: int, size: Column, bucket: str, max_sec
     size is 0, as is a negative one; a missing time is that of the epoch; events without a queue are one.
 
     No task holds more than ``slice_rows`` rows of a queue at a time. What is looked up between slices is a row for each batch that may be
-    open at a slice's end: as many as a batch has rows at most, so slices should be longer than batches."""
+    open at a slice's end: as many as a batch has rows at most, so slices should be longer than batches. Rows, and open batches, meet what is found about them
+    by shuffles: their files are so small for what they hold that Spark would broadcast them in each round."""
     limit = None if max_seconds is None else int(max_seconds * 1_000_000)
     at = F.coalesce(F.unix_micros(time), F.lit(0)) if limit is not None else F.lit(0)
     own = {"_queue": F.to_json(F.struct(F.col(bucket))), "_size": F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).cast("long"), "_at": at.cast("long")}
@@ -104,9 +105,9 @@ def by_size(events: DataFrame, max_size: int, size: Column, bucket: str, max_sec
         left = np.cumsum(n[::-1])[::-1]
         return pa.table({"_slice": np.full(len(xs), key[0].as_py()), "x": xs.astype(np.int32), "number": np.full(len(xs), cuts[0], np.int32), "total": left[xs], "began": when[xs]})
 
-    narrow = rows.select(*_OWN).join(about.select("_slice", "i"), "_slice")
+    narrow = rows.select(*_OWN).join(about.select("_slice", "i").hint("merge"), "_slice")
     opened = stored(narrow.groupBy("_slice").applyInArrow(exits, _EXITS), "slices-open")
-    found = _landing_slices(opened.join(about.select("_slice", "_queue", "i"), "_slice"), about, most_slices, max_size, limit)
+    found = _landing_slices(opened.join(kept_apart(about.select("_slice", "_queue", "i"), about), "_slice"), about, most_slices, max_size, limit)
 
     def land(key, given, states):
         given, n, when = _arrays(given)
@@ -116,14 +117,14 @@ def by_size(events: DataFrame, max_size: int, size: Column, bucket: str, max_sec
             k = np.minimum(k, np.searchsorted(np.maximum.accumulate(when), states["began"].to_numpy() + limit, "right"))
         return pa.table({"_slice": states["_slice"], "x": states["x"], "to": np.full(len(k), key[0].as_py()), "entry": k.astype(np.int32), "to_x": end[k].astype(np.int32), "n": (cuts[k] + 1).astype(np.int32)})
 
-    hit = found.select("to").distinct().withColumnRenamed("to", "_slice")
+    hit = kept_apart(found.select("to").distinct().withColumnRenamed("to", "_slice"), about)
     landed = stored(narrow.join(hit, "_slice", "left_semi").groupBy("_slice").cogroup(found.groupBy("to")).applyInArrow(land, _LANDED), "slices-landed")
     first = about.filter("i = 0").select("_slice")
     met = _followed(opened.join(first, "_slice", "left_semi").select("_slice", "x", F.col("number").cast("long").alias("number")), landed)
-    entries = met.join(landed, ["_slice", "x"]).select(F.col("to").alias("_slice"), "entry", (F.col("number") + 1).alias("number"))
-    open_at = about.join(met.select("_slice", F.col("number").alias("open")), "_slice", "left")
+    entries = met.join(landed.hint("merge"), ["_slice", "x"]).select(F.col("to").alias("_slice"), "entry", (F.col("number") + 1).alias("number"))
+    open_at = about.join(kept_apart(met.select("_slice", F.col("number").alias("open")), about), "_slice", "left")
     before = F.last("open", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fixes = open_at.select("_slice", "i", before.alias("_open")).filter("i > 0").join(entries, "_slice", "left").select("_slice", "_open", F.col("entry").alias("_entry"))
+    fixes = open_at.select("_slice", "i", before.alias("_open")).filter("i > 0").join(kept_apart(entries, about), "_slice", "left").select("_slice", "_open", F.col("entry").alias("_entry"))
 
     def number(key, given):
         given, n, when = _arrays(given)
@@ -135,9 +136,9 @@ def by_size(events: DataFrame, max_size: int, size: Column, bucket: str, max_sec
         return pa.table({"_slice": given["_slice"], "_n": given["_n"], "batch": given["_open"][0].as_py() + np.cumsum(starts)})
 
     later = about.filter("i > 0").select("_slice")
-    numbers = rows.select(*_OWN).join(fixes, "_slice").groupBy("_slice").applyInArrow(number, "_slice long, _n int, batch long")
-    fixed = rows.drop("batch").join(numbers, ["_slice", "_n"]).select(*out.names)
-    return rows.join(later, "_slice", "left_anti").select(*out.names).unionByName(fixed)
+    numbers = rows.select(*_OWN).join(fixes.hint("merge"), "_slice").groupBy("_slice").applyInArrow(number, "_slice long, _n int, batch long")
+    fixed = rows.drop("batch").join(numbers.hint("merge"), ["_slice", "_n"]).select(*out.names)
+    return rows.join(kept_apart(later, about), "_slice", "left_anti").select(*out.names).unionByName(fixed)
 
 
 def _landing_slices(opened: DataFrame, about: DataFrame, most_slices: int, max_size: int, limit: int | None) -> DataFrame:
@@ -166,9 +167,9 @@ def _followed(met: DataFrame, landed: DataFrame) -> DataFrame:
     """_slice, x, number of the open batches that are met from the first ones (``met``) on, by doubling."""
     jumps = landed.select("_slice", "x", "to", "to_x", F.col("n").cast("long").alias("n"))
     while True:
-        new = stored(met.join(jumps, ["_slice", "x"]).select(F.col("to").alias("_slice"), F.col("to_x").alias("x"), (F.col("number") + F.col("n")).alias("number")), "slices-met")
+        new = stored(met.join(jumps.hint("merge"), ["_slice", "x"]).select(F.col("to").alias("_slice"), F.col("to_x").alias("x"), (F.col("number") + F.col("n")).alias("number")), "slices-met")
         if new.isEmpty():
             return met
         met = met.unionByName(new)
         then = jumps.select(F.col("_slice").alias("to"), F.col("x").alias("to_x"), F.col("to").alias("to2"), F.col("to_x").alias("x2"), F.col("n").alias("n2"))
-        jumps = stored(jumps.join(then, ["to", "to_x"]).select("_slice", "x", F.col("to2").alias("to"), F.col("x2").alias("to_x"), (F.col("n") + F.col("n2")).alias("n")), "slices-jumps")
+        jumps = stored(jumps.join(then.hint("merge"), ["to", "to_x"]).select("_slice", "x", F.col("to2").alias("to"), F.col("x2").alias("to_x"), (F.col("n") + F.col("n2")).alias("n")), "slices-jumps")

@@ -26,3 +26,20 @@ def test_envelopes_let_in_do_not_pass_through_the_driver(spark):
     earlier = spark.createDataFrame([], "id string, received timestamp")
     out = ingest.let_in(good, earlier)
     assert "SortMergeJoin" in plan_of(out.select("place")) and out.count() == 1500
+
+
+def test_open_batches_do_not_pass_through_the_driver(spark, monkeypatch):
+    from taskloom.operators import batches
+
+    seen, plain = [], batches.stored
+
+    def stored(df, tag):
+        seen.append((tag, df._jdf.queryExecution().optimizedPlan().toString()))
+        return plain(df, tag)
+
+    monkeypatch.setattr(batches, "stored", stored)
+    rows = spark.range(400).selectExpr("id AS seq", "'q' AS queue", "timestamp_seconds(id) AS time")
+    out = batches.by_size(rows, 30, F.lit(10), "queue", slice_rows=32)
+    rounds = [p for tag, p in seen if tag in ("slices-met", "slices-jumps")]
+    assert len(rounds) > 4 and all("strategy=merge" in p for p in rounds)
+    assert {r["seq"]: r["batch"] for r in out.select("seq", "batch").collect()} == {i: i // 4 for i in range(400)}

@@ -47,9 +47,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every copy; a null text is empty, and a null id stays null."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every copy; a null text is empty, and a null id stays null.
+
+    Executors are full of what the stages before it left in their heaps, and encoders keep tables, so texts come to them a little at a time,
+    and a worker that rests has none."""
     ranks, pattern = public_ranks()
-    return tokenize(docs, ranks, pattern, with_ids=False).drop("ids")
+    return stored(tokenize(docs, ranks, pattern, with_ids=False, resting=False).drop("ids"), "pipeline-byte_bpe", batch="2m")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("jaccard_dedup", jaccard_dedup), ("mixing", mixing), ("byte_bpe", tokens)]

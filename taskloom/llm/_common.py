@@ -43,12 +43,12 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, batch: str = "8m", **options: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later jobs start from the files,
-    whichever executors are lost, and nothing is computed twice."""
+    whichever executors are lost, and nothing is computed twice. ``batch``: bytes of rows that go to Python at a time."""
     spark = df.sparkSession
     path = work_dir(spark, tag)
-    with small_batches(spark):
+    with small_batches(spark, batch):
         df.write.options(**{"compression": "zstd"} | options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -110,14 +110,19 @@ _owner = ""
 def claim_worker(own: str = "") -> None:
     """At the start of a task in Python: when the last task in this worker was another operator's, drop the tables that it
     has kept and give freed memory back. Spark uses workers again, and freed memory else stays with them."""
+    if own != _owner:
+        leave_worker(own)
+
+
+def leave_worker(to: str = "") -> None:
+    """Drop the tables of all operators but ``to`` and give freed memory back. At a task's end, so that workers hold none while they rest: Spark
+    keeps more of them than run at a time, takes them in turn, and lets those that no task needs rest as long as others work."""
     global _owner
-    if own == _owner:
-        return
-    _owner = own
+    _owner = to
     import pyarrow  # here, as native operators import this module
 
     for name, t in WORKER_TABLES.items():
-        if name != own:
+        if name != to:
             t.clear()
     gc.enable()
     gc.collect()

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORKER_TABLES, claim_worker, table
+from ._common import WORKER_TABLES, claim_worker, leave_worker, table
 
 #: States, and encoded pieces, that a worker keeps, where other operators need memory, too.
 KEPT = 1 << 17
@@ -241,10 +241,10 @@ def _encoder(data: bytes, pattern: str, kept: int) -> tuple:
     return _encoders[key]
 
 
-def tokenize(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, kept: int = KEPT) -> DataFrame:
+def tokenize(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, kept: int = KEPT, resting: bool = True) -> DataFrame:
     """One row per row of ``docs``: id_col, n_tokens, ids_sha256, decoded_sha256, and ids (array of int).
 
-    ``kept`` bounds the states, and the encoded pieces, that a worker keeps: more of them take more memory and less time.
+    ``kept`` bounds the states, and the encoded pieces, that a worker keeps: more of them take more memory and less time. ``resting``: they keep them from task to task; else each task makes its own.
     ``ranks`` is the content of a rank file, of fixed size whatever the data; it is broadcast. Null texts are
     empty and have no tokens; null ids and repeated rows pass through; an empty table gives no rows; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -269,6 +269,9 @@ def tokenize(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id"
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
         finally:  # the worker goes on with other functions
             gc.enable()
+            if not resting:
+                encoder = tokens = None
+                leave_worker()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(encode, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>").withColumnRenamed("id", id_col)

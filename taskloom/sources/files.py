@@ -35,6 +35,11 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, and known to be none when a query is planned: what is joined with it costs no job."""
+    return spark.range(1).filter("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 #: Bytes of Parquet files from which on a side of a join is not broadcast. Spark goes by file sizes, but rows in memory are ten times as large and more.
 LARGE = 1 << 20
 

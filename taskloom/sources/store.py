@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .. import model as M
 from ..operators import lifecycle, merge
-from .files import LARGE, bytes_of, kept_apart, stored
+from .files import LARGE, bytes_of, empty, kept_apart, stored
 
 KEY = ["env", "task_id"]
 _PART = T.StructType([*M.TASK, T.StructField("batch", T.LongType()), T.StructField("h", T.LongType()), T.StructField("version", T.IntegerType()), T.StructField("generation", T.IntegerType()), T.StructField("slot", T.IntegerType())])
@@ -76,7 +76,7 @@ class TaskStore:
 
     def _read(self, folders: list[str]) -> DataFrame:
         if not folders:
-            return self.spark.createDataFrame([], _PART)
+            return empty(self.spark, _PART)
         return self.spark.read.schema(_PART).option("basePath", self.path).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def rows(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +120,7 @@ class TaskStore:
     def tasks(self, version: int | None = None, ids: DataFrame | None = None) -> DataFrame:
         """All tasks, or those with one of ``ids`` (env, task_id), with their generation. Tasks without new parts are only read."""
         if ids is not None and (ids := stored(ids.select(*KEY).distinct(), "asked")).isEmpty():
-            return self.spark.createDataFrame([], T.StructType([*M.TASK, T.StructField("generation", T.IntegerType())]))
+            return empty(self.spark, T.StructType([*M.TASK, T.StructField("generation", T.IntegerType())]))
         base, parts = self.rows(version) if ids is None else self._found(ids, version)
         touched = parts.select(*KEY).distinct()
         size = parts.stored_bytes if ids is not None else bytes_of(self.spark, [f"{self.path}/parts/version={v}" for v in self._versions() if version is None or v <= version])
@@ -134,7 +134,7 @@ class TaskStore:
         """Tasks that wait for a parent."""
         kept = [v for (v,) in self._numbers("waiting/version=*") if version is None or v <= version]
         if not kept:
-            return self.spark.createDataFrame([], M.TASK)
+            return empty(self.spark, M.TASK)
         return self.spark.read.schema(M.TASK).parquet(f"{self.path}/waiting/version={kept[-1]}")
 
     def _wait(self, version: int, again: DataFrame) -> None:

@@ -171,18 +171,29 @@ def let_in(good: DataFrame, earlier: DataFrame, seconds: int = 10) -> DataFrame:
 
     In order of time, an envelope is a duplicate if one with its id was let in less than ``seconds`` before, and also if
     a micro-batch before this one (``earlier``) let one in less than ``seconds`` after. An id has as many times as the
-    batch has files, however often it comes, so its walk is short. Nearly all envelopes are let in, so they meet by a shuffle, whatever Spark thinks of their size."""
+    batch has files, however often it comes, so its walk is short.
+
+    Only ids that come twice or came before can have duplicates. Those are looked into by id, time and place alone, and the envelopes
+    themselves are only shuffled if one of them is dropped."""
     span = seconds * 1_000_000
-    times = good.filter("id IS NOT NULL").groupBy("id", F.unix_micros("received").alias("at")).agg(F.min("place").alias("place"))
-    had = earlier.join(times.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set(F.unix_micros("received")).alias("had"))
-    each = times.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "place"))).alias("times")).join(had, "id", "left")
+    named = good.filter("id IS NOT NULL").select("id", F.unix_micros("received").alias("at"), "place")
+    seen = named.select("id", F.lit(1).alias("here"), F.lit(0).alias("before")).unionByName(earlier.filter("id IS NOT NULL").select("id", F.lit(0).alias("here"), F.lit(1).alias("before")))
+    doubtful = files.stored(seen.groupBy("id").agg(F.sum("here").alias("here"), F.max("before").alias("before")).filter("here > 1 OR here = 1 AND before = 1").select("id"), "micro-batch-doubtful")
+    if doubtful.isEmpty():
+        return good
+    asked = files.kept_apart(doubtful, doubtful)
+    named = named.join(asked, "id", "left_semi")
+    times = named.groupBy("id", "at").agg(F.min("place").alias("place"))
+    had = earlier.join(asked, "id", "left_semi").groupBy("id").agg(F.collect_set(F.unix_micros("received")).alias("had"))
+    each = times.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "place"))).alias("times")).join(had.hint("merge"), "id", "left")
     new = F.filter("times", lambda x: ~F.exists(F.coalesce("had", F.array().cast("array<bigint>")), lambda a: F.abs(a - x["at"]) < span))
     kept = F.aggregate(
         "new", F.array().cast("array<struct<at:bigint,place:bigint>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (x["at"] - F.get(acc, F.size(acc) - 1)["at"] < span), acc).otherwise(F.concat(acc, F.array(x))),
     )
     places = each.withColumn("new", new).select(F.explode(F.transform(kept, lambda x: x["place"])).alias("place"))
-    return good.filter("id IS NULL").unionByName(good.filter("id IS NOT NULL").join(places.hint("merge"), "place", "left_semi").select(*good.columns))
+    dropped = files.stored(named.select("place").join(places.hint("merge"), "place", "left_anti"), "micro-batch-dropped")
+    return good if dropped.isEmpty() else good.join(dropped.hint("merge"), "place", "left_anti").select(*good.columns)
 
 
 #: A malformed line: ``malformed`` is the line as it came last, ``file`` where it first stood, ``letter`` its own id, ``attempts`` how often it was read.
@@ -266,11 +277,13 @@ def stream(spark: SparkSession, source: str, store: TaskStore, checkpoint: str,
                 late = F.col("id").isNotNull() & (hour < first)
                 good.filter(late).select("id", "received", "file", "events").write.mode("overwrite").json(f"{kept}/late/batch={number}")
                 good = good.filter(~late)
-            good = files.stored(let_in(good, admitted.before(number)), "micro-batch-unique")
+            good = let_in(good, admitted.before(number))
             # before the merge, and again in the same place if the batch is replayed
             admitted.put(good.filter("id IS NOT NULL"), hour, number)
             newest = batch.agg(F.max(hour)).first()[0] or 0
-            ingest_batch(store, files.events_of(good.withColumnRenamed("place", "seq_base")), settings, batch=number, reports=reports, limited=lambda e: limit_across(e, settings, counts, number, newest))
+            # flat, as folding reads the events more than once and each time other fields of them
+            events = files.stored(files.events_of(good.withColumnRenamed("place", "seq_base")), "micro-batch-events")
+            ingest_batch(store, events, settings, batch=number, reports=reports, limited=lambda e: limit_across(e, settings, counts, number, newest))
             store.tidy(parts)
             for table in (admitted, counts):
                 table.expire(number)

@@ -45,7 +45,8 @@ class Recent:
 
     def put(self, rows: DataFrame, hour: Column, number: int) -> None:
         rows = rows.select(*self.columns, hour.cast("long").alias("hour"), F.lit(number).cast("long").alias("batch"))
-        rows.repartition("hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(self.path)
+        # a file an hour, more of them for hours that bring much: a stream that catches up has all its files in one hour
+        rows.hint("rebalance", F.col("hour")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(self.path)
 
     def expire(self, number: int) -> list[int]:
         """Delete the hours that no micro-batch from ``number`` on looks at."""

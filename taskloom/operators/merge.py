@@ -11,6 +11,8 @@ from .. import model as M
 from ..functions.normalize import merge_maps
 
 KEY = ["env", "task_id"]
+#: The fields by which parts decide what becomes of a task's status, times and date.
+DECIDES = ["status", "task_begin", "task_end"]
 #: The four cells in which a task delivered again as a whole completes a stored part of it, if ``monotone``.
 COMPLETIONS = ((M.UNTERMINATED, M.SUCCESS), (M.UNTERMINATED, M.ERROR), (M.PARTIAL_SUCCESS, M.SUCCESS), (M.PARTIAL_ERROR, M.ERROR))
 
@@ -107,7 +109,7 @@ def merged_parts(parts: DataFrame, order: str, columns: list[str], monotone: boo
     A task has a part per batch that it comes in, so its list is short between two compactions."""
     fields = [c for c in columns if c not in KEY]
     one = F.struct(order, *fields)
-    grouped = parts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.min_by(one, order).alias("_first"), F.collect_list(one).alias("_parts"))
+    grouped = parts.groupBy(*KEY).agg(F.collect_list(one).alias("_parts"))
     kinds = {f.name: f.dataType for f in parts.schema}
 
     def step(old: Column, new: Column) -> Column:
@@ -115,7 +117,8 @@ def merged_parts(parts: DataFrame, order: str, columns: list[str], monotone: boo
         timed = F.transform(F.array(_status(of, nf, monotone)), lambda s: F.struct(*[(_united(c, of, nf, s) if c in M.TASK.names else old[c]).cast(kinds[c]).alias(c) for c in [order, *fields]]))
         return F.get(timed, F.lit(0))
 
-    # maps cannot be ordered, so the parts are sorted by their place alone
-    later = F.array_sort(F.filter("_parts", lambda x: x[order] != F.col("_first")[order]), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0))
-    merged = F.when(F.col("_n") == 1, F.col("_first")).otherwise(F.aggregate(later, F.col("_first"), step))
+    # maps cannot be ordered, so the parts are sorted by their place alone; a part travels once, the first one as well
+    in_order = F.array_sort("_parts", lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0))
+    first = F.get(in_order, F.lit(0))
+    merged = F.when(F.size("_parts") == 1, F.get("_parts", F.lit(0))).otherwise(F.aggregate(F.filter(in_order, lambda x: x[order] != first[order]), first, step))
     return grouped.withColumn("_m", merged).select(*[F.col(c) if c in KEY else F.col("_m")[c].alias(c) for c in columns])

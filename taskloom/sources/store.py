@@ -30,6 +30,8 @@ _PART = T.StructType([*M.TASK, T.StructField("batch", T.LongType()), T.StructFie
 
 #: Ids up to this number are found by their hashes, so many in one scan; more of them by their slots.
 MOST_KEYS, KEYS_A_SCAN = 512, 128
+#: Tasks that one writer takes when a generation is written anew, roughly; a slot of more is cut by the next bits of the hash.
+FILE_ROWS = 1 << 18
 
 
 def key_hash() -> Column:
@@ -117,8 +119,10 @@ class TaskStore:
         # written once, as they are read more than once and the scans are many
         return tuple(stored(self._near(rows, ids, slotted).join(kept_apart(ids, ids), KEY, "left_semi").select(*(columns or rows.columns)), "found") for rows, slotted in ((base, True), (parts, False)))
 
-    def tasks(self, version: int | None = None, ids: DataFrame | None = None) -> DataFrame:
-        """All tasks, or those with one of ``ids`` (env, task_id), with their generation. Tasks without new parts are only read."""
+    def tasks(self, version: int | None = None, ids: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
+        """All tasks, or those with one of ``ids`` (env, task_id), with their generation. Tasks without new parts are only read.
+
+        Given ``fields``, which take in ``merge.DECIDES``, no other columns are read and merged."""
         if ids is not None and (ids := stored(ids.select(*KEY).distinct(), "asked")).isEmpty():
             return empty(self.spark, T.StructType([*M.TASK, T.StructField("generation", T.IntegerType())]))
         base, parts = self.rows(version) if ids is None else self._found(ids, version)
@@ -127,7 +131,7 @@ class TaskStore:
         if size > LARGE:
             touched = touched.hint("merge")
         again = base.join(touched, KEY, "left_semi").unionByName(parts)
-        columns = [*M.TASK.names, "generation"]
+        columns = [*(fields or M.TASK.names), "generation"]
         return base.join(touched, KEY, "left_anti").select(*columns).unionByName(merge.merged_parts(again, "version", columns, self.monotone))
 
     def orphans(self, version: int | None = None) -> DataFrame:
@@ -171,7 +175,7 @@ class TaskStore:
         version = version or self._next()
         tasks = tasks.select(*M.TASK.names)
         rows = tasks.withColumn("generation", F.lit(None).cast("int"))
-        if not new:
+        if not new and any(v < version for v in [*self._versions(), *self._bases().values()]):
             base, parts = self.found(tasks, version - 1, [*KEY, "generation", "version"])
             had = base.unionByName(parts).groupBy(*KEY).agg(F.min_by("generation", "version").alias("generation"))
             rows = tasks.join(kept_apart(had, base, parts), KEY, "left")
@@ -216,10 +220,14 @@ class TaskStore:
         if generations is not None:
             now = now.filter(F.col("generation").isin(generations))
         changed = stored(change(now), "compacted")
+        sizes = {r["generation"]: r["count"] for r in changed.groupBy("generation").count().collect()}  # a row per generation
         for g in sorted(generations if generations is not None else {*self._bases(), *(r[0] for r in now.select("generation").distinct().collect())}):
             out = changed.filter(F.col("generation") == g).drop("generation").withColumn("batch", F.lit(-1).cast("long"))
-            out = out.withColumn("slot", self._slot(key_hash()))
-            self._write(out.repartition(self.buckets, "slot"), f"base/generation={g}/version={version}", "slot")
+            # a slot's rows are in the order of their hashes, in one file or several
+            bits = self.bits + max(0, sizes.get(g, 0) // (FILE_ROWS << self.bits)).bit_length()
+            place = F.shiftrightunsigned(key_hash(), 64 - bits).cast("int") if bits else F.lit(0)
+            out = out.withColumn("slot", self._slot(key_hash())).repartitionById(1 << bits, place)
+            self._write(out, f"base/generation={g}/version={version}", "slot")
         self._wait(version, stored(self.orphans(version - 1).select(*KEY), "waiting"))
         return version
 
@@ -247,7 +255,7 @@ class TaskStore:
 
     def expire(self, now: Column, top: int | None = None) -> int:
         """Delete expired tasks. Only generations that have some are rewritten, the ``top`` ones with the most if given."""
-        found = lifecycle.expired_by_generation(self.tasks(), now, top or (1 << 20)).collect()  # a row per generation
+        found = lifecycle.expired_by_generation(self.tasks(fields=[*KEY, *merge.DECIDES, "date_to_delete"]), now, top or (1 << 20)).collect()  # a row per generation
         return self.compact([r["generation"] for r in found], lambda t: lifecycle.delete_expired(t, now))
 
     def merge_generations(self, now: Column, monotone: bool = False) -> int:

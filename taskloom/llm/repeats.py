@@ -48,7 +48,7 @@ ROUNDS = 3
 #: One in so many keys, by hash, begins a piece.
 COARSE = 32
 #: Bytes that long pieces are read by.
-SYMBOL = 4
+SYMBOL = 8
 #: Symbols that one suffix array takes (or a single key's pieces), and the most windows of a piece.
 SORT_SYMBOLS, MOST_WINDOWS = 16 << 10, 16 << 10
 #: Pieces that a task sorts, roughly, and that it looks at together.

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from taskloom.llm._common import stored, table
-from taskloom.llm.bpe import public_ranks, tokenize
+from taskloom.llm.bpe import KEPT, public_ranks, tokenize
 from taskloom.llm.exact_dedup import drop_copies
 from taskloom.llm.jaccard_join import drop_near_copies
 from taskloom.llm.langid import keep_identified
 from taskloom.llm.mixing import mix
 
+#: Texts come to Python so many bytes at a time, and near copies are sought in blocks of so many bytes of text: one session runs all stages, and executors
+#: keep the heap that they once took, so what stands beside it has to be small.
+BATCH, BLOCK_BYTES = "2m", 1 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a known language, which replaces their label; those without text or letters go.
@@ -29,14 +33,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (but for the case of A-Z) the document with the largest doc_id.
 
     Rows that repeat its id, too, are one document; without any id in a group all its rows stay; columns of any name pass through."""
-    return drop_copies(docs)
+    return drop_copies(docs, batch=BATCH)
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (5 words, similarity 0.75 or more) the document with the least doc_id.
 
     Documents without an id or without words all stay, as do rows that repeat the id that stays; columns of any name pass through."""
-    return drop_near_copies(docs)
+    return drop_near_copies(docs, block_bytes=BLOCK_BYTES, resting=False)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Executors are full of what the stages before it left in their heaps, and encoders keep tables, so texts come to them a little at a time,
     and a worker that rests has none."""
     ranks, pattern = public_ranks()
-    return stored(tokenize(docs, ranks, pattern, with_ids=False, resting=False).drop("ids"), "pipeline-byte_bpe", batch="2m")
+    return stored(tokenize(docs, ranks, pattern, with_ids=False, kept=KEPT // 2, resting=False).drop("ids"), "pipeline-byte_bpe", batch=BATCH)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("jaccard_dedup", jaccard_dedup), ("mixing", mixing), ("byte_bpe", tokens)]

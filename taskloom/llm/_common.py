@@ -61,6 +61,16 @@ def forget(*tables: DataFrame) -> None:
         t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(t.stored_at)
 
 
+def give_back() -> None:
+    """Memory that this Python worker has freed goes back to the machine, of Arrow's and of the C library's."""
+    import pyarrow  # here, as native operators import this module
+
+    pyarrow.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: str = "8m"):
     """While this holds, rows go to Python in batches of so many bytes, whatever the lengths of texts; then the session's own setting is back."""
@@ -119,17 +129,12 @@ def leave_worker(to: str = "") -> None:
     keeps more of them than run at a time, takes them in turn, and lets those that no task needs rest as long as others work."""
     global _owner
     _owner = to
-    import pyarrow  # here, as native operators import this module
-
     for name, t in WORKER_TABLES.items():
         if name != to:
             t.clear()
     gc.enable()
     gc.collect()
-    pyarrow.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
+    give_back()
 
 
 def free_name(name: str, taken: list[str]) -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, claim_worker, join_owners, lower_ascii, table
+from ._common import LOWER, UPPER, claim_worker, join_owners, lower_ascii, stored, table
 
 #: A trie's budget of text bytes; the tries of a worker never hold more than this and one text.
 TRIE_BYTES = 32 << 20
@@ -194,11 +194,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", batch: str = "8m") -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns, whatever their names. A row that repeats the id and the
     text of the kept row is not a second document, and goes too: of those that differ in other columns the one with the least
-    hash of these stays. Rows without an id in a class without any are all kept. An empty table gives no rows."""
-    owners = text_classes(docs, id_col, text_col, keep).select("n", "h", "sha", "owner", "rows")
+    hash of these stays. Rows without an id in a class without any are all kept. An empty table gives no rows.
+
+    The classes, without their texts, are stored first, so texts go to Python ``batch`` bytes at a time whatever the session's setting."""
+    owners = stored(text_classes(docs, id_col, text_col, keep).select("n", "h", "sha", "owner", "rows"), "exact-owners", batch)
     # the given columns travel in a struct, so no name can clash
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     plain = [c for c in docs.columns if not _holds_map(docs.schema[c].dataType)]

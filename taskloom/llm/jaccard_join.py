@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._blocks import Block, block_table, bucket_count, look_up, packed, shared_keys, unpack_shared
-from ._common import LOWER, UPPER, WORKER_TABLES, claim_worker, forget, join_owners, stored, table
+from ._blocks import BLOCK_BYTES, Block, block_table, bucket_count, look_up, packed, shared_keys, unpack_shared
+from ._common import LOWER, UPPER, WORKER_TABLES, claim_worker, forget, give_back, join_owners, stored, table
 from ._graph import components
 from .repeats import _scrambled
 
@@ -101,16 +101,19 @@ _SETS = pa.schema([("block", pa.int64()), ("doc", pa.int64()), ("n", pa.int32())
 _SETS_SQL = "block long, doc long, n int, node binary, items array<long>, prefix array<long>, places array<int>, counts array<long>, n_basic int"
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, resting: bool = True) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, component_id.
 
     A null or blank text has no shingles and links with nothing: its component is its own id. A null id never names a
     component that has another id. Rows that repeat an id are separate rows with one name. An empty table gives
-    no rows; other columns are not read."""
-    blocks = block_table(docs, id_col, text_col, "jaccard-blocks")
+    no rows; other columns are not read. ``block_bytes``: of text that a task in Python looks at together. ``resting``: what a worker has freed stays with it
+    from block to block; else it goes back after each."""
+    blocks = block_table(docs, id_col, text_col, "jaccard-blocks", block_bytes)
     n_buckets = bucket_count(blocks, 6)
 
     def keys_of(b: Block) -> np.ndarray:
+        if not resting:
+            give_back()
         distinct = {s.tobytes(): s for s in shingle_sets(b.texts(), words)}
         return np.concatenate(list(distinct.values())) if distinct else np.zeros(0, np.uint64)
 
@@ -142,7 +145,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
                 rows.append((b.block, None, n, node, signed, signed[order[keep]], np.flatnonzero(keep).astype(np.int32), df[order[keep]].astype(np.int64), int(keep[:basic].sum())))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_SETS.types)], schema=_SETS)
 
-    found = stored(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(describe, _SETS_SQL), "jaccard-sets")
+    def describe_and_rest(text: pa.Table, keys: pa.Table) -> pa.Table:
+        try:
+            return describe(text, keys)
+        finally:
+            give_back()
+
+    found = stored(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(describe if resting else describe_and_rest, _SETS_SQL), "jaccard-sets")
     members = found.filter(F.col("items").isNull()).select("doc", "n", "node")
     some = found.filter(F.col("items").isNotNull())
     first = some.groupBy("node").agg(F.min("block").alias("block"))
@@ -275,10 +284,10 @@ def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(fresh), "jaccard-components")
 
 
-def drop_near_copies(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, resting: bool = True) -> DataFrame:
     """``docs`` with one document of each component: the one with the least id (all rows of that id stay, as they are one
     document). Documents without an id or without shingles all stay; columns of any name pass through."""
-    groups = jaccard_components(docs, percent, words, id_col, text_col).filter((F.col("component_id") != F.col(id_col)) & (F.col("n_shingles") > 0))
+    groups = jaccard_components(docs, percent, words, id_col, text_col, block_bytes=block_bytes, resting=resting).filter((F.col("component_id") != F.col(id_col)) & (F.col("n_shingles") > 0))
     gone = groups.select(F.col(id_col).alias("gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 
